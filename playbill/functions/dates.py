@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from playbill.functions.text import SPACE, col, strip
+from playbill.functions.text import SPACE, col, let, strip
 
 # The date grammar accepted in listing text.
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -39,6 +39,7 @@ GRACE_DAYS = 45
 LONE_YEAR = r"^(\d{4})$"
 YEAR_MONTH = r"^(\d{4})-(\d{2})$"
 WORDS_YEAR = r"^[^\d(]*[^\dA-Za-z(](\d{4})$"
+MONTH_WORD = r"(?i)(?:^|.*[^a-z])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 DASHED = r"^(\d{1,2})-(\d{1,2})-(\d{4})$"
 
 AsOf = dt.date | dt.datetime | str | Column
@@ -61,8 +62,8 @@ def valid_ymd(y: Column, m: Column, d: Column) -> Column:
     """The DATE for a real calendar day, else null."""
     text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"),
                        F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-    real = y.between(100, 9999) & m.between(1, 12) & d.between(1, 31)
-    return F.when(real, F.try_to_date(text, "yyyy-MM-dd"))
+    # Two-digit years mean the 1900s to the source grammar and never match back.
+    return F.when((y >= 100) & (y <= 9999) & (m <= 99) & (d <= 99), F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def plausible_year(y: Column, as_of: AsOf) -> Column:
@@ -90,14 +91,18 @@ def local_instant(text: Column, zone: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
-def _slashed_year(text: Column, m: Column, d: Column, as_of: AsOf) -> Column:
-    number = text.try_cast("int")
-    full = F.when(number < 100, number + 2000).otherwise(number)
-    return F.when(text != "", full).otherwise(infer_year(m, d, as_of))
+def _ymd(y: Column, m: Column, d: Column) -> Column:
+    return F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
 
 
-def _checked(y: Column, m: Column, d: Column, as_of: AsOf) -> Column:
-    return F.when(plausible_year(y, as_of), valid_ymd(y, m, d))
+def _checked(parts: Column, as_of: AsOf) -> Column:
+    """Date of a (y, m, d) struct; a null year is inferred first."""
+    def full(p: Column) -> Column:
+        year = F.coalesce(p["y"], infer_year(p["m"], p["d"], as_of))
+        return _ymd(year, p["m"], p["d"])
+
+    return let(let(parts, full), lambda p: F.when(
+        plausible_year(p["y"], as_of), valid_ymd(p["y"], p["m"], p["d"])))
 
 
 def _month_number(name: Column) -> Column:
@@ -114,13 +119,13 @@ def _last_resort(text: Column, as_of: AsOf, zone: str) -> Column:
     def part(pattern: str, n: int) -> Column:
         return _group(text, pattern, n).try_cast("int")
 
-    month_word = F.regexp_extract(text, r"(?i)(?:^|.*[^a-z])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)", 1)
+    month_word = F.regexp_extract(text, MONTH_WORD, 1)
     month = F.when(month_word != "", _month_number(month_word)).otherwise(F.lit(1))
     guess = (F.when(text.rlike(LONE_YEAR), utc_midnight(part(LONE_YEAR, 1), F.lit(1)))
              .when(text.rlike(YEAR_MONTH), utc_midnight(part(YEAR_MONTH, 1), part(YEAR_MONTH, 2)))
              .when(text.rlike(DASHED), valid_ymd(part(DASHED, 3), part(DASHED, 1), part(DASHED, 2)))
              .when(text.rlike(WORDS_YEAR), valid_ymd(part(WORDS_YEAR, 1), month, F.lit(1))))
-    return F.when(plausible_year(F.year(guess), as_of), guess)
+    return let(guess, lambda g: F.when(plausible_year(F.year(g), as_of), g))
 
 
 def parse_date(c: Column | str, as_of: AsOf, zone: str = "UTC") -> Column:
@@ -129,46 +134,45 @@ def parse_date(c: Column | str, as_of: AsOf, zone: str = "UTC") -> Column:
     The first rule whose shape occurs decides, even when its check then fails;
     only an impossible ``...Z`` instant falls through to the next rule.
     """
-    text = strip(col(c))
-    instant = local_instant(text, zone).cast("date")
-
-    slash_m, slash_d = (_group(text, SLASHED, n).try_cast("int") for n in (1, 2))
-    slash_y = _slashed_year(_group(text, SLASHED, 3), slash_m, slash_d, as_of)
-
-    mf_m, mf_d = _month_number(_group(text, MONTH_FIRST, 1)), _group(text, MONTH_FIRST, 2).try_cast("int")
-    mf_text = _group(text, MONTH_FIRST, 3)
-    mf_y = F.when(mf_text != "", mf_text.try_cast("int")).otherwise(infer_year(mf_m, mf_d, as_of))
-
-    df_m, df_d = _month_number(_group(text, DAY_FIRST, 2)), _group(text, DAY_FIRST, 1).try_cast("int")
-    df_text = _group(text, DAY_FIRST, 3)
-    df_y = F.when(df_text != "", df_text.try_cast("int")).otherwise(infer_year(df_m, df_d, as_of))
-
-    iso = valid_ymd(*[_group(text, ISO_DAY, n).try_cast("int") for n in (1, 2, 3)])
-    return (F.when(F.coalesce(text, F.lit("")) == "", F.lit(None).cast("date"))
-            .when(text.rlike(UTC_INSTANT) & instant.isNotNull(), instant)
-            .when(text.rlike(ISO_DAY), iso)
-            .when(text.rlike(SLASHED), _checked(slash_y, slash_m, slash_d, as_of))
-            .when(text.rlike(MONTH_FIRST), _checked(mf_y, mf_m, mf_d, as_of))
-            .when(text.rlike(DAY_FIRST), _checked(df_y, df_m, df_d, as_of))
-            .otherwise(_last_resort(text, as_of, zone)))
+    def rules(text: Column) -> Column:
+        def number(pattern: str, n: int) -> Column:
+            return _group(text, pattern, n).try_cast("int")
+
+        short = number(SLASHED, 3)
+        slashed = _ymd(F.when(short < 100, short + 2000).otherwise(short),
+                       number(SLASHED, 1), number(SLASHED, 2))
+        month_first = _ymd(number(MONTH_FIRST, 3), _month_number(_group(text, MONTH_FIRST, 1)),
+                           number(MONTH_FIRST, 2))
+        day_first = _ymd(number(DAY_FIRST, 3), _month_number(_group(text, DAY_FIRST, 2)),
+                         number(DAY_FIRST, 1))
+        later = (F.when(text.rlike(ISO_DAY), valid_ymd(*[number(ISO_DAY, n) for n in (1, 2, 3)]))
+                 .when(text.rlike(SLASHED), _checked(slashed, as_of))
+                 .when(text.rlike(MONTH_FIRST), _checked(month_first, as_of))
+                 .when(text.rlike(DAY_FIRST), _checked(day_first, as_of))
+                 .otherwise(_last_resort(text, as_of, zone)))
+        return (F.when(text.rlike(UTC_INSTANT),
+                       F.coalesce(local_instant(text, zone).cast("date"), later))
+                .when(text != "", later))
+
+    return let(strip(col(c)), rules)
 
 
 def parse_time(c: Column | str, zone: str = "UTC") -> Column:
     """``HH:MM`` (24 h) found in a loose text, or null."""
-    text = col(c)
-    instant = local_instant(text, zone)
-    hour12 = _group(text, CLOCK_12H, 1).try_cast("int") % 12
-    hour = F.when(F.lower(_group(text, CLOCK_12H, 3)) == "p", hour12 + 12).otherwise(hour12)
-    minute = F.coalesce(F.nullif(_group(text, CLOCK_12H, 2), F.lit("")), F.lit("00"))
-
     def clock(h: Column, m: Column) -> Column:
         return F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), m)
 
-    return (F.when(F.coalesce(text, F.lit("")) == "", F.lit(None).cast("string"))
-            .when(text.rlike(UTC_INSTANT) & instant.isNotNull(), F.date_format(instant, "HH:mm"))
-            .when(text.rlike(CLOCK_ISO), clock(_group(text, CLOCK_ISO, 1), _group(text, CLOCK_ISO, 2)))
-            .when(text.rlike(CLOCK_12H), clock(hour, minute))
-            .when(text.rlike(CLOCK_24H), clock(_group(text, CLOCK_24H, 1), _group(text, CLOCK_24H, 2))))
+    def rules(text: Column) -> Column:
+        hour12 = _group(text, CLOCK_12H, 1).try_cast("int") % 12
+        noon = F.when(F.lower(_group(text, CLOCK_12H, 3)) == "p", 12).otherwise(0)
+        minute = F.coalesce(F.nullif(_group(text, CLOCK_12H, 2), F.lit("")), F.lit("00"))
+        later = (F.when(text.rlike(CLOCK_ISO), clock(_group(text, CLOCK_ISO, 1), _group(text, CLOCK_ISO, 2)))
+                 .when(text.rlike(CLOCK_12H), clock(hour12 + noon, minute))
+                 .when(text.rlike(CLOCK_24H), clock(_group(text, CLOCK_24H, 1), _group(text, CLOCK_24H, 2))))
+        return F.when(text.rlike(UTC_INSTANT), F.coalesce(
+            F.date_format(local_instant(text, zone), "HH:mm"), later)).otherwise(later)
+
+    return let(col(c), rules)
 
 
 def local_day(instant: Column, zone: str) -> Column:

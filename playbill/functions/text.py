@@ -7,6 +7,7 @@ inside the scan's stage and never ships rows to Python.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -33,6 +34,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.
+
+    Keeps expressions that use one intermediate many times from growing
+    exponentially when they nest.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def truthy(c: Column | str) -> Column:
     """The text, or null when it is empty."""
     return F.nullif(col(c), F.lit(""))
@@ -75,14 +85,17 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 def fold(c: Column | str) -> Column:
     """Replace each decomposable character by its ASCII letters (NFKD)."""
     source, target, expand = _folding()
-    plain = F.translate(col(c), source, target)
     table = F.create_map(*[F.lit(x) for kv in expand.items() for x in kv])
-    # Ligatures, fractions and the like are rare: expand per character only there.
-    spelled = F.array_join(
-        F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    text = F.when(plain.rlike("[" + "".join(expand) + "]"), spelled).otherwise(plain)
+    several = "[" + "".join(expand) + "]"
+
+    def spelled(text: Column) -> Column:
+        # Ligatures, fractions and the like are rare: expand per character only there.
+        letters = F.transform(F.split(text, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+        return F.when(text.rlike(several), F.array_join(letters, "")).otherwise(text)
+
     # Pure-ASCII text, the common case, skips both lookups.
-    return F.when(col(c).rlike(r"[^\x00-\x7f]"), text).otherwise(col(c))
+    return F.when(col(c).rlike(r"[^\x00-\x7f]"),
+                  let(F.translate(col(c), source, target), spelled)).otherwise(col(c))
 
 
 def norm(c: Column | str) -> Column:

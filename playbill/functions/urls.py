@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from playbill.functions.text import col, strip
+from playbill.functions.text import col, let, strip
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 WEB = r"(?i)^(https?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
-BAD_HOST = r"[\x00-\x20\x7f<>^|%\[\]\\]"
+HOST_PORT = r"^(?:.*@)?(.*?)(?::(\d*))?$"
+BAD_HOST = r"[\x00-\x20\x7f<>^|%:\[\]\\]"
 
 # Characters percent-encoded in each part of a URL.
 PATH_ESCAPES = [(" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60"),
@@ -24,50 +25,61 @@ def _tidy(c: Column) -> Column:
 
 
 def _escape(part: Column, table: list[tuple[str, str]]) -> Column:
-    out = part
     for raw, code in table:
-        out = F.replace(out, F.lit(raw), F.lit(code))
-    spelled = F.array_join(
-        F.transform(F.split(out, ""), lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), F.url_encode(x)).otherwise(x)), "")
-    return F.when(out.rlike(r"[^\x00-\x7f]"), spelled).otherwise(out)
+        part = F.replace(part, F.lit(raw), F.lit(code))
+
+    def spelled(text: Column) -> Column:
+        letters = F.transform(F.split(text, ""), lambda x: F.when(
+            x.rlike(r"[^\x00-\x7f]"), F.url_encode(x)).otherwise(x))
+        return F.when(text.rlike(r"[^\x00-\x7f]"), F.array_join(letters, "")).otherwise(text)
+
+    return let(part, spelled)
 
 
 def _resolve_dots(path: Column) -> Column:
     """Remove ``.`` and ``..`` segments."""
-    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
-    kept = F.aggregate(
-        parts, F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc))
-        .otherwise(F.array_append(acc, s)))
-    ends_open = path.rlike(r"/\.\.?$")
-    joined = F.concat(F.lit("/"), F.array_join(kept, "/"),
-                      F.when(ends_open & (F.size(kept) > 0), "/").otherwise(""))
-    return F.when(path.rlike(r"/\.\.?(/|$)"), joined).otherwise(path)
+    def step(kept: Column, segment: Column) -> Column:
+        shorter = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return (F.when(segment == ".", kept).when(segment == "..", shorter)
+                .otherwise(F.array_append(kept, segment)))
+
+    def walked(p: Column) -> Column:
+        # The text before the leading slash is empty and is not a segment.
+        segments = F.split(F.substr(p, F.lit(2)), "/")
+        kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+        return let(kept, lambda k: F.concat(
+            F.lit("/"), F.array_join(k, "/"),
+            F.when(p.rlike(r"/\.\.?$") & (F.size(k) > 0), "/").otherwise("")))
+
+    return let(path, lambda p: F.when(p.rlike(r"/\.\.?(/|$)"), walked(p)).otherwise(p))
 
 
 def _normal(url: Column) -> Column:
     """Canonical text of an absolute http(s) URL, null for anything else."""
-    def part(n: int) -> Column:
-        return F.regexp_extract(url, WEB, n)
-
-    scheme = F.lower(part(1))
-    authority = part(2)
-    user = F.regexp_extract(authority, r"^(.*@)?", 1)
-    host = F.lower(F.regexp_extract(authority, r"^(?:.*@)?(.*?)(?::(\d*))?$", 1))
-    port = F.regexp_extract(authority, r"^(?:.*@)?(.*?)(?::(\d*))?$", 2)
-    number = port.try_cast("int")
-    default = F.when(scheme == "http", 80).otherwise(443)
-    shown = F.when((port == "") | (number == default), "").otherwise(
-        F.concat(F.lit(":"), number.cast("string")))
-    path = F.replace(part(3), F.lit("\\"), F.lit("/"))
-    path = F.when(path == "", "/").otherwise(path)
-    good = (url.rlike(WEB) & (host != "") & ~host.rlike(BAD_HOST) & ~host.contains(":")
-            & ((port == "") | number.between(0, 65535)))
-    query = F.when(part(4) == "?", "?").otherwise(_escape(part(4), QUERY_ESCAPES))
-    return F.when(good, F.concat(
-        scheme, F.lit("://"), user, host, shown,
-        _resolve_dots(_escape(path, PATH_ESCAPES)), query, _escape(part(5), FRAGMENT_ESCAPES)))
+    def split_up(u: Column) -> Column:
+        server = F.regexp_extract(u, WEB, 2)
+        return F.struct(
+            F.lower(F.regexp_extract(u, WEB, 1)).alias("scheme"),
+            F.regexp_extract(server, "^(.*@)?", 1).alias("user"),
+            F.lower(F.regexp_extract(server, HOST_PORT, 1)).alias("host"),
+            F.regexp_extract(server, HOST_PORT, 2).alias("port"),
+            F.replace(F.regexp_extract(u, WEB, 3), F.lit("\\"), F.lit("/")).alias("path"),
+            F.regexp_extract(u, WEB, 4).alias("query"),
+            F.regexp_extract(u, WEB, 5).alias("fragment"))
+
+    def rebuilt(p: Column) -> Column:
+        number = p["port"].try_cast("int")
+        usual = F.when(p["scheme"] == "http", 80).otherwise(443)
+        port = F.when((p["port"] == "") | (number == usual), "").otherwise(
+            F.concat(F.lit(":"), number.cast("string")))
+        path = F.when(p["path"] == "", "/").otherwise(_resolve_dots(_escape(p["path"], PATH_ESCAPES)))
+        good = ((p["host"] != "") & ~p["host"].rlike(BAD_HOST)
+                & ((p["port"] == "") | number.between(0, 65535)))
+        return F.when(good, F.concat(
+            p["scheme"], F.lit("://"), p["user"], p["host"], port, path,
+            _escape(p["query"], QUERY_ESCAPES), _escape(p["fragment"], FRAGMENT_ESCAPES)))
+
+    return let(url, lambda u: F.when(u.rlike(WEB), let(split_up(u), rebuilt)))
 
 
 def url_guard(c: Column | str) -> Column:
@@ -77,19 +89,21 @@ def url_guard(c: Column | str) -> Column:
 
 def abs_url(href: Column | str, base: Column | str) -> Column:
     """Resolve ``href`` on ``base``; http(s) results only, else null."""
-    link, page = _tidy(col(href)), url_guard(base)
-    link = F.when(link.rlike(SCHEME), link).otherwise(F.replace(link, F.lit("\\"), F.lit("/")))
-    origin = F.regexp_extract(page, r"^(https?://[^/?#]*)", 1)
-    path = F.regexp_extract(page, r"^https?://[^/?#]*([^?#]*)", 1)
-    query = F.regexp_extract(page, r"^[^?#]*(\?[^#]*)?", 1)
-    folder = F.regexp_extract(path, r"^(.*/)", 1)
-    joined = (F.when(link.rlike(SCHEME), link)
-              .when(link.startswith("//"), F.concat(F.regexp_extract(page, "^(https?:)", 1), link))
-              .when(link.startswith("/"), F.concat(origin, link))
-              .when(link.startswith("?"), F.concat(origin, path, link))
-              .when(link.startswith("#"), F.concat(origin, path, query, link))
-              .otherwise(F.concat(origin, folder, link)))
-    return F.when(page.isNotNull() & (col(href) != ""), _normal(joined))
+    def joined(x: Column) -> Column:
+        link, page = x["link"], x["page"]
+        plain = F.replace(link, F.lit("\\"), F.lit("/"))
+        bare = F.regexp_extract(page, "^([^?#]*)", 1)
+        return (F.when(link.rlike(SCHEME), link)
+                .when(plain.startswith("//"), F.concat(F.regexp_extract(page, "^(https?:)", 1), plain))
+                .when(plain.startswith("/"), F.concat(F.regexp_extract(page, "^(https?://[^/?#]*)", 1), plain))
+                .when(link.startswith("?"), F.concat(bare, link))
+                .when(link.startswith("#"), F.concat(F.regexp_extract(page, "^([^#]*)", 1), link))
+                .when(link == "", F.regexp_extract(page, "^([^#]*)", 1))
+                .otherwise(F.concat(F.regexp_extract(bare, "^(.*/)", 1), plain)))
+
+    parts = F.struct(_tidy(col(href)).alias("link"), url_guard(base).alias("page"))
+    return let(parts, lambda x: F.when(
+        x["page"].isNotNull() & (col(href) != ""), _normal(joined(x))))
 
 
 def normalize_url(c: Column | str) -> Column:

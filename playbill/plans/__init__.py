@@ -1 +1,10 @@
+"""Registered queries."""
 
+import importlib
+
+MODULES = ["core"]
+
+
+def load_all() -> None:
+    for name in MODULES:
+        importlib.import_module(f"{__name__}.{name}")
