@@ -63,7 +63,7 @@ def valid_ymd(y: Column, m: Column, d: Column) -> Column:
     text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"),
                        F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
     # Two-digit years mean the 1900s to the source grammar and never match back.
-    return F.when((y >= 100) & (y <= 9999) & (m <= 99) & (d <= 99), F.try_to_date(text, "yyyy-MM-dd"))
+    return F.when((y >= 100) & (y <= 9999) & (m <= 99) & (d <= 99), text.try_cast("date"))
 
 
 def plausible_year(y: Column, as_of: AsOf) -> Column:

@@ -6,6 +6,7 @@ inside the scan's stage and never ships rows to Python.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -14,7 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The whitespace set of the listing text rules.
-SPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+SPACES = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE = f"[{SPACES}]"
+SPACE_CHARACTERS = "".join(chr(c) for c in range(0x10000) if re.fullmatch(SPACE, chr(c)))
 
 # Words that mark a listing as comedy or music.
 COMEDY_HINTS = [
@@ -50,7 +53,7 @@ def truthy(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of Unicode space from both ends."""
-    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col(c), F.lit(SPACE_CHARACTERS))
 
 
 def squash(c: Column | str) -> Column:
@@ -82,11 +85,26 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), expand
 
 
+def _ranges(chars: dict[str, str]) -> list[str]:
+    """A few character ranges that cover the given characters.
+
+    They may cover neighbours too: a short class is tested much faster than a
+    list of hundreds, and expanding a character without an entry keeps it.
+    """
+    spans: list[list[int]] = []
+    for cp in sorted(map(ord, chars)):
+        if spans and cp - spans[-1][1] < 256:
+            spans[-1][1] = cp
+        else:
+            spans.append([cp, cp])
+    return [f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans]
+
+
 def fold(c: Column | str) -> Column:
     """Replace each decomposable character by its ASCII letters (NFKD)."""
     source, target, expand = _folding()
-    table = F.create_map(*[F.lit(x) for kv in expand.items() for x in kv])
-    several = "[" + "".join(expand) + "]"
+    table = F.str_to_map(F.lit(",".join(f"{k}={v}" for k, v in expand.items())), F.lit(","), F.lit("="))
+    several = "[" + "".join(_ranges(expand)) + "]"
 
     def spelled(text: Column) -> Column:
         # Ligatures, fractions and the like are rare: expand per character only there.
@@ -94,14 +112,14 @@ def fold(c: Column | str) -> Column:
         return F.when(text.rlike(several), F.array_join(letters, "")).otherwise(text)
 
     # Pure-ASCII text, the common case, skips both lookups.
-    return F.when(col(c).rlike(r"[^\x00-\x7f]"),
-                  let(F.translate(col(c), source, target), spelled)).otherwise(col(c))
+    return let(col(c), lambda x: F.when(
+        x.rlike(r"[^\x00-\x7f]"), let(F.translate(x, source, target), spelled)).otherwise(x))
 
 
 def norm(c: Column | str) -> Column:
     """Key form of a text: lower, fold, drop punctuation, squash."""
     text = fold(F.lower(F.coalesce(col(c), F.lit(""))))
-    return squash(F.regexp_replace(text, f"(?!{SPACE})[^A-Za-z0-9_]", ""))
+    return squash(F.regexp_replace(text, f"[^A-Za-z0-9_{SPACES}]+", ""))
 
 
 def dedupe_key(title: Column | str, day: Column | str, venue: Column | str) -> Column:

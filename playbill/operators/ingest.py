@@ -24,7 +24,7 @@ def is_valid() -> Column:
     ten = F.substring("date", 1, 10)
     present = (F.coalesce(strip("title"), F.lit("")) != "") & (F.coalesce(strip("venue"), F.lit("")) != "")
     return present & F.coalesce(
-        ten.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(ten, "yyyy-MM-dd").isNotNull(), F.lit(False))
+        ten.rlike(r"^\d{4}-\d{2}-\d{2}$") & ten.try_cast("date").isNotNull(), F.lit(False))
 
 
 def normalize(raw: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def normalize(raw: DataFrame) -> DataFrame:
         F.coalesce(truthy("source_name"), truthy("source"), F.lit("unknown")).alias("source_name"),
         title.alias("title"), truthy("artist").alias("artist"),
         venue.alias("venue"), truthy("city").alias("city"),
-        F.to_date(F.substring("date", 1, 10)).alias("event_date"),
+        F.substring("date", 1, 10).try_cast("date").alias("event_date"),
         truthy("time").alias("event_time"), truthy("doors_time").alias("doors_time"),
         category_clamp("category").alias("category"),
         F.coalesce("genre_tags", F.lit("")).alias("genre_tags"),

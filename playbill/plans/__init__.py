@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core"]
+MODULES = ["core", "preference"]
 
 
 def load_all() -> None:
