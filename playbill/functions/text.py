@@ -93,7 +93,7 @@ def _ranges(chars: dict[str, str]) -> list[str]:
     """
     spans: list[list[int]] = []
     for cp in sorted(map(ord, chars)):
-        if spans and cp - spans[-1][1] < 256:
+        if spans and cp - spans[-1][1] < 16:
             spans[-1][1] = cp
         else:
             spans.append([cp, cp])
@@ -108,7 +108,8 @@ def fold(c: Column | str) -> Column:
 
     def spelled(text: Column) -> Column:
         # Ligatures, fractions and the like are rare: expand per character only there.
-        letters = F.transform(F.split(text, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+        letters = F.transform(F.split(text, ""), lambda x: F.when(
+            x > "\x7f", F.coalesce(F.try_element_at(table, x), x)).otherwise(x))
         return F.when(text.rlike(several), F.array_join(letters, "")).otherwise(text)
 
     # Pure-ASCII text, the common case, skips both lookups.

@@ -8,7 +8,7 @@ runs over those and the score is joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions.dates import AsOf, moment
@@ -28,17 +28,17 @@ def decay_signals(signals: DataFrame, as_of: AsOf) -> DataFrame:
     return signals.select("tag", (F.col("signal_count") / F.greatest(F.lit(1.0), weeks)).alias("decayed"))
 
 
-def _artist() -> Column:
-    return F.lower(strip(F.coalesce("artist", F.lit(""))))
-
-
 def _tokens(looks: DataFrame) -> DataFrame:
     """(genre_tags, artist, token, from_tags), each token once per combination."""
-    tags = F.array_distinct(parse_tags("genre_tags"))
-    labelled = F.transform(tags, lambda t: F.struct(t.alias("token"), F.lit(True).alias("from_tags")))
-    with_artist = F.when((_artist() != "") & ~F.array_contains(tags, _artist()), F.array_append(
-        labelled, F.struct(_artist().alias("token"), F.lit(False).alias("from_tags")))).otherwise(labelled)
-    return looks.select("genre_tags", "artist", F.explode(with_artist).alias("t")).select(
+    name = F.lower(strip(F.coalesce("artist", F.lit(""))))
+    parsed = looks.select("genre_tags", "artist", F.array_distinct(parse_tags("genre_tags")).alias("tags"),
+                          name.alias("name"))
+    # The artist is a token of its own unless a tag already spells it.
+    extra = F.array_except(F.array("name"), F.array_append("tags", F.lit("")))
+    labelled = F.concat(
+        F.transform("tags", lambda t: F.struct(t.alias("token"), F.lit(True).alias("from_tags"))),
+        F.transform(extra, lambda t: F.struct(t.alias("token"), F.lit(False).alias("from_tags"))))
+    return parsed.select("genre_tags", "artist", F.explode(labelled).alias("t")).select(
         "genre_tags", "artist", "t.*")
 
 

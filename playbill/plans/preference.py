@@ -278,10 +278,10 @@ def _(spark, d):
 
 
 @query("delete_weight", f"""WITH {CHANGES} SELECT genre, weight FROM edited
-  WHERE genre NOT IN (SELECT lower(c_mktsegment || ' ' || s_suppkey) FROM supplier, (SELECT DISTINCT c_mktsegment FROM customer))""")
+  WHERE genre NOT IN (SELECT lower(c_mktsegment || ' ' || n_nationkey) FROM nation, (SELECT DISTINCT c_mktsegment FROM customer))""")
 def _(spark, d):
-    gone = read(spark, d, "supplier").select(F.explode(F.array(*[
-        F.concat(F.lit(f" {s} "), F.col("s_suppkey").cast("string"))
+    gone = read(spark, d, "nation").select(F.explode(F.array(*[
+        F.concat(F.lit(f" {s} "), F.col("n_nationkey").cast("string"))
         for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])).alias("genre"))
     return fb.delete_weight(fb.set_weights(_weight_changes(spark, d)), gone)
 
