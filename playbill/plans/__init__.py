@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core", "preference"]
+MODULES = ["core", "preference", "parsing", "web"]
 
 
 def load_all() -> None:
