@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core", "preference", "parsing", "web"]
+MODULES = ["core", "preference", "parsing", "web", "streams"]
 
 
 def load_all() -> None:

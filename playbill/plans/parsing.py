@@ -138,7 +138,8 @@ HREFS = r"""hrefs AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)
 
 
 @query("abs_url", f"""WITH {HREFS} SELECT page_id, href, count(*) AS n,
-    regexp_extract(any_value(url), '^https?://[^/?#]+') || regexp_replace(href, '^/?', '/') AS link
+    regexp_extract(any_value(url), '^https?://[^/?#]+') || '/' || array_to_string(list_transform(
+      string_split(ltrim(href, '/'), ''), lambda c: CASE WHEN c > chr(127) THEN url_encode(c) ELSE c END), '') AS link
   FROM hrefs GROUP BY page_id, href""")
 def _(spark, d):
     from playbill.operators.pages import HREF

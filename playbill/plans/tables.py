@@ -38,6 +38,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """events as a stream of files; pass it to the builders below as ``events``."""
+    # A file stream wants a pattern or a folder, also for a single file.
+    return spark.readStream.schema(SCHEMAS["events"]).parquet(f"{folder}/events*.parquet")
+
+
 def ntz(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
@@ -50,14 +56,14 @@ def _pick(number: Column, values: list[str]) -> Column:
     return out
 
 
-def shows(spark: SparkSession, folder: str) -> DataFrame:
+def shows(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     """events joined with the part, nation and region each one points to."""
-    events = read(spark, folder, "events").withColumn(
+    found = (read(spark, folder, "events") if events is None else events).withColumn(
         "k", F.get_json_object("props", "$.k").cast("long"))
     part = read(spark, folder, "part")
     nation = read(spark, folder, "nation")
     region = read(spark, folder, "region")
-    return (events.join(part, F.col("k") == F.col("p_partkey"))
+    return (found.join(part, F.col("k") == F.col("p_partkey"))
             .join(nation, (F.col("user_id") % 25) == F.col("n_nationkey"))
             .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
 
@@ -79,10 +85,10 @@ def category() -> Column:
             .when(F.col("p_type") == "SMALL", "comedy").otherwise("other"))
 
 
-def listings(spark: SparkSession, folder: str) -> DataFrame:
+def listings(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     """The stored listings table: one row per event, id = event_id."""
     user = F.col("user_id")
-    return shows(spark, folder).select(
+    return shows(spark, folder, events).select(
         F.col("event_id").alias("id"),
         _pick(user, ["api", "rss", "scrape", "manual"]).alias("source"),
         F.concat(F.lit("src"), (user % 8).cast("string")).alias("source_name"),
@@ -119,11 +125,11 @@ LISTINGS = SHOWS + """, listings AS (
   FROM shows)"""
 
 
-def raw_listings(spark: SparkSession, folder: str) -> DataFrame:
+def raw_listings(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     """Unvalidated adapter records: blanks, odd dates, unsafe links, mixed case."""
     user, event = F.col("user_id"), F.col("event_id")
     number = event.cast("string")
-    return shows(spark, folder).select(
+    return shows(spark, folder, events).select(
         event.alias("seq"),
         F.when(user % 10 == 3, "").otherwise(_pick(user, ["api", "rss", "scrape", "manual"])).alias("source"),
         F.when(user % 10 == 4, "").otherwise(F.concat(F.lit("src"), (user % 8).cast("string"))).alias("source_name"),
@@ -201,12 +207,12 @@ NORMAL = RAW + f""", normal AS (
   FROM raw WHERE {VALID})"""
 
 
-def actions(spark: SparkSession, folder: str) -> DataFrame:
+def actions(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     """Action log: purchase marks, click unmarks, error hides, signup unhides."""
     from playbill.functions.text import dedupe_key
 
     kind = F.col("event_type")
-    return shows(spark, folder).where(kind != "view").select(
+    return shows(spark, folder, events).where(kind != "view").select(
         F.col("event_id").alias("seq"), "ts",
         dedupe_key("p_name", F.date_format("ts", "yyyy-MM-dd"), "n_name").alias("dedupe_key"),
         F.when(kind.isin("purchase", "click"), "interested").otherwise("hidden").alias("attr"),
@@ -225,9 +231,9 @@ ACTIONS = SHOWS + f""", actions AS (
   FROM actions GROUP BY dedupe_key)"""
 
 
-def marks(spark: SparkSession, folder: str) -> DataFrame:
+def marks(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     """Interest marks with the tags and artist of the marked listing."""
-    return listings(spark, folder).where("interested").select("genre_tags", "artist", "ts")
+    return listings(spark, folder, events).where("interested").select("genre_tags", "artist", "ts")
 
 
 def signals(spark: SparkSession, folder: str) -> DataFrame:
@@ -256,9 +262,10 @@ WEIGHTS = """weights AS (
   GROUP BY genre HAVING genre <> 'small')"""
 
 
-def run_log(spark: SparkSession, folder: str) -> DataFrame:
+def run_log(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     user, kind = F.col("user_id"), F.col("event_type")
-    return read(spark, folder, "events").select(
+    source = read(spark, folder, "events") if events is None else events
+    return source.select(
         F.col("event_id").alias("run_id"), _pick(user, ["api", "rss", "scrape", "manual"]).alias("source"),
         F.concat(F.lit("src"), (user % 40).cast("string")).alias("source_name"),
         F.when(kind == "error", "error").when(kind == "signup", "skipped").otherwise("ok").alias("status"),

@@ -407,7 +407,7 @@ def _(spark, d):
              .when(user % 4 == 2, _text("DTSTART;VALUE=DATE:", shown("yyyyMMdd")))
              .otherwise(_text("DTSTART;TZID=America/New_York:", shown("yyyyMMdd'T'HHmmss"))))
     body = _text("BEGIN:VCALENDAR\r\nVERSION:2.0\r\nBEGIN:VEVENT\r\nUID:", F.col("event_id"), "\r\n", start,
-                 "\r\nSUMMARY:", F.replace("p_name", F.lit(" "), F.lit("\r\n  ")), "\\, live\r\nLOCATION:Upstairs\; ", F.col("n_name"),
+                 "\r\nSUMMARY:", F.replace("p_name", F.lit(" "), F.lit("\r\n  ")), "\\, live\r\nLOCATION:Upstairs\\; ", F.col("n_name"),
                  "\r\nDESCRIPTION:", F.col("p_brand"), "\r\nURL:https://c.example/", F.col("event_id"), "\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n")
     events = fd.ical_events(_feed_documents(spark, d, body))
     return fd.map_ical(events, AS_OF, WEST, ["event_id"]).select(

@@ -1,7 +1,7 @@
 """Listings scraped from page markup with configured selectors.
 
 Markup has no JVM-side reader in Spark, so this is the one Python step: pages
-stream through ``mapInPandas`` in Arrow batches, each page is parsed and
+stream through ``mapInArrow`` in batches, each page is parsed and
 released, and only the few raw fields per item go back to the JVM.
 
 Selectors may use tags, ``.class``, ``#id``, ``[attr]``, ``[attr='x']``,
@@ -14,17 +14,19 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from playbill.functions.dates import AsOf, parse_date, parse_time
 from playbill.functions.text import TITLE_LIMIT, classify, squash, truthy
 from playbill.functions.urls import abs_url
 
 MAX_ITEMS = 250
-RAW_ITEM = ("page_id long, url string, source_name string, pos int, name string, date_text string, "
-            "link string, image string, price string, error string")
+SLICE = 10_000
+RAW_ITEM = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("source_name", pa.string()), ("pos", pa.int32())]
+                     + [(c, pa.string()) for c in ("name", "date_text", "link", "image", "price", "error")])
 
 # Elements without content, and ones a sibling closes.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -172,21 +174,20 @@ def page_items(html: str, sel: dict) -> Iterator[dict]:
         }
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in RAW_ITEM.split(", ")]
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow in, Arrow out; rows leave in slices so a batch of large pages stays small."""
     for batch in batches:
         rows = []
-        for page in batch.itertuples(index=False):
-            head = {"page_id": page.page_id, "url": page.url, "source_name": page.source_name}
+        for page in batch.to_pylist():
+            head = {k: page[k] for k in ("page_id", "url", "source_name")}
             try:
-                found = [head | {"pos": i} | item for i, item in enumerate(page_items(page.html, page.selectors))]
+                rows += [head | {"pos": i} | item for i, item in enumerate(page_items(page["html"], page["selectors"]))]
             except ValueError as e:
-                found = [head | {"error": f"unsupported selector: {e}"}]
-            rows.extend(found)
-            if len(rows) >= 10_000:
-                yield pd.DataFrame(rows, columns=columns).astype({"pos": "Int32"})
+                rows.append(head | {"error": f"unsupported selector: {e}"})
+            if len(rows) >= SLICE:
+                yield pa.RecordBatch.from_pylist(rows, RAW_ITEM)
                 rows = []
-        yield pd.DataFrame(rows, columns=columns).astype({"pos": "Int32"})
+        yield pa.RecordBatch.from_pylist(rows, RAW_ITEM)
 
 
 def html_items(pages: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def html_items(pages: DataFrame) -> DataFrame:
 
     Needs (page_id, url, html, source_name, selectors).
     """
-    return pages.select("page_id", "url", "html", "source_name", "selectors").mapInPandas(_extract, RAW_ITEM)
+    return pages.select("page_id", "url", "html", "source_name", "selectors").mapInArrow(_extract, from_arrow_schema(RAW_ITEM))
 
 
 def capped(items: DataFrame) -> DataFrame:
