@@ -82,3 +82,17 @@ def extraction_health(items: DataFrame, registry: DataFrame) -> DataFrame:
                               .when(F.col("usable") == 0, F.concat_ws(" ", F.lit("matched"), F.col("matched"), F.lit("but none usable")))
                               .otherwise("ok")).withColumn(
         "status", F.when(F.col("usable") > 0, "ok").otherwise("error"))
+
+
+def isolate_failures(documents: DataFrame, records: DataFrame) -> DataFrame:
+    """One log row per landed document: unreadable ones become error rows and
+    never stop the others.
+
+    ``documents`` has (run_id, source_name, readable); ``records`` has a row per
+    record read, by run_id.
+    """
+    found = records.groupBy("run_id").agg(F.count("*").alias("n"))
+    return documents.join(found, "run_id", "left").select(
+        "run_id", "source_name", F.when(F.col("readable"), "ok").otherwise("error").alias("status"),
+        F.when(F.col("readable"), F.coalesce("n", F.lit(0))).otherwise(0).alias("events_found"),
+        F.when(~F.col("readable"), "unreadable document").alias("error_msg"))

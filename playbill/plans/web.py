@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from playbill.functions.text import slug, slug_loose
 from playbill.operators import ingest
 from playbill.operators import pages as pg
+from playbill.operators import runs as rn
 from playbill.plans.parsing import HREFS, WEST, classify_sql
 from playbill.plans.registry import query
 from playbill.plans.tables import AS_OF, SHOWS, _pick, read, shows
@@ -414,3 +415,20 @@ def _(spark, d):
         "event_id", "title", "venue", "date", "time", "category", "ticket_url")
 
 
+
+
+@query("isolate_failures", f"""WITH {SHOWS} SELECT event_id AS run_id, 'src' || user_id AS source_name,
+    CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
+    CASE WHEN event_type = 'error' THEN 0 ELSE user_id % 4 END AS events_found,
+    CASE WHEN event_type = 'error' THEN 'unreadable document' END AS error_msg FROM shows""")
+def _(spark, d):
+    """Registry documents per show, some of them cut off in the middle."""
+    user = F.col("user_id")
+    entry = F.struct(F.col("p_name").alias("name"), F.lit("https://x.example/").alias("url"))
+    whole = F.to_json(F.struct(F.array_repeat(entry, (user % 4).cast("int")).alias("feeds")))
+    body = F.when(F.col("event_type") == "error", F.left(whole, F.length(whole) - 3)).otherwise(whole)
+    landed = shows(spark, d).select(
+        F.col("event_id").alias("run_id"), _text("src", user).alias("source_name"),
+        F.try_parse_json(body).isNotNull().alias("readable"), F.from_json(body, rg.document_schema("feeds")).alias("doc"))
+    records = landed.where("readable").select("run_id", F.explode("doc.feeds").alias("entry"))
+    return rn.isolate_failures(landed.drop("doc"), records)
