@@ -152,9 +152,10 @@ def parse_date(c: Column | str, as_of: AsOf, zone: str = "UTC") -> Column:
                  .otherwise(_last_resort(text, as_of, zone)))
         return (F.when(text.rlike(UTC_INSTANT),
                        F.coalesce(local_instant(text, zone).cast("date"), later))
-                .when(text != "", later))
+                .otherwise(later))
 
-    return let(strip(col(c)), rules)
+    # Every rule needs a digit, so text without one is done after one look.
+    return F.when(col(c).rlike("[0-9]"), let(strip(col(c)), rules))
 
 
 def parse_time(c: Column | str, zone: str = "UTC") -> Column:
@@ -172,7 +173,7 @@ def parse_time(c: Column | str, zone: str = "UTC") -> Column:
         return F.when(text.rlike(UTC_INSTANT), F.coalesce(
             F.date_format(local_instant(text, zone), "HH:mm"), later)).otherwise(later)
 
-    return let(col(c), rules)
+    return F.when(col(c).rlike("[0-9]"), let(col(c), rules))
 
 
 def local_day(instant: Column, zone: str) -> Column:

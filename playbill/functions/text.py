@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The whitespace set of the listing text rules.
@@ -46,6 +46,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def project_where(df: DataFrame, keep: list[str], fields: dict[str, Column],
+                  test: Callable[[Column], Column]) -> DataFrame:
+    """Computed fields of the rows that pass a test on them.
+
+    A filter written after the projection is pushed below it and evaluates the
+    parsing a second time; this form evaluates it once per row.
+    """
+    record = F.struct(*[c.alias(name) for name, c in fields.items()])
+    return df.select(*keep, F.inline(F.filter(F.array(record), test)))
+
+
 def truthy(c: Column | str) -> Column:
     """The text, or null when it is empty."""
     return F.nullif(col(c), F.lit(""))
@@ -100,27 +111,30 @@ def _ranges(chars: dict[str, str]) -> list[str]:
     return [f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans]
 
 
-def fold(c: Column | str) -> Column:
-    """Replace each decomposable character by its ASCII letters (NFKD)."""
-    source, target, expand = _folding()
+def _expanded(text: Column, expand: dict[str, str]) -> Column:
+    """Spell out ligatures, fractions and the like; rare, so per character only there."""
     table = F.str_to_map(F.lit(",".join(f"{k}={v}" for k, v in expand.items())), F.lit(","), F.lit("="))
+    letters = F.transform(F.split(text, ""), lambda x: F.when(
+        x > "\x7f", F.coalesce(F.try_element_at(table, x), x)).otherwise(x))
     several = "[" + "".join(_ranges(expand)) + "]"
-
-    def spelled(text: Column) -> Column:
-        # Ligatures, fractions and the like are rare: expand per character only there.
-        letters = F.transform(F.split(text, ""), lambda x: F.when(
-            x > "\x7f", F.coalesce(F.try_element_at(table, x), x)).otherwise(x))
-        return F.when(text.rlike(several), F.array_join(letters, "")).otherwise(text)
-
-    # Pure-ASCII text, the common case, skips both lookups.
-    return let(col(c), lambda x: F.when(
-        x.rlike(r"[^\x00-\x7f]"), let(F.translate(x, source, target), spelled)).otherwise(x))
+    return F.when(text.rlike(several), F.array_join(letters, "")).otherwise(text)
 
 
 def norm(c: Column | str) -> Column:
-    """Key form of a text: lower, fold, drop punctuation, squash."""
-    text = fold(F.lower(F.coalesce(col(c), F.lit(""))))
-    return squash(F.regexp_replace(text, f"[^A-Za-z0-9_{SPACES}]+", ""))
+    """Key form of a text: lower, fold accents (NFKD), drop punctuation, squash.
+
+    One ``translate`` folds single letters, turns every space into a blank and
+    drops ASCII punctuation; only text that still holds other characters needs
+    more.
+    """
+    source, target, expand = _folding()
+    dropped = "".join(chr(i) for i in range(0x80) if not (chr(i).isalnum() or chr(i) in "_" + SPACE_CHARACTERS))
+    spaces = "".join(ch for ch in SPACE_CHARACTERS if ch not in source)
+    plain = F.translate(F.lower(F.coalesce(col(c), F.lit(""))),
+                        source + spaces + dropped, target + " " * len(spaces))
+    ascii_only = let(plain, lambda x: F.when(
+        x.rlike(r"[^\x00-\x7f]"), F.regexp_replace(_expanded(x, expand), r"[^A-Za-z0-9_ ]+", "")).otherwise(x))
+    return F.trim(F.regexp_replace(ascii_only, " {2,}", " "))
 
 
 def dedupe_key(title: Column | str, day: Column | str, venue: Column | str) -> Column:
@@ -152,11 +166,9 @@ def classify(c: Column | str, fallback: Column | str | None = "other") -> Column
 
     ``fallback`` is a Column, or a plain word, or None for null.
     """
-    text = F.lower(F.coalesce(col(c), F.lit("")))
-    other = fallback if isinstance(fallback, Column) else F.lit(fallback)
-    return (F.when(_mentions(text, COMEDY_HINTS), "comedy")
-            .when(_mentions(text, MUSIC_HINTS), "music")
-            .otherwise(other))
+    other = fallback if isinstance(fallback, Column) else F.lit(fallback).cast("string")
+    return let(F.lower(F.coalesce(col(c), F.lit(""))), lambda text: F.when(
+        _mentions(text, COMEDY_HINTS), "comedy").when(_mentions(text, MUSIC_HINTS), "music").otherwise(other))
 
 
 def category_clamp(c: Column | str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playbill.functions.dates import AsOf, parse_date, parse_time
-from playbill.functions.text import classify, let, squash, truthy
+from playbill.functions.text import classify, let, project_where, squash, truthy
 
 RSS_ITEM = "title string, link string, pubDate string, description string, enclosure struct<_url: string>"
 ITEM = r"(?is)<item\b.*?</item>"
@@ -25,28 +25,36 @@ MAIL_ZONES = {"GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST"
 
 def mail_instant(c: Column) -> Column:
     """An e-mail or ISO date as ``...Z`` text; null when it is neither."""
-    named = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", "")
-    offset = named
-    for name, hours in MAIL_ZONES.items():
-        offset = F.regexp_replace(offset, rf"\s{name}$", f" {hours}")
-    instant = F.coalesce(F.try_to_timestamp(offset, F.lit("d MMM yyyy HH:mm:ss Z")),
-                         F.when(c.rlike(r"T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"), c.try_cast("timestamp")))
-    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz")),
-                         "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    offsets = F.create_map(*[F.lit(x) for pair in MAIL_ZONES.items() for x in pair])
 
+    def parsed(text: Column) -> Column:
+        zone = F.regexp_extract(text, r"\s([A-Za-z]+|[+-]\d{4})$", 1)
+        clock = F.regexp_extract(text, r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})\s", 1)
+        mail = F.concat_ws(" ", clock, F.coalesce(F.try_element_at(offsets, F.upper(zone)), zone))
+        return (F.when(clock != "", F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")))
+                .when(text.rlike(r"T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"), text.try_cast("timestamp")))
 
-def _feed_fields(fallback_title: Column) -> dict[str, Column]:
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), let(F.trim(c), parsed).cast("timestamp_ntz"))
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def _none() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _feed_fields(title: Column) -> dict[str, Column]:
     return {
-        "title": F.coalesce(truthy(fallback_title), F.col("feed_name")),
-        "city": truthy("feed_city"),
-        "genre_tags": F.coalesce("feed_category", F.lit("")),
+        "source": F.lit("rss"), "title": F.coalesce(truthy(title), F.col("feed_name")), "artist": _none(),
+        "city": truthy("feed_city"), "genre_tags": F.coalesce("feed_category", F.lit("")), "price_range": _none(),
     }
 
 
 def rss_items(feeds: DataFrame, body: str = "body") -> DataFrame:
     """One row per ``<item>`` of each document, parsed into ``item``."""
-    return feeds.withColumn("xml", F.explode(F.regexp_extract_all(body, F.lit(ITEM), F.lit(0)))).withColumn(
-        "item", F.from_xml("xml", RSS_ITEM)).drop("xml", body)
+    texts = F.regexp_extract_all(body, F.lit(ITEM), F.lit(0))
+    rest = [c for c in feeds.columns if c != body]
+    # Parsed inside the generator, so later filters cannot repeat the parsing.
+    return feeds.select(*rest, F.explode(F.transform(texts, lambda x: F.from_xml(x, RSS_ITEM))).alias("item"))
 
 
 def read_rss_items(spark: SparkSession, path: str) -> DataFrame:
@@ -57,22 +65,18 @@ def read_rss_items(spark: SparkSession, path: str) -> DataFrame:
 
 def map_rss(items: DataFrame, as_of: AsOf, zone: str, keep: list[str]) -> DataFrame:
     """Date and time from the title first, then from the publish date."""
-    item = F.col("item")
-    iso = mail_instant(item["pubDate"])
+    items = items.withColumn("iso", mail_instant(F.col("item")["pubDate"]))
+    item, iso = F.col("item"), F.col("iso")
     snippet = F.regexp_replace(F.coalesce(item["description"], F.lit("")), "<[^>]*>", "")
-    base = _feed_fields(squash(item["title"]))
-    return items.select(
-        *keep, "source_name", F.lit("rss").alias("source"), base["title"].alias("title"),
-        F.lit(None).cast("string").alias("artist"),
-        F.coalesce(truthy("feed_venue"), "feed_name").alias("venue"), base["city"].alias("city"),
-        F.coalesce(parse_date(item["title"], as_of, zone), parse_date(iso, as_of, zone),
-                   parse_date(item["pubDate"], as_of, zone)).alias("date"),
-        F.coalesce(parse_time(item["title"], zone), parse_time(iso, zone)).alias("time"),
-        classify(F.concat_ws(" ", F.coalesce(item["title"], F.lit("")), snippet),
-                 F.coalesce(truthy("feed_category"), F.lit("music"))).alias("category"),
-        base["genre_tags"].alias("genre_tags"), truthy(item["link"]).alias("ticket_url"),
-        item["enclosure"]["_url"].alias("image_url"), F.lit(None).cast("string").alias("price_range"),
-    ).where(F.col("date").isNotNull())
+    return project_where(items, [*keep, "source_name"], _feed_fields(squash(item["title"])) | {
+        "venue": F.coalesce(truthy("feed_venue"), "feed_name"),
+        "date": F.coalesce(parse_date(item["title"], as_of, zone), parse_date(iso, as_of, zone),
+                           parse_date(item["pubDate"], as_of, zone)),
+        "time": F.coalesce(parse_time(item["title"], zone), parse_time(iso, zone)),
+        "category": classify(F.concat_ws(" ", F.coalesce(item["title"], F.lit("")), snippet),
+                             F.coalesce(truthy("feed_category"), F.lit("music"))),
+        "ticket_url": truthy(item["link"]), "image_url": item["enclosure"]["_url"],
+    }, lambda r: r["date"].isNotNull())
 
 
 def _property(block: Column, name: str) -> Column:
@@ -106,17 +110,12 @@ def ical_events(feeds: DataFrame, body: str = "body") -> DataFrame:
 
 def map_ical(events: DataFrame, as_of: AsOf, zone: str, keep: list[str]) -> DataFrame:
     block = F.col("vevent")
-    summary, about = _property(block, "SUMMARY"), _property(block, "DESCRIPTION")
-    base = _feed_fields(squash(summary))
-    rows = events.withColumn("start", _start(block, zone))
-    return rows.select(
-        *keep, "source_name", F.lit("rss").alias("source"), base["title"].alias("title"),
-        F.lit(None).cast("string").alias("artist"),
-        F.coalesce(truthy("feed_venue"), _property(block, "LOCATION"), F.col("feed_name")).alias("venue"),
-        base["city"].alias("city"), F.col("start").cast("date").alias("date"),
-        F.date_format("start", "HH:mm").alias("time"),
-        classify(F.concat_ws(" ", F.coalesce(summary, F.lit("")), F.coalesce(about, F.lit(""))),
-                 F.coalesce(truthy("feed_category"), F.lit("music"))).alias("category"),
-        base["genre_tags"].alias("genre_tags"), _property(block, "URL").alias("ticket_url"),
-        F.lit(None).cast("string").alias("image_url"), F.lit(None).cast("string").alias("price_range"),
-    ).where(F.col("date").isNotNull())
+    rows = events.withColumns({"start": _start(block, zone), "summary": _property(block, "SUMMARY")})
+    about = F.coalesce(_property(block, "DESCRIPTION"), F.lit(""))
+    return project_where(rows, [*keep, "source_name"], _feed_fields(squash("summary")) | {
+        "venue": F.coalesce(truthy("feed_venue"), _property(block, "LOCATION"), F.col("feed_name")),
+        "date": F.col("start").cast("date"), "time": F.date_format("start", "HH:mm"),
+        "category": classify(F.concat_ws(" ", F.coalesce("summary", F.lit("")), about),
+                             F.coalesce(truthy("feed_category"), F.lit("music"))),
+        "ticket_url": _property(block, "URL"), "image_url": _none(),
+    }, lambda r: r["date"].isNotNull())

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from playbill.functions.dates import AsOf, parse_date, parse_time
-from playbill.functions.text import TITLE_LIMIT, classify, squash, truthy
+from playbill.functions.text import TITLE_LIMIT, classify, project_where, squash, truthy
 from playbill.functions.urls import abs_url
 
 MAX_ITEMS = 250
@@ -208,10 +208,11 @@ def map_items(items: DataFrame, registry: DataFrame, as_of: AsOf, zone: str = "U
     reg = registry.select("source_name", "name", "venue", "city", "category", F.col("url").alias("site")).select(
         "source_name", F.coalesce(truthy("venue"), "name").alias("venue"), truthy("city").alias("city"),
         "category", "site")
-    parsed = capped(items).where(F.col("error").isNull()).withColumns({
-        "title": squash("name"), "date": parse_date("date_text", as_of, zone),
-        "time": parse_time("date_text", zone)})
-    usable = parsed.where((F.col("title") != "") & F.col("date").isNotNull() & (F.length("title") <= TITLE_LIMIT))
+    usable = project_where(
+        capped(items).where(F.col("error").isNull()),
+        ["page_id", "pos", "source_name", "link", "image", "price"],
+        {"title": squash("name"), "date": parse_date("date_text", as_of, zone), "time": parse_time("date_text", zone)},
+        lambda r: (r["title"] != "") & r["date"].isNotNull() & (F.length(r["title"]) <= TITLE_LIMIT))
     return usable.join(reg, "source_name").select(
         "page_id", "pos", "source_name", F.lit("scrape").alias("source"), "title",
         F.lit(None).cast("string").alias("artist"), "venue", "city", "date", "time",

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playbill.functions.dates import AsOf, parse_date, parse_time
-from playbill.functions.text import classify, squash, truthy
+from playbill.functions.text import classify, project_where, squash, truthy
 from playbill.functions.urls import abs_url
 
 # Where JSON-LD stands in a page, and how deep it is searched.
@@ -100,13 +100,14 @@ def map_jsonld(nodes: DataFrame, as_of: AsOf, zone: str, keep: list[str], base:
         F.coalesce(_first("offers", ".url"), _text("$.url")).alias("link"),
         F.coalesce(_text("$.image"), _text("$.image.url"), _text("$.image[0]"), _text("$.image[0].url")).alias("image"),
         _price().alias("price"))
-    return flat.select(
-        *keep, "title", "artist", "venue", "city", parse_date("start", as_of, zone).alias("date"),
-        parse_time("start", zone).alias("time"), parse_time("door", zone).alias("doors_time"),
-        classify(F.concat_ws(" ", "types", "title", "about"), None).alias("category"),
-        F.lit("").alias("genre_tags"), abs_url("link", "base_url").alias("ticket_url"),
-        abs_url("image", "base_url").alias("image_url"), F.concat(F.lit("$"), F.col("price")).alias("price_range"),
-    ).where(F.col("date").isNotNull() & F.col("title").isNotNull())
+    titled = flat.where(F.col("title").isNotNull())
+    return project_where(titled, [*keep, "title", "artist", "venue", "city"], {
+        "date": parse_date("start", as_of, zone), "time": parse_time("start", zone),
+        "doors_time": parse_time("door", zone),
+        "category": classify(F.concat_ws(" ", "types", "title", "about"), None), "genre_tags": F.lit(""),
+        "ticket_url": abs_url("link", "base_url"), "image_url": abs_url("image", "base_url"),
+        "price_range": F.concat(F.lit("$"), F.col("price")),
+    }, lambda r: r["date"].isNotNull())
 
 
 def jsonld_listings(pages: DataFrame, as_of: AsOf, zone: str = "UTC") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions.dates import AsOf, parse_date, parse_time
-from playbill.functions.text import classify, truthy
+from playbill.functions.text import classify, project_where, truthy
 
 UNKNOWN_VENUE = "Unknown Venue"
 # Regions whose artist dates are kept.
@@ -40,7 +40,7 @@ def _none() -> Column:
 
 
 def _record(rows: DataFrame, keep: list[str], **fields: Column) -> DataFrame:
-    return rows.select(*keep, *[c.alias(name) for name, c in fields.items()]).where(F.col("date").isNotNull())
+    return project_where(rows, keep, fields, lambda r: r["date"].isNotNull())
 
 
 def map_nested(rows: DataFrame, as_of: AsOf, zone: str, keep: list[str]) -> DataFrame:
@@ -107,5 +107,9 @@ def map_regional(rows: DataFrame, as_of: AsOf, zone: str, keep: list[str]) -> Da
 
 
 def parse_payloads(payloads: DataFrame, schema: str, body: str = "body") -> DataFrame:
-    """Payload text to the ``e`` struct; unreadable payloads give a null struct."""
-    return payloads.withColumn("e", F.from_json(body, schema))
+    """Payload text to the ``e`` struct; unreadable payloads give a null struct.
+
+    Parsed inside a generator, so later filters cannot repeat the parsing.
+    """
+    return payloads.select(*[c for c in payloads.columns if c != body],
+                           F.explode(F.array(F.from_json(body, schema))).alias("e"))
