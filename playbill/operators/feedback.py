@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions.text import parse_tags, strip, truthy
@@ -38,10 +38,13 @@ def clear_hidden(actions: DataFrame, at_seq: int) -> DataFrame:
         F.lit("hidden").alias("attr"), F.lit(0).alias("val"))
 
 
+def _signal_tags() -> Column:
+    return F.array_append(parse_tags("genre_tags"), F.lower(strip(F.coalesce("artist", F.lit("")))))
+
+
 def signal_rows(marks: DataFrame) -> DataFrame:
     """(tag, ts) rows of interest marks: every tag plus the artist."""
-    named = F.array_append(parse_tags("genre_tags"), F.lower(strip(F.coalesce("artist", F.lit("")))))
-    return marks.select(F.explode(named).alias("tag"), "ts").where(F.col("tag") != "")
+    return marks.select(F.explode(_signal_tags()).alias("tag"), "ts").where(F.col("tag") != "")
 
 
 def record_signals(signals: DataFrame) -> DataFrame:
@@ -52,14 +55,21 @@ def record_signals(signals: DataFrame) -> DataFrame:
 
 
 def signals_from_interest(actions: DataFrame, listings: DataFrame) -> DataFrame:
-    """Signals of marks only: un-marking subtracts nothing, re-marking adds again."""
-    marks = actions.where((F.col("attr") == "interested") & (F.col("val") == 1)).select("dedupe_key", "ts")
-    return record_signals(signal_rows(marks.join(
-        listings.select("dedupe_key", "genre_tags", "artist"), "dedupe_key")))
+    """Signals of marks only: un-marking subtracts nothing, re-marking adds again.
+
+    Marks are counted per listing before the join, so a listing marked by
+    everybody meets its tags as one row.
+    """
+    marks = actions.where((F.col("attr") == "interested") & (F.col("val") == 1)).groupBy("dedupe_key").agg(
+        F.count("*").cast("double").alias("signal_count"), F.max("ts").alias("last_signal"))
+    found = marks.join(listings.select("dedupe_key", "genre_tags", "artist"), "dedupe_key")
+    rows = found.select(F.explode(_signal_tags()).alias("tag"), "signal_count", "last_signal")
+    return merge_signals(rows.where(F.col("tag") != ""))
 
 
-def merge_signals(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    both = stored.unionByName(fresh)
+def merge_signals(signals: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
+    """Stored and fresh signals added up per tag."""
+    both = signals if fresh is None else signals.unionByName(fresh)
     return both.groupBy("tag").agg(
         F.sum("signal_count").alias("signal_count"), F.max("last_signal").alias("last_signal"))
 
@@ -68,7 +78,7 @@ def top_signals(signals: DataFrame) -> DataFrame:
     return signals.orderBy(F.desc("signal_count"), F.asc("tag"))
 
 
-def parsed_weight(text):
+def parsed_weight(text: Column) -> Column:
     """Leading integer clamped to 1..5; unreadable text and zero mean 3."""
     number = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("double")
     return F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.coalesce(
@@ -109,7 +119,7 @@ def profile_weights(profiles: DataFrame) -> DataFrame:
             .select("genre", parsed_weight(F.col("weight")).alias("weight")))
 
 
-def profile_signals(profiles: DataFrame, at) -> DataFrame:
+def profile_signals(profiles: DataFrame, at: Column) -> DataFrame:
     """Each artist counts as ``weight`` signals, at least one.
 
     Summing the weight equals repeating the row, without writing the copies.

@@ -127,12 +127,15 @@ def run_counts(batch: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def duplicates_report(batch: DataFrame) -> DataFrame:
-    """Keys written more than once and the sources that wrote them."""
+    """Keys written more than once: one row per key and source that wrote it.
+
+    Rows, not a collected list, so a key written by very many sources stays
+    spread out. ``n`` counts the source's writes, ``n_key`` all of the key's.
+    """
     per_source = batch.groupBy("dedupe_key", "source_name").agg(F.count("*").alias("n"))
-    return (per_source.groupBy("dedupe_key")
-            .agg(F.sum("n").alias("n"), F.count("*").alias("n_sources"),
-                 F.array_join(F.array_sort(F.collect_list("source_name")), ",").alias("sources"))
-            .where(F.col("n") > 1))
+    repeated = per_source.groupBy("dedupe_key").agg(
+        F.sum("n").alias("n_key"), F.count("*").alias("n_sources")).where(F.col("n_key") > 1)
+    return per_source.join(repeated, "dedupe_key")
 
 
 def manual_records(form: DataFrame) -> DataFrame:

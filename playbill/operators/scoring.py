@@ -63,24 +63,20 @@ def _looks(listings: DataFrame) -> DataFrame:
         F.coalesce("artist", F.lit("")).alias("artist")).distinct()
 
 
-def score_listings(listings: DataFrame, weights: DataFrame, decayed: DataFrame,
-                   explain: bool = False) -> DataFrame:
-    """Add base, boost and score (and the matched keys); unmatched listings get 0.
+def score_listings(listings: DataFrame, weights: DataFrame, decayed: DataFrame) -> DataFrame:
+    """Add base, boost and score; unmatched listings get 0.
 
     The final join is keyed on the combination. It is unhinted, so a small score
     table is broadcast and a large one is sort-merged, where adaptive execution
-    splits a combination shared by very many listings.
+    splits a combination shared by very many listings. What each combination
+    matched stays available as rows, from ``match_explain``.
     """
     hits = match_explain(_looks(listings), weights, decayed)
-    totals = [F.sum("base").alias("base"), F.sum("boost").alias("boost")]
-    if explain:
-        totals.append(F.array_join(F.array_sort(F.collect_list("key")), "|").alias("matched"))
-    scores = hits.groupBy(F.col("genre_tags").alias("look_tags"), F.col("artist").alias("look_artist")).agg(*totals)
+    scores = hits.groupBy(F.col("genre_tags").alias("look_tags"), F.col("artist").alias("look_artist")).agg(
+        F.sum("base").alias("base"), F.sum("boost").alias("boost"))
     on = ((F.coalesce(listings["genre_tags"], F.lit("")) == scores["look_tags"])
           & (F.coalesce(listings["artist"], F.lit("")) == scores["look_artist"]))
     zero = F.lit(0.0)
     out = listings.join(scores, on, "left").drop("look_tags", "look_artist")
-    out = out.withColumns({"base": F.coalesce("base", zero), "boost": F.coalesce("boost", zero)})
-    if explain:
-        out = out.withColumn("matched", F.coalesce("matched", F.lit("")))
-    return out.withColumn("score", F.col("base") + F.col("boost"))
+    return out.withColumns({"base": F.coalesce("base", zero), "boost": F.coalesce("boost", zero)}).withColumn(
+        "score", F.col("base") + F.col("boost"))

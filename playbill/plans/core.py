@@ -107,7 +107,7 @@ def _(spark, d):
     return ingest.last_write_wins(ingest.normalize(raw_listings(spark, d)))
 
 
-@query("ok_runs_only", f"""WITH {SHOWS}, {RUN_LOG} SELECT l.l_orderkey % 1 + l.l_orderkey AS run_id, l.l_linenumber AS line
+@query("ok_runs_only", f"""WITH {RUN_LOG} SELECT l.l_orderkey AS run_id, l.l_linenumber AS line
   FROM lineitem l JOIN run_log r ON r.run_id = l.l_orderkey WHERE r.status = 'ok'""")
 def _(spark, d):
     records = read(spark, d, "lineitem").select(
@@ -124,8 +124,9 @@ def _(spark, d):
     return ingest.run_counts(records, run_log(spark, d))
 
 
-@query("duplicates_report", f"""WITH {NORMAL} SELECT dedupe_key, count(*) AS n, count(DISTINCT source_name) AS n_sources,
-  string_agg(DISTINCT source_name, ',' ORDER BY source_name) AS sources FROM normal GROUP BY dedupe_key HAVING count(*) > 1""")
+@query("duplicates_report", f"""WITH {NORMAL}, keys AS (
+    SELECT dedupe_key, count(*) AS n_key, count(DISTINCT source_name) AS n_sources FROM normal GROUP BY dedupe_key HAVING count(*) > 1)
+  SELECT dedupe_key, source_name, count(*) AS n, n_key, n_sources FROM normal JOIN keys USING (dedupe_key) GROUP BY ALL""")
 def _(spark, d):
     return ingest.duplicates_report(ingest.normalize(raw_listings(spark, d)))
 

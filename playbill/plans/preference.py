@@ -32,9 +32,8 @@ HITS = DECAYED + ", " + WEIGHTS + """, looks AS (
     ON from_tags AND (contains(token, genre) OR contains(genre, token)) GROUP BY ALL
   UNION ALL SELECT genre_tags, artist, tag AS key, 0.0, max(decayed) FROM tokens JOIN decayed
     ON contains(token, tag) OR contains(tag, token) GROUP BY genre_tags, artist, tag), totals AS (
-  SELECT genre_tags, artist, sum(base) AS base, sum(boost) AS boost,
-    string_agg(DISTINCT key, '|' ORDER BY key) AS matched FROM hits GROUP BY genre_tags, artist), scored AS (
-  SELECT l.*, coalesce(t.base, 0) AS base, coalesce(t.boost, 0) AS boost, coalesce(t.matched, '') AS matched,
+  SELECT genre_tags, artist, sum(base) AS base, sum(boost) AS boost FROM hits GROUP BY genre_tags, artist), scored AS (
+  SELECT l.*, coalesce(t.base, 0) AS base, coalesce(t.boost, 0) AS boost, 
     coalesce(t.base, 0) + coalesce(t.boost, 0) AS score
   FROM listings l LEFT JOIN totals t ON t.genre_tags = l.genre_tags AND t.artist = coalesce(l.artist, ''))"""
 
@@ -88,10 +87,10 @@ def _(spark, d):
 
 
 @query("score_listings", f"""WITH {HITS} SELECT id, round(base, 4) AS base, round(boost, 4) AS boost,
-  round(score, 4) AS score, matched FROM scored""")
+  round(score, 4) AS score FROM scored""")
 def _(spark, d):
-    scored = sc.score_listings(listings(spark, d), weights(spark, d), _decayed(spark, d), explain=True)
-    return _rounded(scored.select("id", "base", "boost", "score", "matched"))
+    scored = sc.score_listings(listings(spark, d), weights(spark, d), _decayed(spark, d))
+    return _rounded(scored.select("id", "base", "boost", "score"))
 
 
 @query("match_explain", f"""WITH {HITS} SELECT genre_tags, artist, key, round(sum(base), 4) AS base,
