@@ -30,7 +30,10 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def match_pairs(tokens: DataFrame, keys: DataFrame) -> DataFrame:
-    """Distinct (token, key) pairs that match, from columns of those names."""
+    """Distinct (token, key) pairs that match, from columns of those names.
+
+    Either input may repeat its texts; empty ones never match.
+    """
     texts = (tokens.select(F.col("token").alias("text"), F.lit(True).alias("is_token"), F.lit(False).alias("is_key"))
              .unionByName(keys.select(F.col("key").alias("text"), F.lit(False).alias("is_token"),
                                       F.lit(True).alias("is_key")))

@@ -44,13 +44,12 @@ def _tokens(looks: DataFrame) -> DataFrame:
 
 def match_explain(looks: DataFrame, weights: DataFrame, decayed: DataFrame) -> DataFrame:
     """(genre_tags, artist, key, base, boost): what each combination matched."""
-    keys = (weights.select(F.col("genre").alias("key"), F.col("weight").cast("double").alias("weight"),
-                           F.lit(None).cast("double").alias("decayed"))
-            .unionByName(decayed.select(F.col("tag").alias("key"), F.lit(None).cast("double").alias("weight"),
-                                        F.col("decayed")))
-            .groupBy("key").agg(F.max("weight").alias("weight"), F.max("decayed").alias("decayed")))
+    # A word may be a weighted genre and a signal tag; its two rows meet again below.
+    keys = weights.select(F.col("genre").alias("key"), F.col("weight").cast("double").alias("weight"),
+                          F.lit(None).cast("double").alias("decayed")).unionByName(
+        decayed.select(F.col("tag").alias("key"), F.lit(None).cast("double").alias("weight"), "decayed"))
     tokens = _tokens(looks)
-    pairs = match_pairs(tokens.select("token").distinct(), keys).join(keys, "key")
+    pairs = match_pairs(tokens.select("token"), keys.select("key")).join(keys, "key")
     hits = tokens.join(pairs, "token").where(F.col("from_tags") | F.col("decayed").isNotNull())
     return (hits.groupBy("genre_tags", "artist", "key")
             .agg(F.coalesce(F.max(F.when(F.col("from_tags"), F.col("weight"))), F.lit(0.0)).alias("base"),

@@ -54,7 +54,7 @@ def _(spark, d):
     """Exact pairs between two vocabularies of different sizes."""
     brands = read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("token"))
     tails = read(spark, d, "nation").select("n_nationkey", F.right("n_name", F.lit(1)).alias("key"))
-    pairs = match_pairs(brands.select("token").distinct(), tails.select("key").distinct())
+    pairs = match_pairs(brands.select("token"), tails.select("key"))
     return brands.join(pairs, "token").join(tails, "key").select("p_partkey", "n_nationkey")
 
 
