@@ -9,6 +9,9 @@ from playbill.functions.text import col, let, strip
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 WEB = r"(?i)^(https?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+# Already canonical: lowercase host, plain path without dot segments, simple query.
+PLAIN = (r"^https?://[a-z0-9\-]+(?:\.[a-z0-9\-]+)*(?:(?:/[A-Za-z0-9_~\-][A-Za-z0-9_~.\-]*)+/?|/)"
+         r"(?:\?[A-Za-z0-9_~.=&%\-]+)?$")
 HOST_PORT = r"^(?:.*@)?(.*?)(?::(\d*))?$"
 BAD_HOST = r"[\x00-\x20\x7f<>^|%:\[\]\\]"
 
@@ -79,12 +82,12 @@ def _normal(url: Column) -> Column:
             p["scheme"], F.lit("://"), p["user"], p["host"], port, path,
             _escape(p["query"], QUERY_ESCAPES), _escape(p["fragment"], FRAGMENT_ESCAPES)))
 
-    return let(url, lambda u: F.when(u.rlike(WEB), let(split_up(u), rebuilt)))
+    return let(url, lambda u: F.when(u.rlike(PLAIN), u).when(u.rlike(WEB), let(split_up(u), rebuilt)))
 
 
 def url_guard(c: Column | str) -> Column:
     """An absolute http(s) URL in canonical form, else null."""
-    return _normal(_tidy(col(c)))
+    return F.when(col(c).rlike(PLAIN), col(c)).otherwise(_normal(_tidy(col(c))))
 
 
 def abs_url(href: Column | str, base: Column | str) -> Column:

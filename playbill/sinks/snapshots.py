@@ -57,16 +57,26 @@ def current(spark: SparkSession, root: str) -> DataFrame | None:
     return _open(spark, root, _day_folders(spark, root, None, None))
 
 
+def touched_days(batch: DataFrame) -> set:
+    """Calendar days of a normalised batch."""
+    return {r.event_date for r in batch.select("event_date").distinct().collect()}
+
+
+def stored_days(spark: SparkSession, root: str, days: set, batch_id: int) -> DataFrame | None:
+    """The given days as they stood before a batch; other days are not read."""
+    return _open(spark, root, _day_folders(spark, root, batch_id, days))
+
+
 def write_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id: int, batch_time: Column) -> None:
     """Merge a normalised batch into the table and commit it."""
-    touched = [r.event_date for r in batch.select("event_date").distinct().collect()]
-    if not touched:
+    days = touched_days(batch)
+    if not days:
         return
-    stored = _open(spark, root, _day_folders(spark, root, batch_id, set(touched)))
+    stored = stored_days(spark, root, days, batch_id)
     merged = upsert(stored, batch, batch_time).select("dedupe_key", *MUTABLE, *KEPT, "updated_at")
     # Rebalancing by day gives files of even size: small days share a task, a day
     # that holds much of the batch is split over several.
     (merged.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date")
      .parquet(f"{root}/listings/batch_id={batch_id}"))
-    done = spark.createDataFrame([(d, batch_id) for d in touched], COMMIT)
+    done = spark.createDataFrame([(d, batch_id) for d in sorted(days)], COMMIT)
     done.coalesce(1).write.mode("append").parquet(f"{root}/commits")

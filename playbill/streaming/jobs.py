@@ -48,7 +48,11 @@ def latest_per_key(stream: DataFrame, keys: list[str], job: str, mode: str) -> D
 def stream_upsert(raw: DataFrame, root: str, batch_time: Callable[[int], Column]) -> None:
     """Merge a stream of raw records into the stored table, batch by batch."""
     def merge(batch: DataFrame, batch_id: int) -> None:
-        snapshots.write_batch(batch.sparkSession, root, normalize(batch), batch_id, batch_time(batch_id))
+        clean = normalize(batch).persist()
+        try:
+            snapshots.write_batch(batch.sparkSession, root, clean, batch_id, batch_time(batch_id))
+        finally:
+            clean.unpersist()
 
     drain(raw, root, merge)
 
@@ -57,10 +61,15 @@ def stream_run_totals(raw: DataFrame, root: str, batch_time: Callable[[int], Col
     """As ``stream_upsert``, and log found, added, updated and invalid per batch."""
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = snapshots._open(spark, root, snapshots._day_folders(spark, root, batch_id, None))
-        counts = upsert_counts(earlier, batch).withColumn("run_id", F.lit(batch_id).cast("long"))
-        counts.write.mode("overwrite").parquet(f"{root}/runs/batch_id={batch_id}")
-        snapshots.write_batch(spark, root, normalize(batch), batch_id, batch_time(batch_id))
+        clean = normalize(batch).persist()
+        try:
+            # The key holds the day, so only the batch's days can already hold its keys.
+            earlier = snapshots.stored_days(spark, root, snapshots.touched_days(clean), batch_id)
+            counts = upsert_counts(earlier, batch).withColumn("run_id", F.lit(batch_id).cast("long"))
+            counts.write.mode("overwrite").parquet(f"{root}/runs/batch_id={batch_id}")
+            snapshots.write_batch(spark, root, clean, batch_id, batch_time(batch_id))
+        finally:
+            clean.unpersist()
 
     drain(raw, root, merge)
 

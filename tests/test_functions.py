@@ -144,3 +144,12 @@ def test_normalize_url_and_host(spark):
 def test_week_bounds(spark, d, monday, sunday):
     row = spark.range(1).select(dates.week_start(F.lit(d)), dates.week_end(F.lit(d))).first()
     assert tuple(row) == (monday, sunday)
+
+
+def test_plain_urls_skip_no_rule(spark):
+    """URLs the short cut accepts are exactly what the full rules give."""
+    s = ["https://a.example/x", "https://a.example/x/", "https://a.example/", "http://a.example/x?y=1&z=%20",
+         "https://a.example/.x", "https://a.example/a/../b", "https://a.example", "https://a.example:443/x", "https://a..example/x"]
+    df = spark.createDataFrame([(v,) for v in s], "s string")
+    rows = df.select(urls.url_guard("s").alias("a"), urls._normal(F.concat("s", F.lit("#"))).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b.rstrip("#") for r in rows]
