@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import re
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from playbill.functions.dates import week_start
 from playbill.functions.text import truthy
 from playbill.operators.filters import Filters, apply_filters, date_order, relevance_order
 from playbill.operators.scoring import score_listings
@@ -65,19 +65,23 @@ def curated(listings: DataFrame, document: DataFrame) -> DataFrame:
     return wanted.join(listings.where(~F.col("hidden")), "id").orderBy("doc_id", "pos")
 
 
-def month_of(text: str | None, as_of: dt.date) -> tuple[dt.date, dt.date]:
-    """First and last day of ``YYYY-MM``; anything else means the as-of month."""
-    import re
-
-    year, month = as_of.year, as_of.month
-    if text and re.fullmatch(r"[0-9]{4}-[0-9]{2}", text) and 1 <= int(text[5:]) <= 12 and int(text[:4]) >= 1:
+def month_of(text: str | None, as_of: dt.date) -> tuple[dt.date, dt.date] | None:
+    """First and last day of ``YYYY-MM``; text of another shape means the as-of
+    month, and a month that does not exist gives None."""
+    if not re.fullmatch(r"[0-9]{4}-[0-9]{2}", text or ""):
+        year, month = as_of.year, as_of.month
+    else:
         year, month = int(text[:4]), int(text[5:])
+    if not (1 <= month <= 12 and year >= 1):
+        return None
     return dt.date(year, month, 1), dt.date(year, month, calendar.monthrange(year, month)[1])
 
 
 def month_listings(listings: DataFrame, month: str | None, as_of: dt.date, f: Filters = Filters()) -> DataFrame:
-    first, last = month_of(month, as_of)
-    return apply_filters(listings, replace(f, date_from=first, date_to=last))
+    span = month_of(month, as_of)
+    if span is None:
+        return listings.where(F.lit(False))
+    return apply_filters(listings, replace(f, date_from=span[0], date_to=span[1]))
 
 
 def month_counts(listings: DataFrame, month: str | None, as_of: dt.date, f: Filters = Filters()) -> DataFrame:
@@ -91,7 +95,10 @@ def month_grid(listings: DataFrame, month: str | None, as_of: dt.date, f: Filter
     ``selected`` marks as_of when it has listings, else the first day that does.
     At most 37 rows, so the unpartitioned window is one small task.
     """
-    first, last = month_of(month, as_of)
+    span = month_of(month, as_of)
+    if span is None:
+        raise ValueError(f"no such month: {month}")
+    first, last = span
     days = listings.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("event_date"))
     filled = days.join(month_counts(listings, month, as_of, f), "event_date", "left").select(
         "event_date", F.coalesce("n", F.lit(0)).alias("n"))
@@ -118,5 +125,7 @@ def export_upcoming(listings: DataFrame, weights: DataFrame, decayed: DataFrame,
         "interested", F.round("score", 2).alias("score"))
 
 
-__all__ = ["tonight", "top_picks", "week_days", "week_counts", "curated", "month_of", "month_listings",
-           "month_counts", "month_grid", "export_upcoming", "week_start"]
+
+def export_header(export: DataFrame, as_of: dt.date) -> DataFrame:
+    """One row that goes with an export: when it was made and how many listings it holds."""
+    return export.agg(F.count("*").alias("count")).select(F.lit(as_of.isoformat()).alias("generated_at"), "count")

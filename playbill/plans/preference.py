@@ -206,6 +206,13 @@ def _(spark, d):
     return vw.export_upcoming(listings(spark, d), weights(spark, d), _decayed(spark, d), AS_OF)
 
 
+@query("export_header", f"""WITH {LISTINGS} SELECT '{AS_OF}' AS generated_at, count(*) AS count FROM listings
+  WHERE event_date >= {DAY} AND NOT hidden""")
+def _(spark, d):
+    upcoming = vw.export_upcoming(listings(spark, d), weights(spark, d), _decayed(spark, d), AS_OF)
+    return vw.export_header(upcoming, AS_OF)
+
+
 # ── feedback ───────────────────────────────────────────────────────────────
 
 @query("current_state", f"WITH {ACTIONS} SELECT * FROM state")

@@ -39,6 +39,12 @@ def _none() -> Column:
     return F.lit(None).cast("string")
 
 
+def _amount(c: Column) -> Column:
+    """A JSON number as plain text: 25.0 is 25, 59.50 is 59.5."""
+    short = F.regexp_replace(c, r"^(-?\d+(?:\.\d*[1-9])?)\.?0*$", "$1")
+    return F.coalesce(F.when(c.contains("."), short).otherwise(c), F.lit("undefined"))
+
+
 def _record(rows: DataFrame, keep: list[str], **fields: Column) -> DataFrame:
     return project_where(rows, keep, fields, lambda r: r["date"].isNotNull())
 
@@ -69,8 +75,7 @@ def map_nested(rows: DataFrame, as_of: AsOf, zone: str, keep: list[str]) -> Data
         category=classify(F.concat_ws(" ", F.coalesce(kind["segment"]["name"], F.lit("")), F.array_join(genres, " ")), "music"),
         genre_tags=F.array_join(genres, ", "), ticket_url=truthy(e["url"]), image_url=widest["url"],
         price_range=F.when(price.isNotNull(), F.concat(
-            F.lit("$"), F.coalesce(price["min"], F.lit("undefined")), F.lit("–$"),
-            F.coalesce(price["max"], F.lit("undefined")))))
+            F.lit("$"), _amount(price["min"]), F.lit("–$"), _amount(price["max"]))))
 
 
 def map_flat(rows: DataFrame, as_of: AsOf, zone: str, keep: list[str]) -> DataFrame:
