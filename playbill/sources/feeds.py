@@ -16,6 +16,9 @@ from playbill.functions.text import classify, let, project_where, squash, truthy
 
 RSS_ITEM = "title string, link string, pubDate string, description string, enclosure struct<_url: string>"
 ITEM = r"(?is)<item\b.*?</item>"
+ATOM_ENTRY = ("title string, link array<struct<_href: string, _rel: string>>, published string, updated string, "
+              "content string")
+ENTRY = r"(?is)<entry\b.*?</entry>"
 VEVENT = r"(?s)BEGIN:VEVENT.*?END:VEVENT"
 
 # Zone names of e-mail dates and their offsets.
@@ -49,12 +52,28 @@ def _feed_fields(title: Column) -> dict[str, Column]:
     }
 
 
+def _of_entry(entry: Column) -> Column:
+    """An Atom entry with the fields of an RSS item: the alternate link, else the
+    first; the publish time, else the last update."""
+    alternate = F.filter(entry["link"], lambda x: x["_rel"] == "alternate")
+    return F.struct(
+        entry["title"].alias("title"),
+        F.coalesce(F.get(alternate, F.lit(0)), F.get(entry["link"], F.lit(0)))["_href"].alias("link"),
+        F.coalesce(truthy(entry["published"]), entry["updated"]).alias("pubDate"),
+        entry["content"].alias("description"),
+        F.struct(_none().alias("_url")).alias("enclosure"))
+
+
 def rss_items(feeds: DataFrame, body: str = "body") -> DataFrame:
-    """One row per ``<item>`` of each document, parsed into ``item``."""
-    texts = F.regexp_extract_all(body, F.lit(ITEM), F.lit(0))
+    """One row per RSS item or Atom entry of each document, parsed into ``item``."""
+    def found(pattern: str, schema: str) -> Column:
+        texts = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+        return F.transform(texts, lambda x: F.from_xml(x, schema))
+
     rest = [c for c in feeds.columns if c != body]
+    both = F.concat(found(ITEM, RSS_ITEM), F.transform(found(ENTRY, ATOM_ENTRY), _of_entry))
     # Parsed inside the generator, so later filters cannot repeat the parsing.
-    return feeds.select(*rest, F.explode(F.transform(texts, lambda x: F.from_xml(x, RSS_ITEM))).alias("item"))
+    return feeds.select(*rest, F.explode(both).alias("item"))
 
 
 def read_rss_items(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -92,6 +93,7 @@ class Tree(HTMLParser):
         self.at.children.append(data)
 
 
+@lru_cache(maxsize=1024)
 def parse_selector(text: str) -> list[list[list[tuple]]]:
     """Alternatives, each a chain of compounds; ValueError if unsupported."""
     chains = []

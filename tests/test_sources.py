@@ -131,6 +131,19 @@ def test_rss(spark, tmp_path):
     assert feeds.read_rss_items(spark, str(tmp_path)).count() == 3
 
 
+ATOM = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>F</title><link href="https://f.example/"/>
+<entry><title type="html">Folk &amp;amp; Co</title><link rel="enclosure" href="https://f.example/e"/><link rel="alternate" href="https://f.example/1"/>
+<published>2026-07-03T03:30:00Z</published><updated>2026-07-09T00:00:00Z</updated></entry>
+<entry><title>Late set</title><link href="https://f.example/2"/><updated>2026-07-04T20:00:00-07:00</updated></entry></feed>"""
+
+
+def test_atom(spark):
+    rows = feeds.map_rss(feeds.rss_items(feed(spark, ATOM)), NOW, WEST, ["id"]).orderBy("date").collect()
+    assert [(r.title, r.ticket_url, r.date, r.time) for r in rows] == [
+        ("Folk &amp; Co", "https://f.example/1", dt.date(2026, 7, 2), "20:30"),
+        ("Late set", "https://f.example/2", dt.date(2026, 7, 4), "20:00")]
+
+
 ICAL = ("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nSUMMARY:Stand-up\\, late\r\n  show\r\nDTSTART;TZID=America/New_York:20260704T230000\r\n"
         "LOCATION:Back\\nroom\r\nURL:https://c.example/1\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nDTSTART;VALUE=DATE:20260705\r\nEND:VEVENT\r\n"
         "BEGIN:VEVENT\r\nSUMMARY:None\r\nDTSTART;TZID=Nowhere/Land:20260706T100000\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n")
