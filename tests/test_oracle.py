@@ -4,6 +4,7 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from playbill.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,12 +15,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    n, diff = compare(spark, con, FOLDER, entry.queries()[name], entry.oracle_sql()[name])
+    n, diff = compare(spark, con, FOLDER, QUERIES[name], ORACLES[name])
     assert diff == []
     assert n > 0 or name in {"view_tonight", "token_match", "f_combined", "top_k"}
 

@@ -4,14 +4,15 @@ import datetime as dt
 
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401  (loads the queries)
 from playbill.operators import filters as fl
 from playbill.operators.filters import Filters, apply_filters
 from playbill.operators.ingest import normalize, upsert
 from playbill.plans import tables as tb
+from playbill.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-STREAMS = {n for n in entry.queries() if n.startswith("stream_")} | {"silver_write", "run_log_written"}
+STREAMS = {n for n in QUERIES if n.startswith("stream_")} | {"silver_write", "run_log_written"}
 
 
 def plan(df):
@@ -25,15 +26,15 @@ def stored(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - STREAMS - {"seed_weights"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS - {"seed_weights"}))
 def test_no_cross_or_nested_loop_join(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
+    text = plan(QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 def test_seeding_tests_emptiness_with_one_row(spark):
     """The emptiness test is a one-row subquery, not a join of two tables."""
-    assert "CartesianProduct" not in plan(entry.queries()["seed_weights"](spark, FOLDER))
+    assert "CartesianProduct" not in plan(QUERIES["seed_weights"](spark, FOLDER))
 
 
 def test_merge_has_one_shuffle(spark):
@@ -57,4 +58,4 @@ def test_pages_are_top_k(stored):
 
 
 def test_latest_run_needs_no_join(spark):
-    assert "Join" not in plan(entry.queries()["latest_run_per_source"](spark, FOLDER))
+    assert "Join" not in plan(QUERIES["latest_run_per_source"](spark, FOLDER))
