@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions.text import let
-from playbill.llm.storage import clean_columns
+from playbill.llm.storage import Workspace, clean_columns
 
 SPACE = r"[ \t-\r]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -123,17 +123,17 @@ RULES = [
 BASE = RULES[:2]
 
 
-def estimate(measured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+def estimate(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
     """(rule, rejected share, seconds a row) on at most ``sample_rows`` documents.
 
     The sample is bounded, so its cost does not grow with the corpus; it only decides the
     order of the rules. An empty sample gives 0 for both.
     """
-    spark = measured.sparkSession
-    rows = measured.limit(sample_rows).collect()
+    spark = docs.sparkSession
+    rows = docs.select("text").limit(sample_rows).collect()
     if not rows:
         return [(r.name, 0.0, 0.0) for r in rules]
-    sample = spark.createDataFrame(rows, measured.schema).coalesce(1)
+    sample = Workspace(spark).keep(with_measures(spark.createDataFrame(rows, "text string").coalesce(1)), "sample")
 
     def seconds(c: Column) -> tuple[float, int]:
         plan, took, hits = sample.agg(F.count_if(c).alias("n")), [], 0
@@ -172,4 +172,4 @@ def cascade(measured: DataFrame, rules: list[Rule]) -> DataFrame:
 def quality_filter(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """All documents with measures, ``rejected_by`` and ``kept``, the rules in their estimated best order."""
     measured = with_measures(docs)
-    return cascade(measured, order(rules, estimate(measured, rules, sample_rows)))
+    return cascade(measured, order(rules, estimate(docs, rules, sample_rows)))
