@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.llm import chat, lines, mixing, quality, urls, warc
+from playbill.llm import chat, lines, mixing, neardup, quality, urls, warc
 from playbill.llm.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,29 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *quality.MEASURES, failed.alias("base_failed"), "kept")
 
 
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [ws]
+                        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: ws[i:i+4])) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT u, v FROM c JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * common >= 75 * (a.n + b.n - common)),
+r(doc_id, m) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.m)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(m) AS component_id, d.doc_id = min(m) AS kept
+FROM documents d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.n"""
+
+
+@query("op4_minhash_near_dedup", NEAR_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 5-word shingles have a similarity of at least 0.75."""
+    return neardup.near_duplicates(read(spark, folder, "documents"))
+
+
 LINES_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
