@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.llm import chat, lines, mixing, neardup, quality, urls, warc
+from playbill.llm import chat, decontam, lines, mixing, neardup, quality, repeats, urls, warc
 from playbill.llm.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,13 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *quality.MEASURES, failed.alias("base_failed"), "kept")
 
 
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts without the 200-byte strings that occur elsewhere too."""
+    done = repeats.remove_repeats(read(spark, folder, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 NEAR_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -131,6 +138,15 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, folder, "documents"))
 
 
+@query("op6_benchmark_decontamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the benchmark items it holds; contaminated ones are not kept."""
+    found = decontam.find_items(read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", (F.size("item_ids") == 0).alias("kept"), (F.size("item_ids") > 0).alias("contaminated"),
+        F.size("item_ids").cast("bigint").alias("n_items"), F.array_min("distances").alias("distance"), "item_ids")
+
+
 LINES_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
