@@ -17,12 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playbill.llm.storage import clean_columns
-from playbill.llm.words import U64, Words, chunks, table
+from playbill.llm.words import CLEAN, U64, Words, chunks
 
 RATE, EXACT_WORDS, BLOCK_BYTES = 0.15, 8, 16 << 20
-PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-#: Words for matching: small letters A-Z, ASCII punctuation as white space.
-CLEAN = table(lower=True, blank=PUNCTUATION)
 
 
 def budget(m: int, rate: float = RATE) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.llm import chat, decontam, lines, mixing, neardup, quality, repeats, urls, warc
+from playbill.llm import chat, decontam, lines, mixing, neardup, quality, repeats, toxicity, urls, warc
 from playbill.llm.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +138,19 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, folder, "documents"))
 
 
+#: In the order of the chain: what the labels table tells of a document. Junk first, since its words say little about tone.
+CATEGORIES = ["low_quality", "toxic"]
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities and verdict of a chain fitted on the labelled documents."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    labels = read(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.fit_chain(docs, labels, CATEGORIES)
+    return toxicity.score(docs, chain).select("doc_id", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in CATEGORIES], *CATEGORIES)
+
+
 @query("op6_benchmark_decontamination")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the benchmark items it holds; contaminated ones are not kept."""

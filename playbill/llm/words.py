@@ -25,7 +25,9 @@ def table(lower: bool = False, blank: bytes = b"") -> np.ndarray:
     return out
 
 
-PLAIN, LOWER = table(), table(lower=True)
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: Small letters A-Z; CLEAN also takes ASCII punctuation as white space.
+LOWER, CLEAN = table(lower=True), table(lower=True, blank=PUNCTUATION)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
