@@ -25,13 +25,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the long lines that at least five documents hold; ``n_chars`` is counted anew where lines went.
 
-    A document of which nothing is left but white space goes.
+    No document goes, even if nothing of it is left: its text is empty then.
     """
-    done = lines.dedup_lines(docs)
-    changed = F.col("n_dropped") > 0
-    out = done.where(~changed | (F.btrim("kept_text", F.lit(lines.SPACES)) != "")).withColumn(
-        "n_chars", F.when(changed, F.char_length("kept_text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))).select(*COLUMNS)
+    done, changed = lines.dedup_lines(docs), F.col("n_dropped") > 0
+    counted = done.withColumn("n_chars", F.when(changed, F.char_length("kept_text").cast("bigint")).otherwise(F.col("n_chars")))
+    return counted.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,6 +119,8 @@ def probe(lines: DataFrame, stored: DataFrame, shards: int, most_bytes: int = 32
 
         return lines.mapInArrow(ask, lines.schema)
 
+    columns = lines.columns
+
     def ask_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, shard = batch.column("a").to_numpy(), batch.column("shard").to_numpy()
@@ -126,7 +128,7 @@ def probe(lines: DataFrame, stored: DataFrame, shards: int, most_bytes: int = 32
             for s in np.unique(shard):
                 rows = np.flatnonzero(shard == s)
                 passed[rows] = CuckooFilter.load(stored_filters[int(rows[0])].as_py()).contains(a[rows].view(np.uint64))
-            yield batch.select(lines.columns).filter(pa.array(passed))
+            yield batch.select(columns).filter(pa.array(passed))
 
     joined = lines.withColumn("shard", shard_of(shards)).join(stored, "shard")
     return joined.mapInArrow(ask_joined, lines.schema)
