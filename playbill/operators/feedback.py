@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playbill.functions.text import parse_tags, strip, truthy
@@ -67,10 +68,9 @@ def signals_from_interest(actions: DataFrame, listings: DataFrame) -> DataFrame:
     return merge_signals(rows.where(F.col("tag") != ""))
 
 
-def merge_signals(signals: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
-    """Stored and fresh signals added up per tag."""
-    both = signals if fresh is None else signals.unionByName(fresh)
-    return both.groupBy("tag").agg(
+def merge_signals(signals: DataFrame) -> DataFrame:
+    """Signals added up per tag."""
+    return signals.groupBy("tag").agg(
         F.sum("signal_count").alias("signal_count"), F.max("last_signal").alias("last_signal"))
 
 
@@ -92,8 +92,17 @@ def set_weights(changes: DataFrame) -> DataFrame:
             .select("genre", parsed_weight(F.coalesce("weight", F.lit(""))).alias("weight")))
 
 
-def delete_weight(weights: DataFrame, deleted: DataFrame) -> DataFrame:
-    return weights.join(deleted.select(F.lower(strip("genre")).alias("genre")), "genre", "left_anti")
+def weight_log(sets: DataFrame, deletions: DataFrame) -> DataFrame:
+    """One change log of (seq, genre, weight, gone) from sets and deletions, each with a ``seq``."""
+    return sets.select("seq", "genre", "weight", F.lit(False).alias("gone")).unionByName(
+        deletions.select("seq", "genre", F.lit(None).cast("string").alias("weight"), F.lit(True).alias("gone")))
+
+
+def current_weights(log: DataFrame) -> DataFrame:
+    """Weight per genre after all changes: the last entry of a genre decides, so a genre set again after a deletion is back."""
+    last = log.groupBy(F.lower(strip("genre")).alias("genre")).agg(
+        F.max_by("weight", "seq").alias("weight"), F.max_by("gone", "seq").alias("gone"))
+    return last.where(~F.col("gone")).select("genre", parsed_weight(F.coalesce("weight", F.lit(""))).alias("weight"))
 
 
 def seed_weights(weights: DataFrame) -> DataFrame:
@@ -104,10 +113,22 @@ def seed_weights(weights: DataFrame) -> DataFrame:
     return weights.select("genre", "weight").unionByName(starters.where(~weights.exists()))
 
 
-def unapplied(profiles: DataFrame, applied: DataFrame) -> DataFrame:
-    """Profiles whose stamp has not been applied yet."""
-    stamped = profiles.withColumn("stamp", F.coalesce(truthy("generated_at"), F.lit("v1")))
-    return stamped.join(applied.select("stamp"), "stamp", "left_anti")
+def unapplied(profiles: DataFrame, applied: DataFrame, block: int = 100_000) -> DataFrame:
+    """Profiles to apply, in the order of ``seq``: those whose stamp differs from the one applied before.
+
+    ``applied`` is the log (seq, stamp) of earlier applications; its last stamp stands before the first
+    profile. A profile with the stamp of its predecessor is skipped, so each run of equal stamps is applied
+    once. Predecessors are found within blocks of ``seq``; only one row a block meets in one task.
+    """
+    stamped = profiles.withColumns({
+        "stamp": F.coalesce(truthy("generated_at"), F.lit("v1")), "block": F.floor(F.col("seq") / block)})
+    ends = stamped.groupBy("block").agg(F.max_by("stamp", "seq").alias("last"))
+    earlier = applied.agg(F.lit(None).cast("long").alias("block"), F.max_by("stamp", "seq").alias("last"))
+    before = ends.unionByName(earlier).select(
+        "block", F.lag("last").over(W.orderBy(F.asc_nulls_first("block"))).alias("before_block")).where("block IS NOT NULL")
+    within = stamped.withColumn("before", F.lag("stamp").over(W.partitionBy("block").orderBy("seq")))
+    placed = within.join(before, "block")
+    return placed.where(~F.col("stamp").eqNullSafe(F.coalesce("before", "before_block"))).drop("block", "before", "before_block")
 
 
 def profile_weights(profiles: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import string
+import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -93,9 +94,15 @@ def order_by(name: str | None) -> list[Column]:
     return {"venue": venue_order, "relevance": relevance_order}.get(name or "", date_order)()
 
 
-def page_bounds(page: int | None, page_size: int | None) -> tuple[int, int]:
-    size = min(MAX_PAGE, max(1, page_size or DEFAULT_PAGE))
-    return max(1, page or 1), size
+def at_most(asked: int, most: int) -> int:
+    """``asked``, or ``most`` with a warning: a caller who wants more rows sets the maximum."""
+    if asked > most:
+        warnings.warn(f"{asked} rows asked for; the maximum is {most}", stacklevel=3)
+    return min(asked, most)
+
+
+def page_bounds(page: int | None, page_size: int | None, most: int = MAX_PAGE) -> tuple[int, int]:
+    return max(1, page or 1), at_most(max(1, page_size or DEFAULT_PAGE), most)
 
 
 def page(listings: DataFrame, sort: str | None = None, page_no: int | None = None,

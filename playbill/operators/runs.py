@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from playbill.functions.dates import AsOf, moment
 from playbill.functions.text import truthy
+from playbill.operators.filters import at_most
 
 LOG_DEFAULT, LOG_MAX = 50, 200
 
@@ -21,14 +22,20 @@ def log_rows(runs: DataFrame) -> DataFrame:
 
 
 def latest_run_per_source(log: DataFrame) -> DataFrame:
-    """Last log row of each source: one partial-then-final aggregate, no self-join."""
-    rest = [c for c in log.columns if c != "source_name"]
-    return (log.groupBy("source_name").agg(F.max_by(F.struct(*rest), "run_id").alias("last"))
-            .select("source_name", "last.*").orderBy(F.desc("run_at")))
+    """Last log row of each source.
+
+    The largest run of each source is a hash aggregate over two narrow columns; then only those
+    rows are fetched, so no task sorts its share of the log.
+    """
+    last = log.groupBy("source_name").agg(F.max("run_id").alias("last_run")).select(
+        F.col("source_name").alias("last_source"), "last_run")
+    newest = (F.col("run_id") == F.col("last_run")) & F.col("source_name").eqNullSafe(F.col("last_source"))
+    return log.join(last, newest, "left_semi").orderBy(F.desc("run_at"))
 
 
-def recent_logs(log: DataFrame, limit: int | None = None) -> DataFrame:
-    return log.orderBy(F.desc("run_id")).limit(min(LOG_MAX, limit or LOG_DEFAULT))
+def recent_logs(log: DataFrame, limit: int | None = None, most: int = LOG_MAX) -> DataFrame:
+    """The last runs. Asking for more than ``most`` gives ``most``, with a warning."""
+    return log.orderBy(F.desc("run_id")).limit(at_most(limit or LOG_DEFAULT, most))
 
 
 def status_summary(listings: DataFrame, log: DataFrame) -> DataFrame:
@@ -40,8 +47,9 @@ def status_summary(listings: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def run_totals(log: DataFrame) -> DataFrame:
-    """Added listings and errors per source, with the grand total under null."""
-    return log.rollup("source_name").agg(
+    """Added listings and errors per adapter; ``is_total`` marks the grand total, which a null adapter is not."""
+    return log.rollup("source").agg(
+        F.grouping("source").cast("boolean").alias("is_total"),
         F.sum("events_added").cast("long").alias("added"),
         F.count_if(F.col("status") == "error").alias("errors"))
 

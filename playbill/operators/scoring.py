@@ -16,6 +16,8 @@ from playbill.functions.text import parse_tags, strip
 from playbill.operators.matching import match_pairs
 
 WEEK_SECONDS = 7 * 24 * 60 * 60
+#: Scores are added up as decimals, so that their order does not depend on the order of the additions.
+EXACT = "decimal(28,8)"
 
 
 def decay_signals(signals: DataFrame, as_of: AsOf) -> DataFrame:
@@ -72,10 +74,10 @@ def score_listings(listings: DataFrame, weights: DataFrame, decayed: DataFrame)
     """
     hits = match_explain(_looks(listings), weights, decayed)
     scores = hits.groupBy(F.col("genre_tags").alias("look_tags"), F.col("artist").alias("look_artist")).agg(
-        F.sum("base").alias("base"), F.sum("boost").alias("boost"))
+        *[F.sum(F.col(c).cast(EXACT)).cast("double").alias(c) for c in ("base", "boost")])
     on = ((F.coalesce(listings["genre_tags"], F.lit("")) == scores["look_tags"])
           & (F.coalesce(listings["artist"], F.lit("")) == scores["look_artist"]))
     zero = F.lit(0.0)
     out = listings.join(scores, on, "left").drop("look_tags", "look_artist")
-    return out.withColumns({"base": F.coalesce("base", zero), "boost": F.coalesce("boost", zero)}).withColumn(
-        "score", F.col("base") + F.col("boost"))
+    parts = {"base": F.coalesce("base", zero), "boost": F.coalesce("boost", zero)}
+    return out.withColumns(parts).withColumn("score", F.round(F.col("base") + F.col("boost"), 4))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from playbill.functions.text import truthy
-from playbill.operators.filters import Filters, apply_filters, date_order, relevance_order
+from playbill.operators.filters import Filters, apply_filters, at_most, date_order, relevance_order
 from playbill.operators.scoring import score_listings
 
 TOP_DEFAULT, TOP_MAX, TOP_DAYS = 50, 100, 30
@@ -26,11 +26,14 @@ def tonight(listings: DataFrame, weights: DataFrame, decayed: DataFrame, as_of:
 
 
 def top_picks(listings: DataFrame, weights: DataFrame, decayed: DataFrame, as_of: dt.date,
-              f: Filters = Filters(), limit: int | None = None) -> DataFrame:
-    """Best scores of the next 30 days; listings without a match still count."""
+              f: Filters = Filters(), limit: int | None = None, most: int = TOP_MAX) -> DataFrame:
+    """Best scores of the next 30 days; listings without a match still count.
+
+    Asking for more than ``most`` gives ``most``, with a warning.
+    """
     window = replace(f, date_from=as_of, date_to=as_of + dt.timedelta(days=TOP_DAYS))
     scored = score_listings(apply_filters(listings, window), weights, decayed)
-    return scored.orderBy(*relevance_order()).limit(min(TOP_MAX, limit or TOP_DEFAULT))
+    return scored.orderBy(*relevance_order()).limit(at_most(limit or TOP_DEFAULT, most))
 
 
 def week_days(listings: DataFrame, as_of: dt.date, f: Filters = Filters()) -> DataFrame:

@@ -48,14 +48,16 @@ def _rounded(df):
 
 # ── matching and scoring ───────────────────────────────────────────────────
 
-@query("token_match", """SELECT p.p_partkey, n.n_nationkey FROM part p JOIN nation n
-  ON p.p_brand <> '' AND (contains(p.p_brand, right(n.n_name, 1)) OR contains(right(n.n_name, 1), p.p_brand))""")
+@query("token_match", """SELECT c.c_custkey, k.n_nationkey FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey
+  JOIN nation k ON contains(n.n_name, k.n_name) OR contains(k.n_name, n.n_name)""")
 def _(spark, d):
-    """Exact pairs between two vocabularies of different sizes."""
-    brands = read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("token"))
-    tails = read(spark, d, "nation").select("n_nationkey", F.right("n_name", F.lit(1)).alias("key"))
-    pairs = match_pairs(brands.select("token"), tails.select("key"))
-    return brands.join(pairs, "token").join(tails, "key").select("p_partkey", "n_nationkey")
+    """Nations whose whole name contains, or is contained in, that of a customer's nation."""
+    nations = read(spark, d, "nation")
+    homes = read(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.col("n_name").alias("token"))
+    names = nations.select("n_nationkey", F.col("n_name").alias("key"))
+    pairs = match_pairs(homes.select("token"), names.select("key"))
+    return homes.join(pairs, "token").join(names, "key").select("c_custkey", "n_nationkey")
 
 
 @query("token_match_names", """SELECT DISTINCT lower(a.p_name) AS token, w.word AS key FROM part a JOIN (
@@ -283,13 +285,18 @@ def _(spark, d):
     return fb.set_weights(_weight_changes(spark, d))
 
 
-@query("delete_weight", f"""WITH {CHANGES} SELECT genre, weight FROM edited
-  WHERE genre NOT IN (SELECT lower(c_mktsegment || ' ' || n_nationkey) FROM nation, (SELECT DISTINCT c_mktsegment FROM customer))""")
+@query("delete_weight", f"""WITH {CHANGES}, log AS (
+    SELECT 2 * seq AS seq, genre, CAST(weight AS INTEGER) AS weight FROM changes
+    UNION ALL SELECT 2 * s_suppkey * 13 + 1, segment || ' ' || (s_suppkey % 50), 0 FROM supplier,
+      (VALUES ('automobile'), ('building'), ('furniture'), ('household'), ('machinery')) v(segment))
+  SELECT genre, max_by(weight, seq) AS weight FROM log GROUP BY genre HAVING max_by(weight, seq) > 0""")
 def _(spark, d):
-    gone = read(spark, d, "nation").select(F.explode(F.array(*[
-        F.concat(F.lit(f" {s} "), F.col("n_nationkey").cast("string"))
+    """Deletions between the sets: a genre that is set again afterwards is back."""
+    key = F.col("s_suppkey")
+    gone = read(spark, d, "supplier").select((2 * key * 13 + 1).alias("seq"), F.explode(F.array(*[
+        F.concat(F.lit(f" {s} "), (key % 50).cast("string"))
         for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])).alias("genre"))
-    return fb.delete_weight(fb.set_weights(_weight_changes(spark, d)), gone)
+    return fb.current_weights(fb.weight_log(_weight_changes(spark, d).withColumn("seq", 2 * F.col("seq")), gone))
 
 
 @query("seed_weights", f"""WITH {CHANGES}, heavy AS (SELECT * FROM edited WHERE weight > 5)
@@ -308,7 +315,7 @@ def _profiles(spark, d):
     """One taste profile per part, as the JSON text it would be stored in."""
     number = F.col("p_partkey")
     document = F.to_json(F.struct(
-        F.when(number % 4 != 0, F.concat(F.lit("v"), (number % 3).cast("string"))).alias("generated_at"),
+        F.when(number % 4 != 0, F.concat(F.lit("v"), (F.floor(number / 3) % 3).cast("string"))).alias("generated_at"),
         F.array(F.struct(F.col("p_type").alias("genre"), F.col("p_size").alias("weight")),
                 F.struct(F.col("p_name").alias("genre"), F.lit(None).cast("int").alias("weight"))).alias("genres"),
         F.array(F.struct(F.col("p_brand").alias("name"), (F.col("p_size") % 6).alias("weight"))).alias("artists")))
@@ -316,12 +323,14 @@ def _profiles(spark, d):
 
 
 def _applied(spark, d):
-    """Stamps already applied: 'v' plus the keys of the first regions."""
-    return read(spark, d, "region").where("r_regionkey = 2").select(
-        F.concat(F.lit("v"), F.col("r_regionkey").cast("string")).alias("stamp"))
+    """Stamps applied before, one for each region; the last of them counts."""
+    return read(spark, d, "region").select(
+        F.col("r_regionkey").cast("long").alias("seq"), F.concat(F.lit("v"), (F.col("r_regionkey") % 3).cast("string")).alias("stamp"))
 
 
-FRESH = """fresh AS (SELECT * FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 3 <> 2)"""
+FRESH = """fresh AS (
+    SELECT *, CASE WHEN p_partkey % 4 <> 0 THEN 'v' || (p_partkey // 3 % 3) ELSE 'v1' END AS stamp FROM part
+    QUALIFY stamp <> lag(stamp, 1, (SELECT 'v' || (max(r_regionkey) % 3) FROM region)) OVER (ORDER BY p_partkey))"""
 
 
 @query("apply_taste_profile", f"""WITH {FRESH}, named AS (
@@ -330,7 +339,7 @@ FRESH = """fresh AS (SELECT * FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 3
   SELECT 'weight' AS layer, genre AS name, CAST(max_by(weight, (seq, pos)) AS DOUBLE) AS value FROM named GROUP BY genre
   UNION ALL SELECT 'signal', lower(p_brand), CAST(sum(greatest(1, p_size % 6)) AS DOUBLE) FROM fresh GROUP BY lower(p_brand)""")
 def _(spark, d):
-    todo = fb.unapplied(_profiles(spark, d), _applied(spark, d))
+    todo = fb.unapplied(_profiles(spark, d), _applied(spark, d), block=1000)
     layer1 = fb.profile_weights(todo).select(
         F.lit("weight").alias("layer"), F.col("genre").alias("name"), F.col("weight").cast("double").alias("value"))
     layer2 = fb.profile_signals(todo, ntz("2024-01-01 00:00:00")).select(
@@ -375,8 +384,8 @@ def _(spark, d):
         "last_run_at", F.date_format("last_run_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("run_totals", f"""WITH {RUN_LOG} SELECT source_name, CAST(sum(events_added) AS BIGINT) AS added,
-  count(*) FILTER (status = 'error') AS errors FROM run_log GROUP BY ROLLUP (source_name)""")
+@query("run_totals", f"""WITH {RUN_LOG} SELECT source, grouping(source) = 1 AS is_total, CAST(sum(events_added) AS BIGINT) AS added,
+  count(*) FILTER (status = 'error') AS errors FROM run_log GROUP BY ROLLUP (source)""")
 def _(spark, d):
     return rn.run_totals(run_log(spark, d))
 

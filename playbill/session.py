@@ -1,4 +1,4 @@
-"""Session for tests and benchmarks, and the shared checkpoint folder."""
+"""Session for tests and benchmarks, and the folder all executors share."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ def local_session(cpus: str = "8", name: str = "playbill") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="playbill-"))
         # Call sites of every Column step are of use in notebooks; they cost half the planning time.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
@@ -26,12 +27,7 @@ def local_session(cpus: str = "8", name: str = "playbill") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, for checkpoints and small tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session may do
-    without: it gets a temporary folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``; a session that does not uses
+    its warehouse, which executors share as well.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="playbill-")
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/playbill-work"
