@@ -79,28 +79,34 @@ def relative_time(then: Column, as_of: AsOf) -> Column:
 def extraction_health(items: DataFrame, registry: DataFrame) -> DataFrame:
     """Per registered source: items matched, usable ones, and the verdict.
 
-    ``items`` has (source_name, usable). A source without items still reports.
+    ``items`` has (source_name, reason), as ``item_report`` gives them: reason is null for a record, and
+    page errors begin with "unreadable". ``cut`` counts items over a cap, ``failed`` unreadable pages. A
+    registered source without items still reports, and so does a source that only its items know.
     """
+    unread = F.coalesce(F.col("reason").startswith("unreadable"), F.lit(False))
     per_source = items.groupBy("source_name").agg(
-        F.count("*").alias("matched"), F.count_if("usable").alias("usable"))
-    counted = registry.select("source_name").join(per_source, "source_name", "left").select(
-        "source_name", F.coalesce("matched", F.lit(0)).alias("matched"),
-        F.coalesce("usable", F.lit(0)).alias("usable"))
+        F.count_if(~unread).alias("matched"), F.count_if(F.col("reason").isNull()).alias("usable"),
+        F.count_if(F.col("reason") == "over the cap").alias("cut"), F.count_if(unread).alias("failed"))
+    numbers = ["matched", "usable", "cut", "failed"]
+    counted = registry.select("source_name").join(per_source, "source_name", "full").select(
+        "source_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers])
     return counted.withColumn("verdict", F.when(F.col("matched") == 0, "no items matched")
                               .when(F.col("usable") == 0, F.concat_ws(" ", F.lit("matched"), F.col("matched"), F.lit("but none usable")))
                               .otherwise("ok")).withColumn(
         "status", F.when(F.col("usable") > 0, "ok").otherwise("error"))
 
 
-def isolate_failures(documents: DataFrame, records: DataFrame) -> DataFrame:
-    """One log row per landed document: unreadable ones become error rows and
-    never stop the others.
+def isolate_failures(documents: DataFrame, records: DataFrame, rejects: DataFrame) -> DataFrame:
+    """One log row per landed document: unreadable ones become error rows and never stop the others.
 
-    ``documents`` has (run_id, source_name, readable); ``records`` has a row per
-    record read, by run_id.
+    ``documents`` has (run_id, source_name); ``records`` a row per record read, by run_id; ``rejects``
+    (run_id, reason) what a reader gave back. A reason that begins with "unreadable" is the whole document's.
     """
     found = records.groupBy("run_id").agg(F.count("*").alias("n"))
-    return documents.join(found, "run_id", "left").select(
-        "run_id", "source_name", F.when(F.col("readable"), "ok").otherwise("error").alias("status"),
-        F.when(F.col("readable"), F.coalesce("n", F.lit(0))).otherwise(0).alias("events_found"),
-        F.when(~F.col("readable"), "unreadable document").alias("error_msg"))
+    bad = rejects.groupBy("run_id").agg(
+        F.count("*").alias("rejected"), F.min(F.when(F.col("reason").startswith("unreadable"), F.col("reason"))).alias("error_msg"))
+    broken = F.col("error_msg").isNotNull()
+    return documents.join(found, "run_id", "left").join(bad, "run_id", "left").select(
+        "run_id", "source_name", F.when(broken, "error").otherwise("ok").alias("status"),
+        F.when(broken, 0).otherwise(F.coalesce("n", F.lit(0))).alias("events_found"),
+        F.when(broken, 0).otherwise(F.coalesce("rejected", F.lit(0))).alias("rejected"), "error_msg")

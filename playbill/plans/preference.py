@@ -403,19 +403,3 @@ def _(spark, d):
     ELSE CAST(floor(h / 24 + 0.5) AS BIGINT) || 'd ago' END AS age FROM hours""")
 def _(spark, d):
     return run_log(spark, d).select("run_id", rn.relative_time(F.col("run_at"), "2024-01-30 12:00:00").alias("age"))
-
-
-@query("extraction_health", """WITH items AS (
-    SELECT 'src' || (user_id % 97) AS source_name, event_type <> 'error' AND user_id % 97 <> 3 AS usable FROM events), registry AS (
-    SELECT 'src' || s_suppkey AS source_name FROM supplier), counted AS (
-    SELECT r.source_name, count(i.usable) AS matched, count(*) FILTER (i.usable) AS usable
-    FROM registry r LEFT JOIN items i USING (source_name) GROUP BY r.source_name)
-  SELECT *, CASE WHEN matched = 0 THEN 'no items matched' WHEN usable = 0 THEN 'matched ' || matched || ' but none usable' ELSE 'ok' END AS verdict,
-    CASE WHEN usable > 0 THEN 'ok' ELSE 'error' END AS status FROM counted""")
-def _(spark, d):
-    site = F.col("user_id") % 97
-    items = read(spark, d, "events").select(
-        F.concat(F.lit("src"), site.cast("string")).alias("source_name"),
-        ((F.col("event_type") != "error") & (site != 3)).alias("usable"))
-    registry = read(spark, d, "supplier").select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("source_name"))
-    return rn.extraction_health(items, registry)

@@ -226,7 +226,7 @@ def _(spark, d):
   FROM items JOIN nation ON n_nationkey = site WHERE site <> 3 AND pos < 250""")
 def _(spark, d):
     items = ht.html_items(_scraped(spark, d))
-    return ht.map_items(items, _sites(spark, d), AS_OF).select(
+    return ht.map_items(items, _sites(spark, d), AS_OF, max_items=ht.MAX_ITEMS).select(
         "page_id", F.substring("source_name", 5, 9).cast("long").alias("site"), "pos", "title", "venue", "date", "time",
         "category", "ticket_url", "image_url", "price_range")
 
@@ -417,18 +417,67 @@ def _(spark, d):
 
 
 
-@query("isolate_failures", f"""WITH {SHOWS} SELECT event_id AS run_id, 'src' || user_id AS source_name,
-    CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
-    CASE WHEN event_type = 'error' THEN 0 ELSE user_id % 4 END AS events_found,
-    CASE WHEN event_type = 'error' THEN 'unreadable document' END AS error_msg FROM shows""")
+BROKEN = "event_type = 'error'"
+
+
+@query("isolate_failures", f"""WITH {SHOWS}, kinds AS (SELECT event_id, user_id, event_type, unnest(['rss', 'api', 'page']) AS kind FROM shows)
+  SELECT event_id AS run_id, kind || user_id AS source_name, CASE WHEN {BROKEN} THEN 'error' ELSE 'ok' END AS status,
+    CASE WHEN {BROKEN} THEN 0 WHEN kind = 'api' THEN 1 ELSE 2 END AS events_found,
+    CASE WHEN {BROKEN} OR kind = 'api' THEN 0 ELSE 1 END AS rejected,
+    CASE WHEN {BROKEN} THEN CASE kind WHEN 'rss' THEN 'unreadable feed' WHEN 'api' THEN 'unreadable payload'
+      ELSE CASE user_id % 2 WHEN 0 THEN 'unreadable page: no page text' ELSE 'unreadable page: selectors.item is not configured' END END END AS error_msg
+  FROM kinds""")
 def _(spark, d):
-    """Registry documents per show, some of them cut off in the middle."""
-    user = F.col("user_id")
-    entry = F.struct(F.col("p_name").alias("name"), F.lit("https://x.example/").alias("url"))
-    whole = F.to_json(F.struct(F.array_repeat(entry, (user % 4).cast("int")).alias("feeds")))
-    body = F.when(F.col("event_type") == "error", F.left(whole, F.length(whole) - 3)).otherwise(whole)
-    landed = shows(spark, d).select(
-        F.col("event_id").alias("run_id"), _text("src", user).alias("source_name"),
-        F.try_parse_json(body).isNotNull().alias("readable"), F.from_json(body, rg.document_schema("feeds")).alias("doc"))
-    records = landed.where("readable").select("run_id", F.explode("doc.feeds").alias("entry"))
-    return rn.isolate_failures(landed.drop("doc"), records)
+    """Three landed documents per show, a feed, a payload and a page; those of error events are broken."""
+    broken, user = F.col("event_type") == "error", F.col("user_id")
+    landed = shows(spark, d).select(F.col("event_id").alias("run_id"), "event_type", "user_id", "p_name", "n_name")
+
+    entry = lambda title, date: _text("<item><title>", title, "</title><pubDate>", date, "</pubDate></item>")
+    feed_body = F.when(broken, "<html>gone</html>").otherwise(_text(
+        "<rss><channel>", entry("A &nbsp; B & C", "Sat, 06 Jan 2024 20:00:00 GMT"), entry("Plain", "2024-01-07T20:00:00Z"), entry("No day", ""), "</channel></rss>"))
+    feed_docs = landed.select(
+        "run_id", feed_body.alias("body"), _text("rss", user).alias("source_name"), F.col("n_name").alias("feed_name"),
+        *[F.lit("").alias(c) for c in ("feed_venue", "feed_city", "feed_category")])
+    items = fd.rss_items(feed_docs)
+    rss = fd.map_rss(items, AS_OF, WEST, ["run_id"]).select("run_id")
+
+    payload = F.to_json(F.struct(F.struct(F.col("p_name").alias("text")).alias("name"), F.struct(F.lit("2024-01-09T20:00:00").alias("local")).alias("start")))
+    api_docs = landed.select(
+        "run_id", F.when(broken, F.left(payload, F.length(payload) - 3)).otherwise(payload).alias("body"), _text("api", user).alias("source_name"),
+        F.lit("music").alias("category"), F.lit("").alias("default_city"))
+    api = pl.map_flat(pl.parse_payloads(api_docs, pl.FLAT), AS_OF, WEST, ["run_id"]).select("run_id")
+
+    markup = '<ul><li class="e"><p><b>A</b><i>Jan 6, 2024</i><li class="e"><p><b>B</b><i>Jan 7, 2024</i><li class="e"><b>C</b><i>some day</i></ul>'
+    selectors = F.struct(
+        F.when(~broken | (user % 2 == 0), ".e").alias("item"), F.lit("b").alias("name"), F.lit("i").alias("date"),
+        *[F.lit(None).cast("string").alias(c) for c in ("ticketLink", "image", "price")])
+    page_docs = landed.select(
+        F.col("run_id").alias("page_id"), F.lit("https://x.example/").alias("url"), _text("page", user).alias("source_name"),
+        F.when(~broken | (user % 2 == 1), markup).alias("html"), selectors.alias("selectors"))
+    raw = ht.html_items(page_docs)
+    no_sites = page_docs.select("source_name", "url", *[F.lit(None).cast("string").alias(c) for c in ("name", "venue", "city", "category")]).where(F.lit(False))
+    pages = ht.map_items(raw, no_sites, AS_OF).select(F.col("page_id").alias("run_id"))
+
+    def of(kind, documents, records, rejects):
+        return rn.isolate_failures(documents.select("run_id", "source_name"), records, rejects)
+
+    return (of("rss", feed_docs, rss, fd.feed_rejects(feed_docs, items, rss, ["run_id"]))
+            .unionByName(of("api", api_docs, api, pl.payload_rejects(api_docs, api, ["run_id"])))
+            .unionByName(of("page", page_docs.withColumnRenamed("page_id", "run_id"), pages,
+                            ht.rejected_items(raw, AS_OF).select(F.col("page_id").alias("run_id"), "reason"))))
+
+
+@query("extraction_health", f"""WITH {ITEMS}, pages_of AS (
+    SELECT page_id, page_id % 5 AS site, page_id % 7 IN (5, 6) AS broken FROM pages), counted AS (
+    SELECT n_nationkey, count(i.pos) FILTER (NOT p.broken) AS matched, count(i.pos) FILTER (NOT p.broken AND p.site <> 3 AND i.pos < 250) AS usable,
+      count(i.pos) FILTER (NOT p.broken AND i.pos >= 250) AS cut, count(DISTINCT p.page_id) FILTER (p.broken) AS failed
+    FROM nation LEFT JOIN pages_of p ON p.site = n_nationkey LEFT JOIN items i ON i.page_id = p.page_id GROUP BY n_nationkey)
+  SELECT 'site' || n_nationkey AS source_name, matched, usable, cut, failed,
+    CASE WHEN matched = 0 THEN 'no items matched' WHEN usable = 0 THEN 'matched ' || matched || ' but none usable' ELSE 'ok' END AS verdict,
+    CASE WHEN usable > 0 THEN 'ok' ELSE 'error' END AS status FROM counted""")
+def _(spark, d):
+    """The markup reader's own report, with pages that have no text or no selector among them."""
+    n = F.col("page_id")
+    pages = _scraped(spark, d).withColumns({"html": F.when(n % 7 != 5, F.col("html")), "selectors": F.when(n % 7 != 6, F.col("selectors"))})
+    report = ht.item_report(ht.html_items(pages), AS_OF, max_items=ht.MAX_ITEMS)
+    return rn.extraction_health(report, _sites(spark, d))

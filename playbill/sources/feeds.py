@@ -64,11 +64,39 @@ def _of_entry(entry: Column) -> Column:
         F.struct(_none().alias("_url")).alias("enclosure"))
 
 
+def _empty(item: Column, schema: str) -> Column:
+    """No field was read: the text is not strict XML."""
+    names = [part.split()[0] for part in schema.replace("enclosure struct<_url: string>", "enclosure x").replace(
+        "link array<struct<_href: string, _rel: string>>", "link x").split(", ")]
+    return item.isNull() | F.forall(F.array(*[item[n].isNull() for n in names]), lambda x: x)
+
+
+def repaired(text: Column) -> Column:
+    """An item with unknown entities and bare ampersands made readable."""
+    spaces = F.regexp_replace(text, "&nbsp;", "&#160;")
+    return F.regexp_replace(spaces, r"&(?!(amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", "&amp;")
+
+
+def feed_rejects(feeds: DataFrame, items: DataFrame, records: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
+    """(keys, reason) of what a feed document lost: documents that are no feed, and items without a record.
+
+    ``items`` and ``records`` are what ``rss_items`` and ``map_rss`` made of the documents, both with ``keys``.
+    """
+    text = F.coalesce(F.col(body), F.lit(""))
+    broken = feeds.where(~text.rlike(r"(?i)<(rss|feed|rdf)\b")).select(*keys, F.lit("unreadable feed").alias("reason"))
+    had = items.groupBy(*keys).agg(F.count("*").alias("had"))
+    made = records.groupBy(*keys).agg(F.count("*").alias("made"))
+    lost = had.join(made, keys, "left").select(*keys, (F.col("had") - F.coalesce("made", F.lit(0))).cast("int").alias("lost"))
+    rows = lost.where("lost > 0").select(*keys, F.explode(F.array_repeat(F.lit("item without a date"), F.col("lost"))).alias("reason"))
+    return broken.unionByName(rows)
+
+
 def rss_items(feeds: DataFrame, body: str = "body") -> DataFrame:
     """One row per RSS item or Atom entry of each document, parsed into ``item``."""
     def found(pattern: str, schema: str) -> Column:
-        texts = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-        return F.transform(texts, lambda x: F.from_xml(x, schema))
+        texts = F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(pattern), F.lit(0))
+        return F.transform(texts, lambda x: let(F.from_xml(x, schema), lambda strict: F.when(
+            _empty(strict, schema), F.from_xml(repaired(x), schema)).otherwise(strict)))
 
     rest = [c for c in feeds.columns if c != body]
     both = F.concat(found(ITEM, RSS_ITEM), F.transform(found(ENTRY, ATOM_ENTRY), _of_entry))

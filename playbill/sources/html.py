@@ -12,11 +12,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -24,6 +23,7 @@ from playbill.functions.dates import AsOf, parse_date, parse_time
 from playbill.functions.text import TITLE_LIMIT, classify, project_where, squash, truthy
 from playbill.functions.urls import abs_url
 
+#: The usual cap on items of a page; callers pass it as ``max_items``.
 MAX_ITEMS = 250
 SLICE = 10_000
 RAW_ITEM = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("source_name", pa.string()), ("pos", pa.int32())]
@@ -31,7 +31,9 @@ RAW_ITEM = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("source_na
 
 # Elements without content, and ones a sibling closes.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-SELF_CLOSING = {"li", "p", "td", "th", "tr", "dt", "dd", "option"}
+CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
+WITHIN = {"li": {"ul", "ol"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"},
+          "p": set("li td th dd div section article main header footer aside form blockquote ul ol table".split())}
 
 PART = re.compile(r"(\*|[A-Za-z][\w-]*)|\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$]?=)\s*(?:'([^']*)'|\"([^\"]*)\"|([\w-]+))\s*)?\]")
 COMPARE = {"=": str.__eq__, "*=": str.__contains__, "^=": str.startswith, "$=": str.endswith}
@@ -75,13 +77,21 @@ class Tree(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag in SELF_CLOSING and self.at.tag == tag:
-            self.at = self.at.parent
+        if tag in CLOSES:
+            self.close_open(tag)
         child = Element(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(child)
         if tag not in VOID:
             self.at = child
 
+    def close_open(self, tag):
+        """An element whose end was left out ends where a sibling starts, with all that is open inside it."""
+        node = self.at
+        while node.parent is not None and node.tag not in CLOSES[tag] and node.tag not in WITHIN[tag]:
+            node = node.parent
+        if node.tag in CLOSES[tag]:
+            self.at = node.parent
+
     def handle_endtag(self, tag):
         node = self.at
         while node.parent is not None and node.tag != tag:
@@ -93,7 +103,6 @@ class Tree(HTMLParser):
         self.at.children.append(data)
 
 
-@lru_cache(maxsize=1024)
 def parse_selector(text: str) -> list[list[list[tuple]]]:
     """Alternatives, each a chain of compounds; ValueError if unsupported."""
     chains = []
@@ -104,14 +113,14 @@ def parse_selector(text: str) -> list[list[list[tuple]]]:
             tests, end = [], 0
             for m in PART.finditer(compound):
                 if m.start() != end or (m[1] and end):
-                    raise ValueError(text)
+                    raise ValueError(f"unsupported selector: {text}")
                 tests.append(tuple(m.groups()))
                 end = m.end()
             if end != len(compound):
-                raise ValueError(text)
+                raise ValueError(f"unsupported selector: {text}")
             chain.append(tests)
         if not chain:
-            raise ValueError(text)
+            raise ValueError(f"unsupported selector: {text}")
         chains.append(chain)
     return chains
 
@@ -150,42 +159,66 @@ def select(root: Element, selector: str) -> Iterator[Element]:
     return (el for el in root.descendants() if any(_matches(el, c) for c in chains))
 
 
-def pick(root: Element, selector: str | None) -> Element | None:
-    """First match, or None; an unusable sub-selector also means None."""
-    if not selector:
-        return None
-    try:
-        return next(select(root, selector), None)
-    except ValueError:
-        return None
+FIELDS = ["name", "date", "ticketLink", "image", "price"]
+
 
+def chains_of(sel: dict) -> dict[str, list]:
+    """Parsed field selectors; one that is missing or unsupported finds nothing."""
+    out = {}
+    for field in FIELDS:
+        try:
+            out[field] = parse_selector(sel.get(field) or "")
+        except ValueError:
+            out[field] = []
+    return out | {"timed": parse_selector("time[datetime]")}
 
-def page_items(html: str, sel: dict) -> Iterator[dict]:
+
+def first_matches(root: Element, chains: dict[str, list]) -> dict[str, Element]:
+    """The first element below ``root`` for each selector, found in one walk that ends when all are."""
+    found: dict[str, Element] = {}
+    open_fields = {f: c for f, c in chains.items() if c}
+    for el in root.descendants():
+        for field in [f for f, c in open_fields.items() if any(_matches(el, chain) for chain in c)]:
+            found[field] = el
+            del open_fields[field]
+        if not open_fields:
+            break
+    return found
+
+
+def page_items(html: str | None, sel: dict | None) -> Iterator[dict]:
+    if html is None:
+        raise ValueError("no page text")
+    if not sel or not (sel.get("item") or "").strip():
+        raise ValueError("selectors.item is not configured")
+    chains = chains_of(sel)
     for el in select(Tree(html).root, sel["item"]):
-        name, date, link, image, price = (
-            pick(el, sel.get(k)) for k in ("name", "date", "ticketLink", "image", "price"))
-        stamp = date.attrs.get("datetime", "") if date else ""
-        timed = pick(el, "time[datetime]")
-        stamp = stamp or (timed.attrs["datetime"] if timed else "")
+        at = first_matches(el, chains)
+        date, link, image, timed = (at.get(f) for f in ("date", "ticketLink", "image", "timed"))
+        stamp = (date.attrs.get("datetime", "") if date else "") or (timed.attrs["datetime"] if timed else "")
         yield {
-            "name": name.text() if name else "",
+            "name": at["name"].text() if "name" in at else "",
             "date_text": stamp or (date.text() if date else ""),
             "link": link.attrs.get("href", "") if link else "",
             "image": (image.attrs.get("src") or image.attrs.get("data-src", "")) if image else "",
-            "price": price.text() if price else "",
+            "price": at["price"].text() if "price" in at else "",
         }
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow in, Arrow out; rows leave in slices so a batch of large pages stays small."""
+    """Arrow in, Arrow out; rows leave in slices so a batch of large pages stays small.
+
+    Whatever goes wrong on a page becomes its error row, so one page never stops the others.
+    """
     for batch in batches:
         rows = []
-        for page in batch.to_pylist():
+        for i in range(batch.num_rows):
+            page = {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
             head = {k: page[k] for k in ("page_id", "url", "source_name")}
             try:
-                rows += [head | {"pos": i} | item for i, item in enumerate(page_items(page["html"], page["selectors"]))]
-            except ValueError as e:
-                rows.append(head | {"error": f"unsupported selector: {e}"})
+                rows += [head | {"pos": n} | item for n, item in enumerate(page_items(page["html"], page["selectors"]))]
+            except Exception as e:  # noqa: BLE001  (any fault of a page is that page's)
+                rows.append(head | {"error": f"unreadable page: {e}" if isinstance(e, ValueError) else f"unreadable page: {type(e).__name__}"})
             if len(rows) >= SLICE:
                 yield pa.RecordBatch.from_pylist(rows, RAW_ITEM)
                 rows = []
@@ -200,25 +233,54 @@ def html_items(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", "source_name", "selectors").mapInArrow(_extract, from_arrow_schema(RAW_ITEM))
 
 
-def capped(items: DataFrame) -> DataFrame:
-    """The first 250 items of each page: a page with more has a loose selector."""
-    return items.where(F.col("pos") < MAX_ITEMS)
+def _judged(items: DataFrame, usable: bool, as_of: AsOf, zone: str, title_limit: int, max_items: int | None) -> DataFrame:
+    """Items with parsed title, date and time that are usable, or those that are not."""
+    within = F.lit(True) if max_items is None else F.col("pos") < max_items
+
+    def good(r: Column) -> Column:
+        return r["within"] & r["error"].isNull() & (r["title"] != "") & r["date"].isNotNull() & (F.char_length(r["title"]) <= title_limit)
+
+    return project_where(items, ["page_id", "url", "pos", "source_name", "link", "image", "price"], {
+        "title": F.coalesce(squash("name"), F.lit("")), "date": parse_date("date_text", as_of, zone),
+        "time": parse_time("date_text", zone), "error": F.col("error"), "within": F.coalesce(within, F.lit(True)),
+    }, good if usable else lambda r: ~good(r))
+
+
+def rejected_items(items: DataFrame, as_of: AsOf, zone: str = "UTC", title_limit: int = TITLE_LIMIT,
+                   max_items: int | None = None) -> DataFrame:
+    """(page_id, pos, source_name, reason) of every page error and every item that gives no record; see ``map_items``."""
+    rest = _judged(items, False, as_of, zone, title_limit, max_items)
+    reason = (F.when(F.col("error").isNotNull(), F.col("error")).when(~F.col("within"), "over the cap")
+              .when(F.col("title") == "", "no title").when(F.char_length("title") > title_limit, "title too long").otherwise("no date"))
+    return rest.select("page_id", "pos", "source_name", reason.alias("reason"))
 
 
-def map_items(items: DataFrame, registry: DataFrame, as_of: AsOf, zone: str = "UTC") -> DataFrame:
-    """Items with a title (300 characters at most) and a date, as raw records."""
+def item_report(items: DataFrame, as_of: AsOf, zone: str = "UTC", title_limit: int = TITLE_LIMIT,
+                max_items: int | None = None) -> DataFrame:
+    """(source_name, reason) of every item and page error; reason is null for a record. Feeds ``extraction_health``."""
+    usable = _judged(items, True, as_of, zone, title_limit, max_items)
+    return usable.select("source_name", F.lit(None).cast("string").alias("reason")).unionByName(
+        rejected_items(items, as_of, zone, title_limit, max_items).select("source_name", "reason"))
+
+
+def map_items(items: DataFrame, registry: DataFrame, as_of: AsOf, zone: str = "UTC", title_limit: int = TITLE_LIMIT,
+              max_items: int | None = None) -> DataFrame:
+    """Items with a title and a date as raw records.
+
+    ``max_items`` keeps the first items of each page: one with very many usually has a loose selector.
+    Longer titles than ``title_limit`` are markup that was not meant. Nothing is lost silently: the
+    others are in ``rejected_items``. An item of a source without a registry row takes the source's name
+    as its venue, and its links stand relative to the page.
+    """
     reg = registry.select("source_name", "name", "venue", "city", "category", F.col("url").alias("site")).select(
         "source_name", F.coalesce(truthy("venue"), "name").alias("venue"), truthy("city").alias("city"),
         "category", "site")
-    usable = project_where(
-        capped(items).where(F.col("error").isNull()),
-        ["page_id", "pos", "source_name", "link", "image", "price"],
-        {"title": squash("name"), "date": parse_date("date_text", as_of, zone), "time": parse_time("date_text", zone)},
-        lambda r: (r["title"] != "") & r["date"].isNotNull() & (F.length(r["title"]) <= TITLE_LIMIT))
-    return usable.join(reg, "source_name").select(
+    usable = _judged(items, True, as_of, zone, title_limit, max_items)
+    base = F.coalesce("site", "url")
+    return usable.join(reg, "source_name", "left").select(
         "page_id", "pos", "source_name", F.lit("scrape").alias("source"), "title",
-        F.lit(None).cast("string").alias("artist"), "venue", "city", "date", "time",
+        F.lit(None).cast("string").alias("artist"), F.coalesce("venue", "source_name").alias("venue"), "city", "date", "time",
         classify("title", F.coalesce(truthy("category"), F.lit("music"))).alias("category"),
         F.coalesce("category", F.lit("")).alias("genre_tags"),
-        abs_url(squash("link"), "site").alias("ticket_url"), abs_url(squash("image"), "site").alias("image_url"),
+        abs_url(squash("link"), base).alias("ticket_url"), abs_url(squash("image"), base).alias("image_url"),
         truthy(squash("price")).alias("price_range"))

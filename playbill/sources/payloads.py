@@ -111,6 +111,13 @@ def map_regional(rows: DataFrame, as_of: AsOf, zone: str, keep: list[str]) -> Da
         image_url=truthy(e["artist"]["image_url"]), price_range=_none())
 
 
+def payload_rejects(payloads: DataFrame, records: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
+    """(keys, reason) of payloads without a record: unreadable ones, and readable ones that hold no date or are not wanted."""
+    unread = F.try_parse_json(F.col(body)).isNull()
+    rest = payloads.join(records.select(*keys).distinct(), keys, "left_anti")
+    return rest.select(*keys, F.when(unread, "unreadable payload").otherwise("payload without a record").alias("reason"))
+
+
 def parse_payloads(payloads: DataFrame, schema: str, body: str = "body") -> DataFrame:
     """Payload text to the ``e`` struct; unreadable payloads give a null struct.
 

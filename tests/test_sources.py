@@ -186,3 +186,43 @@ def test_best_method_falls_back(spark):
     none = jsonld.jsonld_listings(pages, NOW)
     assert tuple(pg.best_method(pages, none).first()) == (1, "scrape", 0, "https://venue.example/calendar", "scrapers")
     assert pg.page_site_name(pages).first().site_name == "The Hall"
+
+
+def scraped(spark, *rows):
+    schema = ("page_id long, url string, html string, source_name string, "
+              "selectors struct<item: string, name: string, date: string, ticketLink: string, image: string, price: string>")
+    full = [(i, "https://x.example/a/", body, "s", sel and (sel, "b", "i", "a", None, None)) for i, (body, sel) in enumerate(rows)]
+    return html.html_items(spark.createDataFrame(full, schema))
+
+
+def test_a_bad_page_never_stops_the_others(spark):
+    rows = {r["page_id"]: r["error"] for r in scraped(
+        spark, (None, "li"), ("<li><b>A</b>", None), ("<li><b>A</b>", "  "), ("<![foo[ <li><b>A</b>", "li"), ("<li><b>Fine</b>", "li"), ("", "li")).collect()}
+    assert rows[0] == "unreadable page: no page text" and rows[1] == rows[2] == "unreadable page: selectors.item is not configured"
+    assert rows[4] is None and 5 not in rows
+
+
+def test_open_items_end_at_the_next(spark):
+    rows = scraped(spark, ("<ul><li><p><b>A</b><p>x<li><b>B</b><ul><li><b>C</b></ul><li><b>D</b></ul>", "ul li")).orderBy("pos").collect()
+    assert [r["name"] for r in rows] == ["A", "B", "C", "D"]
+
+
+def test_rejected_items_say_why(spark):
+    items = scraped(spark, ("".join(f"<li><b>{n}</b><i>{d}</i></li>" for n, d in [
+        ("Good", "2024-01-06"), ("", "2024-01-06"), ("x" * 301, "2024-01-06"), ("No day", "soon"), ("Fifth", "2024-01-07")]), "li"))
+    nothing = spark.createDataFrame([], "source_name string, name string, venue string, city string, category string, url string")
+    made = html.map_items(items, nothing, dt.date(2024, 1, 10), max_items=4).collect()
+    assert [(r["title"], r["venue"]) for r in made] == [("Good", "s")]
+    why = {r["pos"]: r["reason"] for r in html.rejected_items(items, dt.date(2024, 1, 10), max_items=4).collect()}
+    assert why == {1: "no title", 2: "title too long", 3: "no date", 4: "over the cap"}
+    assert html.map_items(items, nothing, dt.date(2024, 1, 10), title_limit=500).count() == 3
+
+
+def test_feed_items_that_are_not_strict_xml_survive(spark):
+    body = ("<rss><item><title>A&nbsp;B</title></item><item><title>C & D</title></item><item><title><![CDATA[E & F]]></title></item>"
+            "<item><title>G &amp; H</title></item></rss>")
+    docs = spark.createDataFrame([(1, body), (2, None), (3, "gone")], "id long, body string")
+    items = feeds.rss_items(docs)
+    assert [r["t"] for r in items.select(F.col("item.title").alias("t")).collect()] == ["A\xa0B", "C & D", "E & F", "G & H"]
+    rejects = feeds.feed_rejects(docs, items, items.where("item.title LIKE '%&%'"), ["id"]).collect()
+    assert sorted(tuple(r) for r in rejects) == [(1, "item without a date"), (2, "unreadable feed"), (3, "unreadable feed")]
