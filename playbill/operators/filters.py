@@ -112,20 +112,36 @@ def page(listings: DataFrame, sort: str | None = None, page_no: int | None = Non
     return listings.orderBy(*order_by(sort)).offset((number - 1) * size).limit(size)
 
 
-def page_after(listings: DataFrame, last: tuple[dt.date, str | None, int],
-               page_size: int | None = None) -> DataFrame:
-    """Next page in date order after the last row seen.
-
-    Cost does not grow with depth: the key is a filter, so each task keeps only
-    one page of rows. Use it instead of large page numbers.
+def _past(columns: list[tuple[Column, object, bool]]) -> Column:
+    """Rows after a key in an order of (column, value, ascending); nulls come first, also in the key."""
+    after = F.lit(False)
+    for column, value, ascending in reversed(columns):
+        same = column.eqNullSafe(F.lit(value))
+        beyond = column.isNotNull() if value is None else (column > F.lit(value) if ascending else column < F.lit(value))
+        after = beyond | (same & after)
+    return F.coalesce(after, F.lit(False))
+
+
+def page_after(listings: DataFrame, last: tuple, page_size: int | None = None, sort: str | None = None) -> DataFrame:
+    """Next page after the last row seen, given by its sort key.
+
+    The key is (event_date, event_time, id) in date order, (venue, event_date, id) in venue order, and
+    (score, event_date, event_time, id) by relevance, over scored rows. Cost does not grow with depth:
+    the key is a filter, so each task keeps only one page of rows. Use it instead of large page numbers.
     """
-    day, time, row_id = last
     date, clock, key = F.col("event_date"), F.col("event_time"), F.col("id")
-    same_time = clock.isNull() if time is None else clock == time
-    later_time = clock.isNotNull() if time is None else clock > time
-    after = (date > F.lit(day)) | ((date == F.lit(day)) & (later_time | (same_time & (key > row_id))))
+    if sort == "venue":
+        venue, day, row_id = last
+        lowered = None if venue is None else "".join(c.lower() if c in string.ascii_uppercase else c for c in venue)
+        order = [(ascii_lower("venue"), lowered, True), (date, day, True), (key, row_id, True)]
+    elif sort == "relevance":
+        score, day, time, row_id = last
+        order = [(F.col("score"), score, False), (date, day, True), (clock, time, True), (key, row_id, True)]
+    else:
+        day, time, row_id = last
+        order = [(date, day, True), (clock, time, True), (key, row_id, True)]
     size = page_bounds(1, page_size)[1]
-    return listings.where(F.coalesce(after, F.lit(False))).orderBy(*date_order()).limit(size)
+    return listings.where(_past(order)).orderBy(*order_by(sort)).limit(size)
 
 
 def count_listings(listings: DataFrame) -> DataFrame:

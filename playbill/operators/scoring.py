@@ -8,6 +8,8 @@ runs over those and the score is joined back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,11 @@ def _looks(listings: DataFrame) -> DataFrame:
         F.coalesce("artist", F.lit("")).alias("artist")).distinct()
 
 
+def scorer(weights: DataFrame, decayed: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """``score_listings`` with its preferences filled in, as views and pages take it."""
+    return lambda listings: score_listings(listings, weights, decayed)
+
+
 def score_listings(listings: DataFrame, weights: DataFrame, decayed: DataFrame) -> DataFrame:
     """Add base, boost and score; unmatched listings get 0.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import calendar
 import datetime as dt
 import re
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -12,11 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from playbill.functions.text import truthy
-from playbill.operators.filters import Filters, apply_filters, at_most, date_order, relevance_order
+from playbill.operators.filters import (
+    Filters, apply_filters, at_most, date_order, order_by, page, page_after, relevance_order,
+)
 from playbill.operators.scoring import score_listings
 
 TOP_DEFAULT, TOP_MAX, TOP_DAYS = 50, 100, 30
 DAY_LABEL = "EEEE, MMM d"
+#: Adds base, boost and score to listings; see ``scoring.scorer``.
+Score = Callable[[DataFrame], DataFrame]
+
+
+def unscored(listings: DataFrame) -> DataFrame:
+    return listings
 
 
 def tonight(listings: DataFrame, weights: DataFrame, decayed: DataFrame, as_of: dt.date,
@@ -36,8 +45,24 @@ def top_picks(listings: DataFrame, weights: DataFrame, decayed: DataFrame, as_of
     return scored.orderBy(*relevance_order()).limit(at_most(limit or TOP_DEFAULT, most))
 
 
-def week_days(listings: DataFrame, as_of: dt.date, f: Filters = Filters()) -> DataFrame:
-    """Listings of the Monday-to-Sunday week, plus one bare row per empty day.
+def scored_page(listings: DataFrame, score: Score, sort: str | None = None, page_no: int | None = None,
+                page_size: int | None = None) -> DataFrame:
+    """One page with scores. By date or venue only the page's rows are scored; by relevance all are, then the page is cut."""
+    if sort == "relevance":
+        return page(score(listings), sort, page_no, page_size)
+    return score(page(listings, sort, page_no, page_size)).orderBy(*order_by(sort))
+
+
+def scored_page_after(listings: DataFrame, score: Score, last: tuple, page_size: int | None = None,
+                      sort: str | None = None) -> DataFrame:
+    """The page after a sort key, with scores; see ``page_after``."""
+    if sort == "relevance":
+        return page_after(score(listings), last, page_size, sort)
+    return score(page_after(listings, last, page_size, sort)).orderBy(*order_by(sort))
+
+
+def week_days(listings: DataFrame, as_of: dt.date, f: Filters = Filters(), score: Score = unscored) -> DataFrame:
+    """Listings of the Monday-to-Sunday week in date order, plus one bare row per empty day.
 
     Days are never joined to listings: seven keys would put a week on seven
     tasks. Only the distinct days present, at most seven, meet the calendar.
@@ -48,8 +73,8 @@ def week_days(listings: DataFrame, as_of: dt.date, f: Filters = Filters()) -> Da
     spine = listings.sparkSession.range(1).select(F.explode(F.sequence(
         F.lit(monday), F.lit(sunday))).alias("event_date"))
     empty = spine.join(week.select("event_date").distinct(), "event_date", "left_anti")
-    rows = week.unionByName(empty, allowMissingColumns=True)
-    return rows.withColumn("label", F.date_format("event_date", DAY_LABEL))
+    rows = score(week).unionByName(empty, allowMissingColumns=True)
+    return rows.withColumn("label", F.date_format("event_date", DAY_LABEL)).orderBy(*date_order())
 
 
 def week_counts(listings: DataFrame, as_of: dt.date, f: Filters = Filters()) -> DataFrame:
@@ -57,7 +82,7 @@ def week_counts(listings: DataFrame, as_of: dt.date, f: Filters = Filters()) ->
     return rows.groupBy("event_date", "label").agg(F.count("id").alias("n")).orderBy("event_date")
 
 
-def curated(listings: DataFrame, document: DataFrame) -> DataFrame:
+def curated(listings: DataFrame, document: DataFrame, score: Score = unscored) -> DataFrame:
     """Listings named by curated lists, in list order, with the stated reason.
 
     Missing and hidden listings drop out. Any number of list documents is
@@ -65,7 +90,7 @@ def curated(listings: DataFrame, document: DataFrame) -> DataFrame:
     """
     wanted = document.select("doc_id", F.posexplode("events").alias("pos", "e")).select(
         "doc_id", "pos", F.col("e.id").alias("id"), truthy(F.col("e.reason")).alias("reason"))
-    return wanted.join(listings.where(~F.col("hidden")), "id").orderBy("doc_id", "pos")
+    return score(wanted.join(listings.where(~F.col("hidden")), "id")).orderBy("doc_id", "pos")
 
 
 def month_of(text: str | None, as_of: dt.date) -> tuple[dt.date, dt.date] | None:
@@ -80,11 +105,12 @@ def month_of(text: str | None, as_of: dt.date) -> tuple[dt.date, dt.date] | None
     return dt.date(year, month, 1), dt.date(year, month, calendar.monthrange(year, month)[1])
 
 
-def month_listings(listings: DataFrame, month: str | None, as_of: dt.date, f: Filters = Filters()) -> DataFrame:
+def month_listings(listings: DataFrame, month: str | None, as_of: dt.date, f: Filters = Filters(),
+                   score: Score = unscored) -> DataFrame:
     span = month_of(month, as_of)
     if span is None:
-        return listings.where(F.lit(False))
-    return apply_filters(listings, replace(f, date_from=span[0], date_to=span[1]))
+        return score(listings.where(F.lit(False)))
+    return score(apply_filters(listings, replace(f, date_from=span[0], date_to=span[1])))
 
 
 def month_counts(listings: DataFrame, month: str | None, as_of: dt.date, f: Filters = Filters()) -> DataFrame:

@@ -12,7 +12,8 @@ from playbill.operators import ingest
 from playbill.operators.filters import Filters, apply_filters
 from playbill.plans.registry import query
 from playbill.plans.tables import (
-    LISTINGS, NORMAL, RAW, RUN_LOG, SHOWS, VALID, listings, norm_sql, ntz, raw_listings, read, run_log, shows,
+    LISTINGS, NORMAL, RAW, RUN_LOG, SHOWS, STATEFUL, VALID, listings, norm_sql, ntz, raw_listings, read, run_log, shows,
+    stateful,
 )
 from playbill.schema import MUTABLE
 
@@ -226,8 +227,18 @@ _filter_query("f_city", Filters(city="ASIA"), "city = 'ASIA' AND NOT hidden")
 _filter_query("f_sources", Filters(sources=["src1", "src5"]), "source_name IN ('src1', 'src5') AND NOT hidden")
 _filter_query("f_date_range", Filters(date_from=DAY(2024, 1, 8), date_to=DAY(2024, 1, 14)),
               "event_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' AND NOT hidden")
-_filter_query("f_hidden", Filters(show_hidden=True), "true")
-_filter_query("f_interested", Filters(only_interested=True), "interested AND NOT hidden")
+
+
+def _state_query(name, f, where):
+    """Filters over the flags of the action log."""
+    @query(name, f"WITH {STATEFUL} SELECT id, title, event_date, interested, hidden FROM stateful WHERE {where}")
+    def _(spark, d):
+        return apply_filters(stateful(spark, d), f).select("id", "title", "event_date", "interested", "hidden")
+
+
+_state_query("f_hidden", Filters(show_hidden=True), "true")
+_state_query("f_visible", Filters(), "NOT hidden")
+_state_query("f_interested", Filters(only_interested=True), "interested AND NOT hidden")
 _filter_query("f_search", Filters(search="ReD%g"),
               "(title ILIKE '%red%g%' OR artist ILIKE '%red%g%' OR venue ILIKE '%red%g%') AND NOT hidden")
 _filter_query("f_search_artist", Filters(search="brand#1_"),
@@ -265,11 +276,6 @@ def _(spark, d):
     return fl.page(apply_filters(listings(spark, d), Filters()), "venue", 4, 999).select(ROW)
 
 
-@query("page_listings", f"WITH {LISTINGS} SELECT {ROW_SQL} FROM listings WHERE NOT hidden ORDER BY {DATE_SQL} LIMIT 50 OFFSET 100")
-def _(spark, d):
-    return fl.page(apply_filters(listings(spark, d), Filters()), "nonsense", 3).select(ROW)
-
-
 @query("page_after", f"""WITH {LISTINGS} SELECT {ROW_SQL} FROM listings WHERE NOT hidden
   AND (event_date, coalesce(event_time, ''), id) > (DATE '2024-01-12', '08:00', 0) ORDER BY {DATE_SQL} LIMIT 50""")
 def _(spark, d):

@@ -119,6 +119,47 @@ def _(spark, d):
     return _rounded(scored).orderBy(*relevance_order()).offset(50).limit(50).select("id", "event_date", "score")
 
 
+# ── scored pages ───────────────────────────────────────────────────────────
+
+PAGE = ["id", "title", "venue", "event_date", "event_time"]
+PAGED = f"WITH {HITS} SELECT {', '.join(PAGE)}, round(score, 4) AS score FROM scored WHERE NOT hidden"
+DATE_SQL = "event_date NULLS FIRST, event_time NULLS FIRST, id"
+
+
+def _shown(spark, d):
+    return apply_filters(listings(spark, d), Filters())
+
+
+def _scorer(spark, d):
+    return sc.scorer(weights(spark, d), _decayed(spark, d))
+
+
+@query("page_listings", f"{PAGED} ORDER BY {DATE_SQL} LIMIT 50 OFFSET 100")
+def _(spark, d):
+    return vw.scored_page(_shown(spark, d), _scorer(spark, d), "nonsense", 3).select(*PAGE, "score")
+
+
+@query("page_relevance", f"{PAGED} ORDER BY {RANK_SQL} LIMIT 50 OFFSET 50")
+def _(spark, d):
+    return vw.scored_page(_shown(spark, d), _scorer(spark, d), "relevance", 2).select(*PAGE, "score")
+
+
+@query("page_after_venue", f"""{PAGED} AND (lower(venue), event_date, id) > ('nation_12', DATE '2024-01-12', 100)
+  ORDER BY lower(venue), event_date, id LIMIT 50""")
+def _(spark, d):
+    last = ("Nation_12", AS_OF.replace(day=12), 100)
+    return vw.scored_page_after(_shown(spark, d), _scorer(spark, d), last, sort="venue").select(*PAGE, "score")
+
+
+@query("page_after_relevance", f"{PAGED} ORDER BY {RANK_SQL} LIMIT 50 OFFSET 50")
+def _(spark, d):
+    """The second page, from the key of the first page's last row."""
+    shown, score = _shown(spark, d), _scorer(spark, d)
+    row = vw.scored_page(shown, score, "relevance", 1).select(*PAGE, "score").collect()[-1]
+    last = (row["score"], row["event_date"], row["event_time"], row["id"])
+    return vw.scored_page_after(shown, score, last, sort="relevance").select(*PAGE, "score")
+
+
 # ── views ──────────────────────────────────────────────────────────────────
 
 DAY = f"DATE '{AS_OF}'"
@@ -146,12 +187,12 @@ def _(spark, d):
     return _rounded(picks).select(*PICK, "score")
 
 
-@query("view_week", f"""WITH {LISTINGS}, week AS (
+@query("view_week", f"""WITH {HITS}, week AS (
     SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-14', INTERVAL 1 DAY)) AS DATE) AS event_date)
-  SELECT w.event_date, strftime(w.event_date, '%A, %b %-d') AS label, l.id, l.title, l.event_time
-  FROM week w LEFT JOIN listings l ON l.event_date = w.event_date AND NOT l.hidden""")
+  SELECT w.event_date, strftime(w.event_date, '%A, %b %-d') AS label, l.id, l.title, l.event_time, round(l.score, 4) AS score
+  FROM week w LEFT JOIN scored l ON l.event_date = w.event_date AND NOT l.hidden""")
 def _(spark, d):
-    return vw.week_days(listings(spark, d), AS_OF).select("event_date", "label", "id", "title", "event_time")
+    return vw.week_days(listings(spark, d), AS_OF, score=_scorer(spark, d)).select("event_date", "label", "id", "title", "event_time", "score")
 
 
 @query("view_week_counts", f"""WITH {LISTINGS}, week AS (
@@ -173,12 +214,13 @@ def _curated_lists(spark, d):
         "doc_id", "doc.events")
 
 
-@query("view_curated", f"""WITH {LISTINGS}, wanted AS (
+@query("view_curated", f"""WITH {HITS}, wanted AS (
     SELECT o_orderkey AS doc_id, unnest([0, 1, 2, 3]) AS pos, unnest([0, 1, 2, 7]) AS n, o_custkey, o_orderpriority FROM orders)
-  SELECT doc_id, CAST(pos AS INTEGER) AS pos, id, title, CASE WHEN doc_id % 3 <> n THEN o_orderpriority END AS reason
-  FROM wanted JOIN listings ON id = o_custkey * n WHERE NOT hidden""")
+  SELECT doc_id, CAST(pos AS INTEGER) AS pos, id, title, CASE WHEN doc_id % 3 <> n THEN o_orderpriority END AS reason,
+    round(score, 4) AS score
+  FROM wanted JOIN scored ON id = o_custkey * n WHERE NOT hidden""")
 def _(spark, d):
-    return vw.curated(listings(spark, d), _curated_lists(spark, d)).select("doc_id", "pos", "id", "title", "reason")
+    return vw.curated(listings(spark, d), _curated_lists(spark, d), _scorer(spark, d)).select("doc_id", "pos", "id", "title", "reason", "score")
 
 
 @query("view_month", f"""WITH {LISTINGS} SELECT event_date, count(*) AS n FROM listings
@@ -187,10 +229,11 @@ def _(spark, d):
     return vw.month_counts(listings(spark, d), "2024-01", AS_OF)
 
 
-@query("view_month_listings", f"""WITH {LISTINGS} SELECT id, title, event_date FROM listings
+@query("view_month_listings", f"""WITH {HITS} SELECT id, title, event_date, round(score, 4) AS score FROM scored
   WHERE event_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' AND NOT hidden AND category = 'comedy'""")
 def _(spark, d):
-    return vw.month_listings(listings(spark, d), "bad", AS_OF, Filters(category="comedy")).select("id", "title", "event_date")
+    comedy = vw.month_listings(listings(spark, d), "bad", AS_OF, Filters(category="comedy"), _scorer(spark, d))
+    return comedy.select("id", "title", "event_date", "score")
 
 
 @query("month_grid", f"""WITH {LISTINGS}, days AS (

@@ -125,6 +125,15 @@ LISTINGS = SHOWS + """, listings AS (
   FROM shows)"""
 
 
+def stateful(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored listings with the flags that the action log gives their keys."""
+    from playbill.functions.text import dedupe_key
+    from playbill.operators.feedback import current_state, with_state
+
+    keyed = listings(spark, folder).withColumn("dedupe_key", dedupe_key("title", F.date_format("event_date", "yyyy-MM-dd"), "venue"))
+    return with_state(keyed, current_state(actions(spark, folder)))
+
+
 def raw_listings(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     """Unvalidated adapter records: blanks, odd dates, unsafe links, mixed case."""
     user, event = F.col("user_id"), F.col("event_id")
@@ -231,6 +240,12 @@ ACTIONS = SHOWS + f""", actions AS (
   FROM actions GROUP BY dedupe_key)"""
 
 
+STATEFUL = ACTIONS + LISTINGS.removeprefix(SHOWS) + f""", stateful AS (
+  SELECT l.* REPLACE (coalesce(s.interested, false) AS interested, coalesce(s.hidden, false) AS hidden)
+  FROM listings l LEFT JOIN state s
+    ON s.dedupe_key = {norm_sql('l.title')} || '|' || strftime(l.event_date, '%Y-%m-%d') || '|' || {norm_sql('l.venue')})"""
+
+
 def marks(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     """Interest marks with the tags and artist of the marked listing."""
     return listings(spark, folder, events).where("interested").select("genre_tags", "artist", "ts")
