@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.llm.components import components
-from playbill.llm.storage import Workspace, clean_columns
+from playbill.llm.storage import Workspace, among
 from playbill.llm.words import LOWER, U64, Words, chunks, constants, shingle_sets
 
 SHINGLE, ROWS, BANDS = 5, 5, 52
@@ -287,14 +287,15 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, k: int = SHI
     signed = space.keep(docs.select("doc_id", "text").mapInArrow(
         lambda b: sign(b, k), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, minima binary"), "signed")
     mark = ["set_a", "set_b", "n_shingles"]
-    first = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*mark).agg(F.min("doc_id").alias("id"))
+    # Stored, so that joins with it read both sides from a shuffle and can split a set that very many documents have.
+    first = space.keep(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*mark).agg(F.min("doc_id").alias("id")), "first")
     nodes = space.keep(signed.join(first.withColumnRenamed("id", "doc_id"), [*mark, "doc_id"], "left_semi").select(
         F.col("doc_id").alias("id"), "n_shingles", "minima"), "nodes")
     families = _families(nodes, num / den, space)
     family_of = families.union(families.select(F.col("component").alias("id"), "component").distinct())
     members = space.keep(nodes.select("id", "n_shingles").join(family_of, "id").select(
         F.col("component").alias("family"), "id", "n_shingles"), "families")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi")
+    texts = among(docs.select(F.col("doc_id").alias("id"), "text"), members.select("id").distinct(), "left_semi")
     tasks = _tasks(members, num, den).join(texts, "id").select("family", "x", "y", "side", "id", "text")
     links = space.keep(_grouped(tasks, ["family", "x", "y"]).mapInArrow(lambda b: family_links(b, num, den, k), "u bigint, v bigint"), "links")
     equal = signed.join(first, mark).select(F.col("doc_id").alias("u"), F.col("id").alias("v")).where("u != v").distinct()
@@ -306,5 +307,5 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, k: int = SHI
 
 def drop_near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, k: int = SHINGLE) -> DataFrame:
     """The documents that stay, one of each component, with all their columns; rows with a null doc_id stay."""
-    gone = near_duplicates(docs, num, den, k).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    found = near_duplicates(docs, num, den, k).where("NOT kept").select("doc_id").distinct()
+    return among(docs, Workspace(docs.sparkSession).keep(found, "gone"), "left_anti").select(docs.columns)

@@ -6,6 +6,7 @@ import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from playbill.session import shared_folder
 
@@ -37,6 +38,20 @@ class Workspace:
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: A list of at most so many 8-byte keys, 16 MB, is sent to every task; a longer one is shuffled.
+BROADCAST_KEYS = 2_000_000
+
+
+def among(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``df`` that join with ``keys`` (its one column, 64-bit), by ``left_semi`` or ``left_anti``.
+
+    The number of keys is measured first. A short list meets the rows where they are read, so that wide
+    rows which are not wanted are never shuffled.
+    """
+    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if small else keys, keys.columns[0], how)
+
+
 def clean_columns(df: DataFrame, taken: list[str]) -> list[str]:
     """Columns of the input that do not clash with the names an operator adds (case is ignored)."""
     names = {t.lower() for t in taken}
