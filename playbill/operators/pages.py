@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playbill.functions.dates import AsOf
 from playbill.functions.text import let, slug, squash
 from playbill.functions.urls import abs_url, host_of
+from playbill.sources.jsonld import page_summary
 
 # Link patterns, common feed paths and ticketing providers.
 LINK_TAG = r"(?i)<link\b[^>]*>"
@@ -27,7 +29,10 @@ PROVIDERS = [
 SITE_NAME = r"(?i)property=[\"']og:site_name[\"'][^>]*content=[\"']([^\"']+)[\"']"
 TITLE = r"(?i)<title[^>]*>([\s\S]*?)</title>"
 # The fallback scraper template.
-TEMPLATE_ITEM = ".event, article, .eventlist-event"
+TEMPLATE = {
+    "item": ".event, article, .eventlist-event", "name": ".event-title, .eventlist-title, h2, h3",
+    "date": "time, .event-date, .eventlist-meta-date", "ticketLink": "a[href*='ticket'], a", "image": "img", "price": ".price",
+}
 
 FOUND = "array<struct<kind: string, href: string>>"
 
@@ -111,25 +116,31 @@ def page_link_counts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.size(hrefs).alias("n_links"), F.size(F.array_distinct(hrefs)).alias("n_distinct"))
 
 
-def best_method(pages: DataFrame, events: DataFrame) -> DataFrame:
-    """Recommended ingestion per page: rss, ical, jsonld, else a scraper template.
+def best_method(pages: DataFrame, as_of: AsOf, zone: str = "UTC") -> DataFrame:
+    """Recommended ingestion per page: rss, ical, jsonld, else a scraper template, with the registry entry to add.
 
-    A feed counts as present when the page links to one; ``events`` holds the
-    JSON-LD listings by page_id. The page text is reduced to two counts before
-    the join, so only ids and counts are shuffled.
+    A feed counts as present when the page links to one. The page text is read once: link counts, name and
+    JSON-LD listings come from the same row, and only they are shuffled. ``selectors`` is the template of
+    the scrape case, as JSON; ``sample_title`` is the page's first listing.
     """
-    found = _resolved(F.col("html"), F.col("url"))
-    counted = pages.select("page_id", "url", let(found, lambda f: F.struct(
-        F.size(F.filter(f, lambda x: x["kind"] == "rss")).alias("rss"),
-        F.size(F.filter(f, lambda x: x["kind"] == "ical")).alias("ical"),
-        F.get(F.filter(f, lambda x: x["kind"] == "rss"), F.lit(0))["url"].alias("rss_url"),
-        F.get(F.filter(f, lambda x: x["kind"] == "ical"), F.lit(0))["url"].alias("ical_url"))).alias("f"))
-    jsonld = events.groupBy("page_id").agg(F.count("*").cast("int").alias("jsonld"))
-    all_counts = counted.join(jsonld, "page_id", "left").withColumn("jsonld", F.coalesce("jsonld", F.lit(0)))
-    rss, ical, ld = F.col("f.rss"), F.col("f.ical"), F.col("jsonld")
-    return all_counts.select(
+    html, url = F.col("html"), F.col("url")
+    host = F.regexp_extract(url, r"^https?://([^/?#:]*)", 1)
+    name = site_name(html, url)
+    found = page_summary(pages, as_of, zone, {
+        "f": let(_resolved(html, url), lambda f: F.struct(
+            F.size(F.filter(f, lambda x: x["kind"] == "rss")).alias("rss"),
+            F.size(F.filter(f, lambda x: x["kind"] == "ical")).alias("ical"),
+            F.get(F.filter(f, lambda x: x["kind"] == "rss"), F.lit(0))["url"].alias("rss_url"),
+            F.get(F.filter(f, lambda x: x["kind"] == "ical"), F.lit(0))["url"].alias("ical_url"))),
+        "name": name, "slug": slug(name), "host_slug": slug(host)})
+    rss, ical, ld = F.col("f.rss"), F.col("f.ical"), F.col("n").cast("int")
+    scrape = (rss + ical + ld) == 0
+    return found.select(
         "page_id",
         F.when(rss > 0, "rss").when(ical > 0, "ical").when(ld > 0, "jsonld").otherwise("scrape").alias("method"),
         F.when(rss > 0, rss).when(ical > 0, ical).when(ld > 0, ld).otherwise(0).alias("sample_count"),
         F.when(rss > 0, F.col("f.rss_url")).when(ical > 0, F.col("f.ical_url")).otherwise(F.col("url")).alias("source_url"),
-        F.when((rss + ical + ld) == 0, "scrapers").otherwise("feeds").alias("target"))
+        F.when(scrape, "scrapers").otherwise("feeds").alias("target"),
+        F.when(F.col("slug") != "", F.col("slug")).otherwise(F.col("host_slug")).alias("id"), "name",
+        F.lit("music").alias("category"), F.when(scrape, F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in TEMPLATE.items()]))).alias("selectors"),
+        F.get("sample", F.lit(0))["title"].alias("sample_title"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from playbill.functions.text import slug, slug_loose
@@ -141,14 +143,17 @@ LD = """ld AS (SELECT * FROM (SELECT page_id, url, unnest(generate_series(0, pag
 
 
 @query("best_method", f"""WITH {LD}, n AS (SELECT page_id, count(*) AS events FROM ld GROUP BY page_id), c AS (
-    SELECT page_id, url, {FOUND_RSS} AS r, {FOUND_ICAL} AS i, coalesce(events, 0) AS events FROM pages LEFT JOIN n USING (page_id))
+    SELECT page_id, url, {FOUND_RSS} AS r, {FOUND_ICAL} AS i, coalesce(events, 0) AS events,
+      {SITE} AS site, {PAGE_HOST} AS host FROM pages LEFT JOIN n USING (page_id))
   SELECT page_id, CASE WHEN len(r) > 0 THEN 'rss' WHEN len(i) > 0 THEN 'ical' WHEN events > 0 THEN 'jsonld' ELSE 'scrape' END AS method,
     CAST(CASE WHEN len(r) > 0 THEN len(r) WHEN len(i) > 0 THEN len(i) ELSE events END AS INTEGER) AS sample_count,
     CASE WHEN len(r) > 0 THEN r[1] WHEN len(i) > 0 THEN i[1] ELSE url END AS source_url,
-    CASE WHEN len(r) + len(i) + events = 0 THEN 'scrapers' ELSE 'feeds' END AS target FROM c""")
+    CASE WHEN len(r) + len(i) + events = 0 THEN 'scrapers' ELSE 'feeds' END AS target,
+    CASE WHEN {slug_sql('site')} <> '' THEN {slug_sql('site')} ELSE {slug_sql('host')} END AS id, site AS name, 'music' AS category,
+    CASE WHEN len(r) + len(i) + events = 0 THEN '{json.dumps(pg.TEMPLATE, separators=(",", ":")).replace("'", "''")}' END AS selectors,
+    CASE WHEN events > 0 THEN 'Show 0' END AS sample_title FROM c""")
 def _(spark, d):
-    pages = rich_pages(spark, d)
-    return pg.best_method(pages, jl.jsonld_listings(pages, AS_OF))
+    return pg.best_method(rich_pages(spark, d), AS_OF)
 
 
 @query("jsonld_blocks", """SELECT page_id, unnest([0, 1]) AS block FROM pages WHERE page_id % 3 = 1""")

@@ -8,7 +8,6 @@ costs one narrow stage however deep its nesting.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from playbill.functions.dates import AsOf, parse_date, parse_time
@@ -84,8 +83,8 @@ def _price() -> Column:
     return F.coalesce(of("$.offers.price"), of("$.offers[0].price"))
 
 
-def map_jsonld(nodes: DataFrame, as_of: AsOf, zone: str, keep: list[str], base: str = "url") -> DataFrame:
-    """Event nodes to listing fields; nodes without a date or title are dropped."""
+def map_jsonld(nodes: DataFrame, as_of: AsOf, zone: str, keep: list[str], base: str = "url", every: bool = False) -> DataFrame:
+    """Event nodes to listing fields; nodes without a date or title are dropped, or kept if ``every`` row shall stay."""
     start = F.coalesce(_text("$.startDate"), _text("$.startTime"))
     types = F.coalesce(_text('$["@type"]'), F.array_join(
         F.try_variant_get("node", '$["@type"]', "array<string>"), " "))
@@ -100,14 +99,14 @@ def map_jsonld(nodes: DataFrame, as_of: AsOf, zone: str, keep: list[str], base:
         F.coalesce(_first("offers", ".url"), _text("$.url")).alias("link"),
         F.coalesce(_text("$.image"), _text("$.image.url"), _text("$.image[0]"), _text("$.image[0].url")).alias("image"),
         _price().alias("price"))
-    titled = flat.where(F.col("title").isNotNull())
+    titled = flat if every else flat.where(F.col("title").isNotNull())
     return project_where(titled, [*keep, "title", "artist", "venue", "city"], {
         "date": parse_date("start", as_of, zone), "time": parse_time("start", zone),
         "doors_time": parse_time("door", zone),
         "category": classify(F.concat_ws(" ", "types", "title", "about"), None), "genre_tags": F.lit(""),
         "ticket_url": abs_url("link", "base_url"), "image_url": abs_url("image", "base_url"),
         "price_range": F.concat(F.lit("$"), F.col("price")),
-    }, lambda r: r["date"].isNotNull())
+    }, lambda r: F.lit(True) if every else r["date"].isNotNull())
 
 
 def jsonld_listings(pages: DataFrame, as_of: AsOf, zone: str = "UTC") -> DataFrame:
@@ -116,13 +115,31 @@ def jsonld_listings(pages: DataFrame, as_of: AsOf, zone: str = "UTC") -> DataFra
     return map_jsonld(nodes, as_of, zone, ["page_id", "block", "place"])
 
 
+def _first_events(made: Column) -> list[Column]:
+    """Aggregates over a page's rows: how many listings there are, and the first of them in page order."""
+    row = F.struct("block", "place", "title", "date")
+    return [F.count_if(made).alias("n"), F.slice(F.array_sort(F.collect_list(F.when(made, row))), 1, SAMPLE).alias("sample")]
+
+
 def jsonld_sample(listings: DataFrame) -> DataFrame:
-    """Per page: how many events, and the first five.
+    """Per page: how many events, and the first five. One pass and one shuffle of narrow rows."""
+    pages = listings.groupBy("page_id").agg(*_first_events(F.lit(True)))
+    rows = pages.select("page_id", "n", F.posexplode("sample").alias("at", "e"))
+    return rows.select("page_id", (F.col("at") + 1).alias("rank"), "e.title", "e.date", "n")
+
+
+def page_summary(pages: DataFrame, as_of: AsOf, zone: str, carry: dict[str, Column]) -> DataFrame:
+    """Per page ``n`` listings, the ``sample`` of the first five, and the ``carry`` columns, from one reading of its text.
 
-    The rank filter is pushed below the shuffle, so at most five rows of a page
-    leave each task.
+    Pages without JSON-LD have n = 0. ``carry`` is computed beside the walk, so the text goes no further.
     """
-    order = W.partitionBy("page_id").orderBy("block", "place")
-    first = listings.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE)
-    counts = listings.groupBy("page_id").agg(F.count("*").alias("n"))
-    return first.select("page_id", "rank", "title", "date").join(counts, "page_id")
+    bodies = F.regexp_extract_all("html", F.lit(SCRIPT), F.lit(1))
+    read = pages.select("page_id", "url", *[c.alias(name) for name, c in carry.items()], bodies.alias("bodies"))
+    base = read.select("page_id", "url", *carry, F.posexplode_outer("bodies").alias("block", "body"))
+    docs = base.withColumn("doc", F.try_parse_json(F.trim("body"))).drop("body")
+    keep = ["page_id", "url", *carry, "block"]
+    nodes = docs.select(*keep, F.posexplode_outer(F.when(F.col("doc").isNotNull(), F.expr(_walk("doc")))).alias("place", "n")).select(
+        *keep, "place", F.col("n.v").alias("node"))
+    rows = map_jsonld(nodes, as_of, zone, [*keep, "place"], every=True)
+    made = F.col("title").isNotNull() & F.col("date").isNotNull()
+    return rows.groupBy("page_id", "url").agg(*[F.any_value(c).alias(c) for c in carry], *_first_events(made))

@@ -57,6 +57,11 @@ def test_pages_are_top_k(stored):
         assert "TakeOrderedAndProject" in plan(df)
 
 
+@pytest.mark.parametrize("name", ["best_method", "jsonld_sample"])
+def test_page_text_is_read_once(spark, name):
+    assert plan(QUERIES[name](spark, FOLDER)).count("FileScan") == 1
+
+
 def test_latest_run_sorts_no_log(spark):
     """Only the few rows found are sorted; the log itself is hash-aggregated."""
     assert "SortAggregate" not in plan(QUERIES["latest_run_per_source"](spark, FOLDER))

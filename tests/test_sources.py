@@ -183,8 +183,10 @@ def test_payload_gaps(spark):
 
 def test_best_method_falls_back(spark):
     pages = page(spark, "<title>The Hall - Events</title>")
-    none = jsonld.jsonld_listings(pages, NOW)
-    assert tuple(pg.best_method(pages, none).first()) == (1, "scrape", 0, "https://venue.example/calendar", "scrapers")
+    row = pg.best_method(pages, NOW).first()
+    assert tuple(row)[:5] == (1, "scrape", 0, "https://venue.example/calendar", "scrapers")
+    assert (row["id"], row["name"], row["category"], row["sample_title"]) == ("the-hall", "The Hall", "music", None)
+    assert json.loads(row["selectors"]) == pg.TEMPLATE
     assert pg.page_site_name(pages).first().site_name == "The Hall"
 
 
