@@ -20,6 +20,17 @@ MERGED = f"""WITH {NORMAL}, ranked AS (SELECT *,
     first_value(seq) OVER (PARTITION BY dedupe_key ORDER BY precedence, seq) AS id FROM normal)"""
 
 
+def _several_files(spark, d, root):
+    """The events as a stream of four files by event_id, read one a micro-batch in that order."""
+    events = tb.read(spark, d, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    part = F.floor((F.col("event_id") - low) * 4 / (high - low + 1))
+    for i in range(4):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(f"{root}/landed/part={i}")
+    return (spark.readStream.schema(tb.SCHEMAS["events"]).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+            .parquet(f"{root}/landed"))
+
+
 def _stamp(batch_id):
     return tb.ntz(FIRST_TIME)
 
@@ -43,23 +54,28 @@ def _(spark, d):
         F.count("*").alias("n"), F.sum("events_added").alias("added"))
 
 
-@query("stream_upsert", f"{MERGED} SELECT {KEPT_COLUMNS} FROM ranked WHERE newest = 1")
+@query("stream_upsert", f"""WITH {NORMAL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY part DESC, seq DESC) AS newest,
+    first_value(seq) OVER (PARTITION BY dedupe_key ORDER BY part, seq) AS id
+    FROM (SELECT *, (seq - (SELECT min(event_id) FROM events)) * 4 // (SELECT max(event_id) - min(event_id) + 1 FROM events) AS part FROM normal))
+  SELECT {KEPT_COLUMNS} FROM ranked WHERE newest = 1""")
 def _(spark, d):
+    """The events arrive in several files, one a micro-batch; the merge must not depend on it."""
     root = jobs.new_folder(spark, "upsert")
-    raw = tb.raw_listings(spark, d, tb.event_stream(spark, d))
-    jobs.stream_upsert(raw, root, _stamp)
+    raw = tb.raw_listings(spark, d, _several_files(spark, d, root))
+    jobs.stream_upsert(raw.withColumn("precedence", F.lit(0)), root, _stamp)
     return snapshots.current(spark, root).select("dedupe_key", *MUTABLE, "id")
 
 
 @query("stream_run_totals", f"""WITH {NORMAL}, t AS (SELECT (SELECT count(*) FROM raw) AS found, (SELECT count(*) FROM normal) AS valid,
     (SELECT count(DISTINCT dedupe_key) FROM normal) AS added)
-  SELECT found, added, valid - added AS updated, found - valid AS invalid FROM t""")
+  SELECT 'feed' AS source, 'ok' AS status, found, added, valid - added AS updated, found - valid AS invalid FROM t""")
 def _(spark, d):
+    """A file a micro-batch; the totals of the runs are those of one batch."""
     root = jobs.new_folder(spark, "totals")
-    raw = tb.raw_listings(spark, d, tb.event_stream(spark, d))
-    jobs.stream_run_totals(raw, root, _stamp)
+    raw = tb.raw_listings(spark, d, _several_files(spark, d, root))
+    jobs.stream_run_totals(raw, root, _stamp, "feed")
     runs = spark.read.parquet(f"{root}/runs")
-    return runs.agg(*[F.sum(c).alias(c) for c in ("found", "added", "updated", "invalid")])
+    return runs.groupBy("source", "status").agg(*[F.sum(c).alias(c) for c in ("found", "added", "updated", "invalid")])
 
 
 @query("stream_dedupe", f"WITH {tb.ACTIONS} SELECT DISTINCT dedupe_key FROM actions")

@@ -24,6 +24,13 @@ def local_session(cpus: str = "8", name: str = "playbill") -> SparkSession:
     return spark
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever the session can reach it."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, for checkpoints and small tables.
 

@@ -57,16 +57,22 @@ def stream_upsert(raw: DataFrame, root: str, batch_time: Callable[[int], Column]
     drain(raw, root, merge)
 
 
-def stream_run_totals(raw: DataFrame, root: str, batch_time: Callable[[int], Column]) -> None:
-    """As ``stream_upsert``, and log found, added, updated and invalid per batch."""
+def stream_run_totals(raw: DataFrame, root: str, batch_time: Callable[[int], Column], source: str = "stream") -> None:
+    """As ``stream_upsert``, and a run log row per batch: the log's columns, and found, added, updated and invalid."""
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         clean = normalize(batch).persist()
         try:
-            # The key holds the day, so only the batch's days can already hold its keys.
-            earlier = snapshots.stored_days(spark, root, snapshots.touched_days(clean), batch_id)
-            counts = upsert_counts(earlier, batch).withColumn("run_id", F.lit(batch_id).cast("long"))
-            counts.write.mode("overwrite").parquet(f"{root}/runs/batch_id={batch_id}")
+            earlier = snapshots.current(spark, root, before=batch_id)
+            if earlier is not None:
+                # The key holds the day, so only the batch's days can already hold its keys; the days prune the files read.
+                earlier = earlier.join(clean.select("event_date").distinct(), "event_date", "left_semi")
+            counts = upsert_counts(earlier, batch)
+            run = counts.select(
+                F.lit(batch_id).cast("long").alias("run_id"), F.lit(source).alias("source"), F.lit(source).alias("source_name"),
+                F.lit("ok").alias("status"), F.col("found").alias("events_found"), F.col("added").alias("events_added"),
+                F.lit(None).cast("string").alias("error_msg"), batch_time(batch_id).alias("run_at"), "found", "added", "updated", "invalid")
+            run.write.mode("overwrite").parquet(f"{root}/runs/batch_id={batch_id}")
             snapshots.write_batch(spark, root, clean, batch_id, batch_time(batch_id))
         finally:
             clean.unpersist()

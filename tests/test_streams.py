@@ -53,10 +53,49 @@ def test_uncommitted_batch_is_invisible(spark, halves, tmp_path):
     snapshots.write_batch(spark, root, normalize(tb.raw_listings(spark, FOLDER, first)), 0, stamp())
     before = plain(snapshots.current(spark, root))
     half_done = upsert(None, normalize(tb.raw_listings(spark, FOLDER, second)), stamp())
-    half_done.write.partitionBy("event_date").parquet(f"{root}/listings/batch_id=1")
+    half_done.write.partitionBy("event_date").parquet(f"{root}/segments/1-1-died")
     assert plain(snapshots.current(spark, root)) == before
 
 
+def test_replaying_a_committed_batch_while_reading(spark, halves, tmp_path):
+    _, first, second = halves
+    root = str(tmp_path / "table")
+    raws = [normalize(tb.raw_listings(spark, FOLDER, part)) for part in (first, second)]
+    snapshots.write_batch(spark, root, raws[0], 0, stamp())
+    snapshots.write_batch(spark, root, raws[1], 1, stamp())
+    reader = snapshots.current(spark, root)
+    snapshots.write_batch(spark, root, raws[1], 1, stamp())
+    snapshots.write_batch(spark, root, raws[0], 0, stamp())
+    assert plain(ordered(reader)) == plain(ordered(snapshots.current(spark, root)))
+    assert len(snapshots._commits(spark, root)) == 2
+
+
+def test_segments_are_merged_and_cleaned(spark, tmp_path):
+    root, batch = str(tmp_path / "table"), normalize(tb.raw_listings(spark, FOLDER))
+    parts = [batch.where(F.col("seq") % 7 == i) for i in range(7)]
+    expected = None
+    for i, part in enumerate(parts):
+        snapshots.write_batch(spark, root, part, i, stamp(), fanout=3)
+        expected = upsert(expected, part, stamp())
+    assert [(s.first_batch, s.last_batch, s.level) for s in snapshots.live(snapshots._commits(spark, root))] == [(0, 2, 1), (3, 5, 1), (6, 6, 0)]
+    assert plain(ordered(snapshots.current(spark, root))) == plain(ordered(expected))
+    assert snapshots.current(spark, root, before=0) is None
+    snapshots.clean(spark, root)
+    assert len(snapshots._commits(spark, root)) == 3 == len(list((tmp_path / "table" / "segments").iterdir()))
+    assert plain(ordered(snapshots.current(spark, root))) == plain(ordered(expected))
+    snapshots.write_batch(spark, root, parts[0], 0, stamp(), fanout=3)
+    assert plain(ordered(snapshots.current(spark, root))) == plain(ordered(expected))
+
+
+def test_days_prune_every_segment(spark, halves, tmp_path):
+    _, first, second = halves
+    root = str(tmp_path / "table")
+    for i, part in enumerate((first, second)):
+        snapshots.write_batch(spark, root, normalize(tb.raw_listings(spark, FOLDER, part)), i, stamp())
+    plan = snapshots.current(spark, root).where("event_date = DATE '2024-01-10'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(event_date") == 2
+
+
 def test_stream_upsert_over_two_files(spark, halves, tmp_path):
     folder, first, second = halves
     root = str(tmp_path / "table")
