@@ -23,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from playbill.llm.storage import Workspace, clean_columns
+from playbill.llm.storage import Workspace, among, clean_columns
 from playbill.llm.words import U64, chunks, constants, mix, prefix_sums
 
 GRAM, LENGTH = 32, 200
 PIECE, HOT, BAND = 4 << 20, 20_000, 8
 LEFT_MIX, RIGHT_MIX = constants(2, 21)
-BROADCAST_KEYS = 2_000_000
 
 
 def sliding(values: np.ndarray, width: int, reduce: np.ufunc) -> np.ndarray:
@@ -217,12 +216,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=[*names, *out])
 
 
-def _semi(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Documents with or without a key in ``keys``; a list of keys of at most 16 MB is broadcast."""
-    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(keys) if small else keys, "_key", how)
-
-
 def _grouped(df: DataFrame, *keys: str) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, *keys).sortWithinPartitions(*keys)
@@ -246,16 +239,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         return anchors(batches, length, gram)
 
     found = texts.mapInArrow(scan, "a bigint, around bigint, key bigint, pos int, right smallint")
-    twice = found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    # Stored, so that the join below reads both sides from a shuffle and can split the rows of a hot anchor.
+    twice = space.keep(found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "twice")
     repeated = space.keep(found.join(twice, "a"), "repeated")
     classes = space.keep(repeated.groupBy("a", "around").agg(
         F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min_by("pos", "key").alias("pos")), "classes")
     reach = length - gram
     span = [F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), (F.col("pos") + F.col("right")).alias("end")]
     full = repeated.join(classes.where("n > 1").select("a", "around"), ["a", "around"]).select("key", *span)
-    mixed = classes.join(classes.groupBy("a").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "a")
-    mixed = space.keep(mixed, "mixed")
-    some = _semi(base.where(F.octet_length("text") >= length).select("_key", "text"), mixed.select(F.col("key").alias("_key")).distinct(), "left_semi").dropDuplicates(["_key"])
+    several = space.keep(classes.groupBy("a").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "several")
+    mixed = space.keep(classes.join(several, "a"), "mixed")
+    some = among(base.where(F.octet_length("text") >= length).select("_key", "text"), mixed.select(F.col("key").alias("_key")).distinct(), "left_semi").dropDuplicates(["_key"])
     at = F.greatest(F.col("pos") - reach, F.lit(0))
     segments = mixed.join(some, mixed["key"] == some["_key"]).select(
         "a", "members", "key", "pos", "n", (F.col("pos") - at).alias("left"),
@@ -266,9 +260,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     spans = space.keep(spans.withColumnRenamed("key", "_key"), "spans")
     schema = T.StructType([*base.drop("_key").schema.fields, *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
                            T.StructField("kept_bytes", T.BinaryType())])
-    changed = _semi(base, spans.select("_key"), "left_semi").join(spans, "_key")
+    changed = among(base, spans.select("_key"), "left_semi").join(spans, "_key")
     none = F.lit(None).cast("array<struct<start:int,end:int>>")
-    same = _semi(base, spans.select("_key"), "left_anti").withColumn("_spans", none)
+    same = among(base, spans.select("_key"), "left_anti").withColumn("_spans", none)
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     whole = same.select(*kept, F.octet_length(text).cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"),
                         F.lit(0).cast("bigint").alias("n_spans"), text.alias("kept_bytes"))

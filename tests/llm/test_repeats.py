@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from playbill.llm import repeats as rp
+from playbill.llm import storage
 
 
 def brute(texts, length):
@@ -47,7 +48,7 @@ def test_equals_brute_force(documents, hot):
 
 
 def test_shuffle_join_instead_of_broadcast(documents, monkeypatch):
-    monkeypatch.setattr(rp, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(storage, "BROADCAST_KEYS", 0)
     texts = corpus()[:60]
     assert got(documents(enumerate(texts)), length=20, gram=8) == dict(enumerate(brute(texts, 20)))
 
