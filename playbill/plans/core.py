@@ -165,17 +165,27 @@ def _form(spark, d):
         F.lit("").alias("price_range"))
 
 
-@query("manual_append", f"""WITH {SHOWS} SELECT event_id AS seq,
-    {norm_sql('p_name')} || '|' || strftime(ts, '%Y-%m-%d') || '|' || {norm_sql('n_name')} AS dedupe_key,
-    'manual' AS source, 'manual' AS source_name, p_name AS title, p_brand AS artist, n_name AS venue,
-    CAST(ts AS DATE) AS event_date, 'other' AS category,
-    CASE WHEN user_id % 2 = 0 THEN lower(p_type) ELSE p_name END AS genre_tags,
-    CASE WHEN user_id % 3 = 0 THEN 'https://own.example/' || k ELSE 'https://alt.example/' END AS ticket_url
-  FROM shows WHERE event_type NOT IN ('error', 'signup')""")
+MANUAL = f"""WITH {NORMAL}, form AS (
+    SELECT event_id AS seq, 5 AS precedence, 1 AS run, {norm_sql('p_name')} || '|' || strftime(ts, '%Y-%m-%d') || '|' || {norm_sql('n_name')} AS dedupe_key,
+      'manual' AS source, 'manual' AS source_name, p_name AS title, p_brand AS artist, n_name AS venue,
+      CAST(ts AS DATE) AS event_date, 'other' AS category,
+      CASE WHEN user_id % 2 = 0 THEN lower(p_type) ELSE p_name END AS genre_tags,
+      CASE WHEN user_id % 3 = 0 THEN 'https://own.example/' || k ELSE 'https://alt.example/' END AS ticket_url
+    FROM shows WHERE event_type NOT IN ('error', 'signup')), written AS (
+    SELECT * FROM form UNION ALL SELECT seq, precedence, 0, dedupe_key, source, source_name, title, artist, venue, event_date, category, genre_tags, ticket_url
+    FROM normal WHERE NOT ({LATE})), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY run DESC, precedence DESC, seq DESC) AS newest,
+      first_value(seq) OVER (PARTITION BY dedupe_key ORDER BY run, precedence, seq) AS id FROM written)"""
+
+
+@query("manual_append", f"""{MANUAL} SELECT dedupe_key, id, source, source_name, title, artist, venue, event_date, category,
+    genre_tags, ticket_url FROM ranked WHERE newest = 1""")
 def _(spark, d):
-    return ingest.normalize(ingest.manual_records(_form(spark, d))).select(
-        "seq", "dedupe_key", "source", "source_name", "title", "artist", "venue", "event_date", "category",
-        "genre_tags", "ticket_url")
+    """Form posts merged into the stored table."""
+    stored, _ = _first_and_next(spark, d)
+    merged = ingest.upsert(stored, ingest.normalize(ingest.manual_records(_form(spark, d))), ntz(NEXT_TIME))
+    return merged.select("dedupe_key", "id", "source", "source_name", "title", "artist", "venue", "event_date", "category",
+                         "genre_tags", "ticket_url")
 
 
 @query("refresh_one_source", f"""WITH {NORMAL}, written AS (
@@ -185,28 +195,11 @@ def _(spark, d):
   SELECT dedupe_key, {', '.join(MUTABLE)} FROM ranked WHERE newest = 1""")
 def _(spark, d):
     stored, late = _first_and_next(spark, d)
-    known = run_log(spark, d).select("source_name")
+    known = raw_listings(spark, d).select("source_name").distinct()
     merged = ingest.refresh_one_source(stored, ingest.normalize(late), "src3", known, ntz(NEXT_TIME))
     return merged.select("dedupe_key", *MUTABLE)
 
 
-@query("union_sources", """SELECT precedence, source, count(*) AS n, min(seq) AS first_seq FROM (
-    SELECT event_id AS seq, event_type,
-      CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 ELSE 4 END AS precedence,
-      CASE event_type WHEN 'view' THEN 'api' WHEN 'click' THEN 'api' WHEN 'purchase' THEN 'api' WHEN 'error' THEN 'rss' ELSE 'scrape' END AS source
-    FROM events) GROUP BY ALL""")
-def _(spark, d):
-    events = read(spark, d, "events")
-
-    def feed(kind, source):
-        return events.where(F.col("event_type") == kind).select(F.col("event_id").alias("seq"), F.lit(source).alias("source"))
-
-    merged = ingest.union_sources({
-        "scraper": feed("signup", "scrape"), "rss": feed("error", "rss"), "ticketmaster": feed("view", "api"),
-        "eventbrite": feed("click", "api"), "bandsintown": feed("purchase", "api")})
-    return merged.groupBy("precedence", "source").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
-
-
 @query("artists_of_interest", f"WITH {LISTINGS} SELECT DISTINCT artist FROM listings WHERE interested AND artist <> ''")
 def _(spark, d):
     return ingest.artists_of_interest(listings(spark, d))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from playbill.functions.text import slug, slug_loose
 from playbill.operators import ingest
 from playbill.operators import pages as pg
+from playbill.operators import refresh as rf
 from playbill.operators import runs as rn
 from playbill.plans.parsing import HREFS, WEST, classify_sql
 from playbill.plans.registry import query
-from playbill.plans.tables import AS_OF, SHOWS, _pick, read, shows
+from playbill.plans.tables import AS_OF, SHOWS, _pick, norm_sql, ntz, read, shows
 from playbill.sources import feeds as fd
 from playbill.sources import html as ht
 from playbill.sources import jsonld as jl
@@ -486,3 +487,79 @@ def _(spark, d):
     pages = _scraped(spark, d).withColumns({"html": F.when(n % 7 != 5, F.col("html")), "selectors": F.when(n % 7 != 6, F.col("selectors"))})
     report = ht.item_report(ht.html_items(pages), AS_OF, max_items=ht.MAX_ITEMS)
     return rn.extraction_health(report, _sites(spark, d))
+
+
+# ── a whole refresh ────────────────────────────────────────────────────────
+
+KINDS = ["api", "rss", "jsonld", "page"]
+
+
+def _landed(spark, d):
+    """Documents of four kinds, by user: payloads, feeds, pages with JSON-LD, pages to scrape. Some cannot be read."""
+    user, number = F.col("user_id"), F.col("event_id")
+    day, clock = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss")
+    broken = F.col("k") == 7
+    docs = shows(spark, d).select(
+        number.alias("doc_id"), _pick(user, KINDS).alias("kind"), user, "p_name", "n_name", "r_name", broken.alias("broken"),
+        F.concat(day, F.lit("T"), clock).alias("at"))
+    place = docs.select("user_id", "kind", "n_name", "r_name").distinct()
+    name = F.concat("kind", F.col("user_id").cast("string"))
+    registry = place.where("kind <> 'api'").select(
+        name.alias("id"), F.concat(F.lit("Site "), name).alias("name"), F.when(F.col("kind") == "jsonld", "jsonld").otherwise("rss").alias("type"),
+        F.lit("https://site.example/").alias("url"), F.col("n_name").alias("venue"), F.col("r_name").alias("city"),
+        F.when(user % 3 == 0, "comedy").alias("category"),
+        F.struct(F.lit("li").alias("item"), F.lit("h3").alias("name"), F.lit("time").alias("date"), *[
+            F.lit(None).cast("string").alias(c) for c in ("ticketLink", "image", "price")]).alias("selectors"))
+    api = docs.where("kind = 'api'").select("doc_id", F.lit("eventbrite").alias("source_name"), F.to_json(F.struct(
+        F.struct(F.col("p_name").alias("text")).alias("name"), F.struct(F.col("at").alias("local")).alias("start"),
+        F.struct(F.col("n_name").alias("name")).alias("venue"))).alias("body"), F.lit("music").alias("category"), F.lit("").alias("default_city"))
+    item = _text("<rss><item><title>", F.col("p_name"), "</title><pubDate>", F.col("at"), "Z</pubDate><link>https://f.example/", F.col("doc_id"), "</link></item></rss>")
+    script = _text('<script type="application/ld+json">{"@type":"Event","name":"', F.col("p_name"), '","startDate":"', F.col("at"), '"}</script>')
+    feed = docs.where("kind IN ('rss', 'jsonld')").select("doc_id", name.alias("source_name"), F.when(
+        ~F.col("broken"), F.when(F.col("kind") == "rss", item).otherwise(script)).alias("body"))
+    pages = docs.where("kind = 'page'").select("doc_id", name.alias("source_name"), F.lit("https://site.example/").alias("url"), F.when(
+        ~F.col("broken"), _text("<ul><li><h3>", F.col("p_name"), '</h3><time datetime="', F.col("at"), '"></time></ul>')).alias("html"))
+    return {
+        "eventbrite": rf.read_api(api, pl.FLAT, pl.map_flat, AS_OF, "UTC"),
+        "rss": rf.read_feeds(feed, registry, AS_OF, "UTC"),
+        "scraper": rf.read_pages(pages, registry, AS_OF, "UTC"),
+    }
+
+
+REFRESHED = SHOWS + f""", landed AS (
+  SELECT *, ['api', 'rss', 'jsonld', 'page'][user_id % 4 + 1] AS kind, event_id * 1048576 AS seq FROM shows), named AS (
+  SELECT *, CASE WHEN kind = 'api' THEN 'eventbrite' ELSE kind || user_id END AS source_name,
+    CASE kind WHEN 'api' THEN 1 WHEN 'page' THEN 4 ELSE 3 END AS precedence,
+    CASE kind WHEN 'api' THEN 'api' WHEN 'page' THEN 'scrape' ELSE 'rss' END AS source FROM landed), failed AS (
+  SELECT source_name, CASE min(kind) WHEN 'page' THEN 'unreadable page: no page text' ELSE 'unreadable feed' END AS error_msg
+  FROM named WHERE kind <> 'api' AND k = 7 GROUP BY source_name), records AS (
+  SELECT *, {norm_sql('p_name')} || '|' || strftime(ts, '%Y-%m-%d') || '|' || {norm_sql('n_name')} AS dedupe_key,
+    {classify_sql("CASE WHEN kind = 'api' THEN 'music ' ELSE '' END || p_name", "CASE WHEN kind <> 'api' AND user_id % 3 = 0 THEN 'comedy' ELSE 'music' END")} AS category
+  FROM named WHERE source_name NOT IN (SELECT source_name FROM failed)), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY precedence DESC, seq DESC) AS newest,
+    row_number() OVER (PARTITION BY dedupe_key ORDER BY precedence, seq) AS oldest,
+    first_value(seq) OVER (PARTITION BY dedupe_key ORDER BY precedence, seq) AS id FROM records)"""
+
+
+@query("refresh_all", f"""WITH {REFRESHED} SELECT dedupe_key, id, source, source_name, p_name AS title, n_name AS venue,
+    CASE WHEN kind <> 'api' THEN r_name END AS city, CAST(ts AS DATE) AS event_date, strftime(ts, '%H:%M') AS event_time, category,
+    CASE WHEN kind = 'api' THEN 'music' WHEN user_id % 3 = 0 THEN 'comedy' ELSE '' END AS genre_tags,
+    CASE WHEN kind = 'rss' THEN 'https://f.example/' || event_id END AS ticket_url FROM ranked WHERE newest = 1""")
+def _(spark, d):
+    """Landed documents of three adapters to the stored table."""
+    return rf.refresh(None, _landed(spark, d), ntz("2024-02-01 00:00:00")).select(
+        "dedupe_key", "id", "source", "source_name", "title", "venue", "city", "event_date", "event_time", "category", "genre_tags", "ticket_url")
+
+
+@query("refresh_log", f"""WITH {REFRESHED} SELECT source_name, max(source) AS source, 'ok' AS status, count(*) AS found,
+    count(*) FILTER (oldest = 1) AS added, count(*) FILTER (oldest <> 1) AS updated, 0 AS invalid, CAST(NULL AS VARCHAR) AS error_msg
+  FROM ranked GROUP BY source_name
+  UNION ALL SELECT source_name, NULL, 'error', 0, 0, 0, 0, error_msg FROM failed""")
+def _(spark, d):
+    return rf.refresh_log(None, _landed(spark, d), ntz("2024-02-01 00:00:00")).drop("run_at")
+
+
+@query("union_sources", f"""WITH {REFRESHED} SELECT seq, precedence, source, source_name, p_name AS title, strftime(ts, '%Y-%m-%d') AS date FROM records""")
+def _(spark, d):
+    """Every record of the refresh, stamped with its adapter's place."""
+    return rf.gather(_landed(spark, d)).select("seq", "precedence", "source", "source_name", "title", "date")

@@ -92,7 +92,7 @@ def feed_rejects(feeds: DataFrame, items: DataFrame, records: DataFrame, keys: l
 
 
 def rss_items(feeds: DataFrame, body: str = "body") -> DataFrame:
-    """One row per RSS item or Atom entry of each document, parsed into ``item``."""
+    """One row per RSS item or Atom entry of each document, parsed into ``item``, with its ``pos``."""
     def found(pattern: str, schema: str) -> Column:
         texts = F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(pattern), F.lit(0))
         return F.transform(texts, lambda x: let(F.from_xml(x, schema), lambda strict: F.when(
@@ -101,7 +101,7 @@ def rss_items(feeds: DataFrame, body: str = "body") -> DataFrame:
     rest = [c for c in feeds.columns if c != body]
     both = F.concat(found(ITEM, RSS_ITEM), F.transform(found(ENTRY, ATOM_ENTRY), _of_entry))
     # Parsed inside the generator, so later filters cannot repeat the parsing.
-    return feeds.select(*rest, F.explode(both).alias("item"))
+    return feeds.select(*rest, F.posexplode(both).alias("pos", "item"))
 
 
 def read_rss_items(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +152,8 @@ def _start(block: Column, zone: str) -> Column:
 def ical_events(feeds: DataFrame, body: str = "body") -> DataFrame:
     """One row per VEVENT of each document, continuation lines joined."""
     unfolded = F.regexp_replace(body, r"\r?\n[ \t]", "")
-    return feeds.withColumn("vevent", F.explode(F.regexp_extract_all(unfolded, F.lit(VEVENT), F.lit(0)))).drop(body)
+    rest = [c for c in feeds.columns if c != body]
+    return feeds.select(*rest, F.posexplode(F.regexp_extract_all(F.coalesce(unfolded, F.lit("")), F.lit(VEVENT), F.lit(0))).alias("pos", "vevent"))
 
 
 def map_ical(events: DataFrame, as_of: AsOf, zone: str, keep: list[str]) -> DataFrame:
