@@ -27,7 +27,7 @@ MAIL_ZONES = {"GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST"
 
 
 def mail_instant(c: Column) -> Column:
-    """An e-mail or ISO date as ``...Z`` text; null when it is neither."""
+    """An e-mail or ISO date as UTC wall-clock time; null when it is neither."""
     offsets = F.create_map(*[F.lit(x) for pair in MAIL_ZONES.items() for x in pair])
 
     def parsed(text: Column) -> Column:
@@ -37,8 +37,7 @@ def mail_instant(c: Column) -> Column:
         return (F.when(clock != "", F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")))
                 .when(text.rlike(r"T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"), text.try_cast("timestamp")))
 
-    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), let(F.trim(c), parsed).cast("timestamp_ntz"))
-    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), let(F.trim(c), parsed).cast("timestamp_ntz"))
 
 
 def _none() -> Column:
@@ -111,15 +110,17 @@ def read_rss_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def map_rss(items: DataFrame, as_of: AsOf, zone: str, keep: list[str]) -> DataFrame:
-    """Date and time from the title first, then from the publish date."""
-    items = items.withColumn("iso", mail_instant(F.col("item")["pubDate"]))
-    item, iso = F.col("item"), F.col("iso")
+    """Date and time from the title first, then from the publish date.
+
+    A publish date that is an instant needs no date grammar: it is only moved to the zone.
+    """
+    items = items.withColumn("local", F.convert_timezone(F.lit("UTC"), F.lit(zone), mail_instant(F.col("item")["pubDate"])))
+    item, local = F.col("item"), F.col("local")
     snippet = F.regexp_replace(F.coalesce(item["description"], F.lit("")), "<[^>]*>", "")
     return project_where(items, [*keep, "source_name"], _feed_fields(squash(item["title"])) | {
         "venue": F.coalesce(truthy("feed_venue"), "feed_name"),
-        "date": F.coalesce(parse_date(item["title"], as_of, zone), parse_date(iso, as_of, zone),
-                           parse_date(item["pubDate"], as_of, zone)),
-        "time": F.coalesce(parse_time(item["title"], zone), parse_time(iso, zone)),
+        "date": F.coalesce(parse_date(item["title"], as_of, zone), local.cast("date"), parse_date(item["pubDate"], as_of, zone)),
+        "time": F.coalesce(parse_time(item["title"], zone), F.date_format(local, "HH:mm")),
         "category": classify(F.concat_ws(" ", F.coalesce(item["title"], F.lit("")), snippet),
                              F.coalesce(truthy("feed_category"), F.lit("music"))),
         "ticket_url": truthy(item["link"]), "image_url": item["enclosure"]["_url"],
