@@ -12,7 +12,7 @@ from playbill.operators import ingest
 from playbill.operators.filters import Filters, apply_filters
 from playbill.plans.registry import query
 from playbill.plans.tables import (
-    LISTINGS, NORMAL, RAW, RUN_LOG, SHOWS, STATEFUL, VALID, listings, norm_sql, ntz, raw_listings, read, run_log, shows,
+    LISTINGS, NORMAL, RAW, RUN_LOG, STATEFUL, VALID, listings, norm_sql, ntz, raw_listings, read, run_log, shows,
     stateful,
 )
 from playbill.schema import MUTABLE
