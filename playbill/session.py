@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,6 +33,19 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _remove_if_running(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        remove(spark, path)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, for one run; it goes when the application ends with its session open."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove_if_running, spark, path)
+    return path
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, for checkpoints and small tables.
 

@@ -7,7 +7,6 @@ output, so results survive restarts.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +15,12 @@ from pyspark.sql import types as T
 
 from playbill.operators.feedback import signal_rows
 from playbill.operators.ingest import normalize, upsert_counts
-from playbill.session import shared_folder
+from playbill.session import work_folder
 from playbill.sinks import snapshots
 
 
 def new_folder(spark: SparkSession, job: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{job}-{uuid.uuid4().hex}"
+    return work_folder(spark, job)
 
 
 def drain(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
