@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.session import shared_folder
+from playbill.session import work_folder
 
 
 class Workspace:
-    """A folder of one run: ``keep`` writes a table there, so that a lost executor costs no recomputation."""
+    """A folder of one run: ``keep`` writes a table there, so that a lost executor costs no recomputation.
+
+    It is removed when the application ends.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        self.path = f"{shared_folder(spark).rstrip('/')}/playbill-{uuid.uuid4().hex}"
+        self.path = work_folder(spark, "playbill")
         self.count = 0
-        atexit.register(self.drop)
 
     def folder(self, name: str) -> str:
         self.count += 1
@@ -29,14 +28,6 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, path: str | None = None) -> None:
-        """Delete a table, or the folder at the end of the application."""
-        context = self.spark.sparkContext
-        if context._jsc is None or context._jsc.sc().isStopped():
-            return
-        target = context._jvm.org.apache.hadoop.fs.Path(path or self.path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-
 
 #: A list of at most so many 8-byte keys, 16 MB, is sent to every task; a longer one is shuffled.
 BROADCAST_KEYS = 2_000_000
