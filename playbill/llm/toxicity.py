@@ -121,7 +121,7 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, list[int]]], labels: list[
             chain.thresholds.append(2.0)
         return chain
     counts = np.array([len(r[0]) for r in rows])
-    index, owner = np.concatenate([r[0] for r in rows]), np.repeat(np.arange(len(rows)), counts)
+    index, owner = np.concatenate([r[0] for r in rows]).astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), counts)
     dense = np.stack([r[1] for r in rows])
     fold = np.arange(len(rows)) % folds
     for j in range(len(labels)):
@@ -140,7 +140,7 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, list[int]]], labels: list[
 
 
 def _subset(index: np.ndarray, owner: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    place = np.full(n, -1)
+    place = np.full(n, -1, np.int32)
     place[rows] = np.arange(len(rows))
     use = place[owner] >= 0
     return index[use], place[owner[use]]
@@ -150,8 +150,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = list(features(batch.column("text")))
         yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())),
-             pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=[*[c for c in batch.schema.names if c != "text"], "_buckets", "_dense"])
+            [*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()),
+             pa.array([f[1].astype(np.float64).tobytes() for f in found], pa.binary())], names=[*[c for c in batch.schema.names if c != "text"], "_buckets", "_dense"])
 
 
 def fit_chain(docs: DataFrame, labelled: DataFrame, labels: list[str], sample_rows: int = SAMPLE_ROWS, folds: int = FOLDS) -> Chain:
@@ -164,9 +164,9 @@ def fit_chain(docs: DataFrame, labelled: DataFrame, labels: list[str], sample_ro
     held = labelled.dropna(subset=["doc_id", *labels]).groupBy("doc_id").agg(*[F.max(c).cast("int").alias(c) for c in labels])
     drawn = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     text = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    schema = T.StructType([f for f in text.schema.fields if f.name != "text"]).add("_buckets", T.ArrayType(T.IntegerType())).add("_dense", T.ArrayType(T.DoubleType()))
-    rows = sorted(text.mapInArrow(_vectors, schema).collect(), key=lambda r: (r["doc_id"], r["_buckets"]))
-    return fit_rows([(np.array(r["_buckets"], np.int64), np.array(r["_dense"]), [r[c] for c in labels]) for r in rows], labels, folds)
+    schema = T.StructType([f for f in text.schema.fields if f.name != "text"]).add("_buckets", T.BinaryType()).add("_dense", T.BinaryType())
+    rows = sorted(text.mapInArrow(_vectors, schema).collect(), key=lambda r: (r["doc_id"], bytes(r["_buckets"])))
+    return fit_rows([(np.frombuffer(r["_buckets"], np.int32), np.frombuffer(r["_dense"]), [r[c] for c in labels]) for r in rows], labels, folds)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
