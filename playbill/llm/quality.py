@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playbill.functions.text import let
+from playbill.functions.text import let, project_where
 from playbill.llm.storage import Workspace, clean_columns
 
 SPACE = r"[ \t-\r]+"
@@ -157,15 +157,17 @@ def order(rules: list[Rule], estimates: list[tuple[str, float, float]]) -> list[
     return sorted(rules, key=lambda r: -gain[r.name])
 
 
-def cascade(measured: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds ``rejected_by`` (first rule that holds, else null) and ``kept``; later rules are not evaluated.
-
-    A condition that is null does not reject.
-    """
+def first_rejection(rules: list[Rule]) -> Column:
+    """The name of the first rule that holds, else null; later rules are not evaluated. A null condition does not reject."""
     name = F.when(F.lit(False), F.lit(""))
     for r in rules:
         name = name.when(r.rejects(), F.lit(r.name))
-    out = measured.select(*clean_columns(measured, ["rejected_by", "kept"]), name.alias("rejected_by"))
+    return name
+
+
+def cascade(measured: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Adds ``rejected_by`` (see ``first_rejection``) and ``kept``."""
+    out = measured.select(*clean_columns(measured, ["rejected_by", "kept"]), first_rejection(rules).alias("rejected_by"))
     return out.withColumn("kept", F.col("rejected_by").isNull()).drop(*PARTS)
 
 
@@ -173,3 +175,17 @@ def quality_filter(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int
     """All documents with measures, ``rejected_by`` and ``kept``, the rules in their estimated best order."""
     measured = with_measures(docs)
     return cascade(measured, order(rules, estimate(docs, rules, sample_rows)))
+
+
+def passing(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that no rule rejects, with their own columns.
+
+    The verdict is tested inside the projection: a filter after it would be pushed below the measures and
+    compute them again.
+    """
+    ordered = order(rules, estimate(docs, rules, sample_rows))
+    names = docs.columns
+    inside = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("text", F.col(f"c{names.index('text')}"))
+    kept = project_where(with_measures(inside), [f"c{i}" for i in range(len(names))], {"rejected_by": first_rejection(ordered)},
+                         lambda r: r["rejected_by"].isNull())
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -78,6 +78,15 @@ def test_clashing_columns_and_repeated_rows(documents):
     assert sorted((r["doc_id"] or 0, r["kept"]) for r in out.collect()) == [(0, False), (1, True), (1, True)]
 
 
+def test_passing_keeps_the_same_documents(documents):
+    docs = documents(enumerate([*TEXTS, PROSE, PROSE.upper()])).withColumns({"N_Words": F.lit(5), "kept": F.lit("x")})
+    kept = {r["doc_id"] for r in q.quality_filter(docs).where("kept").collect()}
+    out = q.passing(docs)
+    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == kept != set()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan.replace("filter(", "")
+
+
 def test_the_main_path_is_native(documents):
     plan = q.quality_filter(documents([(1, PROSE)]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
