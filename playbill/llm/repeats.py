@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,7 @@ from playbill.llm.words import U64, chunks, constants, mix, prefix_sums
 
 GRAM, LENGTH = 32, 200
 PIECE, HOT, BAND = 4 << 20, 20_000, 8
+COLUMNS = ["a", "part", "left", "seg", "key", "pos", "n"]
 LEFT_MIX, RIGHT_MIX = constants(2, 21)
 
 
@@ -179,7 +180,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     held: list[tuple] = []
     now = None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("a", "part", "left", "seg", "key", "pos", "n")]
+        columns = [batch.column(c).to_pylist() for c in COLUMNS]
         for a, part, *row in zip(*columns, strict=True):
             if (a, part) != now:
                 if len(held) > 1:
@@ -254,7 +255,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     segments = mixed.join(some, mixed["key"] == some["_key"]).select(
         "a", "members", "key", "pos", "n", (F.col("pos") - at).alias("left"),
         F.substring(F.encode("text", "UTF-8"), at + 1, F.col("pos") - at + length).alias("seg"))
-    parts = _parts(segments, hot, length, reach)
+    parts = segments.where(F.col("members") <= hot).withColumn("part", F.lit(0).cast("bigint")).select(*COLUMNS)
+    if several.where(F.col("members") > hot).limit(1).count():
+        groups, dealt = _dealt(space.keep(segments.where(F.col("members") > hot), "hot"), hot, length, reach, space)
+        parts, full = parts.union(groups), full.union(dealt)
     near = _grouped(parts, "a", "part").mapInArrow(lambda b: repeat_spans(b, length), "key bigint, start int, end int")
     spans = full.union(near).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     spans = space.keep(spans.withColumnRenamed("key", "_key"), "spans")
@@ -269,18 +273,46 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     return changed.select(*kept, "_spans").mapInArrow(_cut, schema).union(whole)
 
 
-def _parts(segments: DataFrame, hot: int, length: int, reach: int) -> DataFrame:
-    """Groups to scan. An anchor with more than ``hot`` classes is dealt out by where a string begins, in bands, and by the bytes all strings of a band share."""
-    columns = ["a", "part", "left", "seg", "key", "pos", "n"]
-    usual = segments.where(F.col("members") <= hot).withColumn("part", F.lit(0).cast("bigint"))
+def _dealt(segments: DataFrame, hot: int, length: int, reach: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(groups of at most ``hot`` rows to scan, spans found already) of anchors with more than ``hot`` classes.
+
+    Such an anchor is dealt out by where a string begins, in bands, and by the bytes all strings of a band share.
+    Equal segments are counted map-side: one seen twice is a repeat throughout, and one row of each goes on.
+    A part that still has more than ``hot`` different ones is dealt out by its strings themselves, counted likewise.
+    """
     lo = F.col("band") * BAND
     hi = F.least(lo + BAND - 1, F.lit(reach))
     # Strings that begin lo to hi bytes before the anchor share the bytes from lo before it to length - hi after it.
-    wide = segments.where(F.col("members") > hot).select("*", F.explode(F.sequence(F.lit(0), F.lit(reach // BAND))).alias("band")).where(
+    wide = segments.select("*", F.explode(F.sequence(F.lit(0), F.lit(reach // BAND))).alias("band")).where(
         (F.col("left") >= lo) & (F.octet_length("seg") - F.col("left") >= length - hi))
     core = F.substring("seg", F.col("left") - lo + 1, lo + length - hi)
     cut = F.greatest(F.col("left") - hi, F.lit(0))
     banded = wide.select(
         "a", F.xxhash64("band", core).alias("part"), (F.col("left") - cut).alias("left"),
         F.substring("seg", cut + 1, F.col("left") - cut + length - lo).alias("seg"), "key", "pos", "n")
-    return usual.select(*columns).union(banded.select(*columns))
+    distinct = space.keep(banded.groupBy("a", "part", "left", "seg").agg(
+        F.count(F.lit(1)).alias("times"), F.sum("n").alias("n"), F.min("key").alias("key"), F.min_by("pos", "key").alias("pos")), "distinct")
+    start = F.col("pos") - F.col("left")
+    own = ["a", "part", "left", *_marks(F.col("seg"))]
+    # Members of larger classes have their spans already.
+    twice = space.keep(distinct.where("times > 1").select(*own), "twice")
+    alone = banded.where("n = 1").select(*own, "key", start.alias("start"), (start + F.octet_length("seg")).alias("end"))
+    spans = alone.join(twice, twice.columns).select("key", "start", "end")
+    sizes = space.keep(distinct.groupBy("a", "part").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
+    sized = distinct.join(sizes, ["a", "part"])
+    if sizes.where(F.col("members") > hot).limit(1).count():
+        # Every segment is at least a string long.
+        strings = sized.where(F.col("members") > hot).select(
+            "*", F.explode(F.sequence(F.lit(0), F.octet_length("seg") - length)).alias("at")).select(
+            "a", (F.col("left") - F.col("at")).alias("before"), *_marks(F.substring("seg", F.col("at") + 1, F.lit(length))),
+            "n", "key", (start + F.col("at")).alias("start"))
+        place = ["a", "before", "x", "y"]
+        equal = space.keep(strings.groupBy(*place).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(*place), "strings")
+        found = strings.where("n = 1").join(equal, place)
+        spans = spans.union(found.select("key", "start", (F.col("start") + length).alias("end")))
+    return sized.where(F.col("members") <= hot).select(*COLUMNS), spans
+
+
+def _marks(c: Column) -> list[Column]:
+    """128 bits of two independent hashes stand for the bytes."""
+    return [F.xxhash64(c).alias("x"), F.xxhash64(F.lit(1), c).alias("y")]

@@ -77,6 +77,22 @@ def test_repeated_rows_nulls_and_clashing_columns(documents):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in out.collect()) == [(0, 0), (1, len(text)), (1, len(text)), (2, 0)]
 
 
+def test_no_group_grows_with_the_holders_of_one_passage(documents, monkeypatch):
+    """One passage in different surroundings, all different, and with edges that a few holders share."""
+    rng = random.Random(10)
+    say = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, edges, longest = say(30), [say(3) for _ in range(4)], rp.longest_repeats
+
+    def bounded(lefts, rights, length):
+        assert len(rights) <= 10
+        return longest(lefts, rights, length)
+
+    monkeypatch.setattr(rp, "longest_repeats", bounded)
+    texts = [say(25) + passage + say(25) for _ in range(80)] + [say(20) + rng.choice(edges) + passage + rng.choice(edges) + say(20) for _ in range(40)]
+    texts += [passage + say(15), say(15) + passage, passage, texts[0], texts[90]]
+    assert got(documents(enumerate(texts)), length=20, gram=8, hot=10) == dict(enumerate(brute(texts, 20)))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.binary(max_size=6).map(lambda b: bytes(x % 2 for x in b)), st.binary(max_size=8).map(lambda b: bytes(x % 2 for x in b))), min_size=2, max_size=9))
 def test_longest_repeats_cover_what_pairs_share(rows):
