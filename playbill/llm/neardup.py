@@ -96,7 +96,7 @@ def bucket_edges(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
     node taken in if their distances to the pivot differ by at most 1 - threshold, so only those
     pairs are compared. Then the next pivot takes its turn among the nodes left. The pivot of a
     split bucket stands in all parts and takes in every node that could be similar to one within 0.5 of
-    it; the few others (v null) meet afterwards.
+    it; the few others (v null) meet each other afterwards, and in ``left_out_edges`` the nodes taken in.
     """
     most = 1 - threshold + SLACK
     u, v, key, sig = [], [], [], []
@@ -134,6 +134,32 @@ def bucket_edges(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
     yield _edge_batch(u, v, key, sig)
 
 
+def left_out_edges(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) from the nodes that a split bucket left out (``out``, in all its parts) to a similar node that a part took in.
+
+    Only nodes taken in beyond 0.5 can be similar to one left out.
+    """
+    most = 1 - threshold + SLACK
+    u, v = [], []
+    for t in _runs(batches, ["key", "part"]):
+        ids, out = t.column("id").to_numpy(), t.column("out").to_numpy()
+        packed = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        rows = np.concatenate([packed & 15, packed >> 4], axis=1)
+        pivot = np.flatnonzero(out == 0)[ids[out == 0].argmin()]
+        far = 1 - estimate(rows, rows[pivot])
+        taken = np.flatnonzero((out == 0) & (far > 0.5) & (far <= 0.5 + most))
+        for y in np.flatnonzero(out == 1):
+            close = taken[far[taken] >= far[y] - most]
+            fits = close[1 - estimate(rows[close], rows[y]) <= most] if len(close) else close
+            if len(fits):
+                u.append(int(ids[y]))
+                v.append(int(ids[fits[0]]))
+        if len(u) > 100_000:
+            yield _edge_batch(u, v, [], [])
+            u, v = [], []
+    yield _edge_batch(u, v, [], [])
+
+
 def _edge_batch(u: list, v: list, key: list, sig: list) -> pa.RecordBatch:
     keys, sigs = [None] * len(u), [None] * len(u)
     for k, (i, s) in zip(key, sig, strict=True):
@@ -206,17 +232,24 @@ def _grouped(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _bucket_members(nodes: DataFrame, space: Workspace) -> DataFrame:
-    """(key, part, split, id, sig) of buckets with two nodes or more; large ones in parts that share the pivot."""
+    """(key, id, pivot, n) of buckets with two nodes or more."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("minima", b * 2 * ROWS + 1, F.lit(2 * ROWS))))
     rows = nodes.select("id", F.explode(bands).alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = space.keep(rows.join(shared, "key"), "members")
-    many = F.ceil(F.col("n") / (4 * BLOCK)).cast("int")
-    whole = members.withColumn("split", many > 1)
-    own = whole.where("id != pivot").select("key", F.pmod(F.xxhash64("id"), many).cast("int").alias("part"), "split", "id")
-    pivots = whole.where("id = pivot").select("key", F.explode(F.sequence(F.lit(0), many - 1)).alias("part"), "split", "id")
+    return space.keep(rows.join(shared, "key"), "members")
+
+
+def _many() -> Column:
+    return F.ceil(F.col("n") / (4 * BLOCK)).cast("int")
+
+
+def _bucket_parts(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, part, split, id, sig); large buckets in parts that share the pivot."""
+    whole = members.withColumn("split", _many() > 1)
+    own = whole.where("id != pivot").select("key", F.pmod(F.xxhash64("id"), _many()).cast("int").alias("part"), "split", "id")
+    pivots = whole.where("id = pivot").select("key", F.explode(F.sequence(F.lit(0), _many() - 1)).alias("part"), "split", "id")
     packed = nodes.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(_pack, "id bigint, sig binary")
-    return own.union(pivots).join(packed, "id")
+    return own.union(pivots).join(packed, "id").select("key", "part", "split", "id", "sig")
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,14 +265,21 @@ def _families(nodes: DataFrame, threshold: float, space: Workspace) -> DataFrame
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return bucket_edges(batches, threshold)
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return left_out_edges(batches, threshold)
+
     schema = "u bigint, v bigint, key bigint, sig binary"
-    columns = ["key", "part", "split", "id", "sig"]
-    found = space.keep(_grouped(_bucket_members(nodes, space).select(*columns), ["key", "part"]).mapInArrow(edges, schema), "bucket-edges")
+    members = _bucket_members(nodes, space)
+    found = space.keep(_grouped(_bucket_parts(members, nodes), ["key", "part"]).mapInArrow(edges, schema), "bucket-edges")
     links = found.where("v IS NOT NULL").select("u", "v")
     later = found.where("v IS NULL")
     if later.limit(1).count():
         whole = later.select("key", F.lit(0).alias("part"), F.lit(False).alias("split"), F.col("u").alias("id"), "sig")
         links = links.union(_grouped(whole, ["key", "part"]).mapInArrow(edges, schema).select("u", "v"))
+        parts = members.where("id = pivot").select("key", F.explode(F.sequence(F.lit(0), _many() - 1)).alias("part"))
+        outside = later.select("key", F.col("u").alias("id"), "sig").join(parts, "key").select("key", "part", F.lit(1).alias("out"), "id", "sig")
+        inside = _bucket_parts(members.join(later.select("key").distinct(), "key", "left_semi"), nodes).select("key", "part", F.lit(0).alias("out"), "id", "sig")
+        links = links.union(_grouped(inside.union(outside), ["key", "part"]).mapInArrow(meet, schema).select("u", "v"))
     return components(links.distinct(), space)
 
 

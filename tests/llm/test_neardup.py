@@ -90,3 +90,18 @@ def test_exact_links_of_many_equal_a_direct_count():
                 seen[i] = seen[j] = min(seen[i], seen[j])
         label_of = seen if pairs is want else label_of
         assert seen == label_of
+
+
+def test_a_split_bucket_compares_nodes_taken_in_with_nodes_left_out(spark, monkeypatch):
+    """Signatures that share one band only. The pivot takes in 1 and not 2, which are similar to each other."""
+    monkeypatch.setattr(nd, "BLOCK", 1)
+    low = np.random.default_rng(3).integers(0, 16, nd.HASHES)
+    apart = (low + 1 + np.arange(nd.HASHES) % 7) % 16
+    rows = np.stack([low, np.where(np.arange(nd.HASHES) < 46, low, apart), np.where(np.arange(nd.HASHES) < 36, low, apart), *[low] * 20])
+    far = 1 - nd.estimate(rows, rows[0])
+    assert 0.85 < far[1] <= 0.9 < far[2] and nd.estimate(rows[1], rows[2]) > 0.9
+    # The high bits tell all bands but the first apart.
+    rows = (rows + 16 * np.arange(len(rows))[:, None] * (np.arange(nd.HASHES) >= nd.ROWS)).astype(np.uint16)
+    nodes = spark.createDataFrame([(i, 100, bytearray(r.tobytes())) for i, r in enumerate(rows)], "id bigint, n_shingles bigint, minima binary")
+    found = {r["id"]: r["component"] for r in nd._families(nodes, 0.75, nd.Workspace(spark)).collect()}
+    assert {found.get(i, i) for i in range(len(rows))} == {0}
