@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from playbill.llm.components import components
 from playbill.llm.storage import Workspace, among
-from playbill.llm.words import LOWER, U64, Words, chunks, constants, shingle_sets
+from playbill.llm.words import LOWER, U64, Words, chunks, constants, mix, shingle_sets
 
 SHINGLE, ROWS, BANDS = 5, 5, 52
 HASHES = ROWS * BANDS
@@ -48,7 +48,8 @@ def sign(batches: Iterator[pa.RecordBatch], k: int = SHINGLE) -> Iterator[pa.Rec
                 for i in range(HASHES):
                     np.multiply(hashes, MULTIPLIERS[i], out=scratch)
                     np.add(scratch, ADDENDS[i], out=scratch)
-                    out[full, i] = np.minimum.reduceat(scratch, at[full]) >> U64(48)
+                    # The least of many hashes has few top bits left, so 16 bits of its own hash tell long texts apart.
+                    out[full, i] = mix(np.minimum.reduceat(scratch, at[full])) >> U64(48)
             for i in range(len(at) - 1):
                 own = np.unique(hashes[at[i] : at[i + 1]])
                 counts.append(len(own))

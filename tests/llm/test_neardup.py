@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,10 @@ def test_a_split_bucket_compares_nodes_taken_in_with_nodes_left_out(spark, monke
     nodes = spark.createDataFrame([(i, 100, bytearray(r.tobytes())) for i, r in enumerate(rows)], "id bigint, n_shingles bigint, minima binary")
     found = {r["id"]: r["component"] for r in nd._families(nodes, 0.75, nd.Workspace(spark)).collect()}
     assert {found.get(i, i) for i in range(len(rows))} == {0}
+
+
+def test_minima_tell_unrelated_long_texts_apart():
+    texts = [" ".join(f"{name}{i}" for i in range(80_000)) for name in "vw"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts)], names=["doc_id", "text"])
+    minima = [np.frombuffer(m.as_py(), np.uint16) for b in nd.sign(iter([batch])) for m in b.column("minima")]
+    assert (minima[0] == minima[1]).mean() < 0.02 and nd.estimate(*[nd._nibbles(m) for m in minima]) < nd.SLACK
