@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.llm import chat, decontam, lines, mixing, neardup, quality, repeats, toxicity, urls, warc
+from playbill.llm import chat, decontam, lines, lm, mixing, neardup, quality, repeats, toxicity, urls, warc
 from playbill.llm.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -278,3 +278,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.when(response, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("bigint").alias("payload_bytes"),
         F.when(response, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+@query("op11_lm_scoring")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probabilities of all texts under the model of the documents whose crc32 does not leave 2 modulo 7."""
+    docs = read(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return lm.score_corpus(docs, ~held_out).select(
+        "doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
