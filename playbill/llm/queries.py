@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.llm import chat, decontam, lines, lm, mixing, neardup, quality, repeats, toxicity, urls, warc
+from playbill.llm import chat, decontam, lines, lm, mixing, neardup, quality, repeats, toxicity, trie, urls, warc
 from playbill.llm.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,3 +287,51 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     return lm.score_corpus(docs, ~held_out).select(
         "doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (
+  SELECT conv_id, list({'id': md5(length(role)::VARCHAR || ':' || role || text), 'b': octet_length(encode(text))}
+                       ORDER BY turn NULLS FIRST, md5(length(role)::VARCHAR || ':' || role || text)) AS own FROM t GROUP BY conv_id),
+h AS (
+  SELECT conv_id, own, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+    lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 9 AS h FROM s),
+r AS (
+  SELECT a.conv_id, list_concat(coalesce(b.own[1:a.h], []), a.own[a.h + 1:]) AS p FROM h a LEFT JOIN s b ON b.conv_id = a.conv_id - a.conv_id % 5),
+m AS (
+  SELECT conv_id, d, len(p) AS n, coalesce(p[d].b, 0) AS b, array_to_string(list_transform(p[1:d], lambda x: x.id), '') AS key
+  FROM (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS d FROM r)),
+g AS (
+  SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(b) AS b,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256 FROM m GROUP BY key, d),
+kids AS (SELECT substr(key, 1, 32 * (d - 1)) AS key, count(*) AS n FROM g WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT g.*, coalesce(kids.n, 0) AS n_children FROM g LEFT JOIN kids USING (key)),
+under AS (
+  SELECT substr(key, 1, 32 * a) AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * b) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_nodes) GROUP BY 1)
+SELECT x.conv_id, x.d::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n_convs::BIGINT AS n_convs, x.n_children::BIGINT AS n_children,
+       u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, x.ends_sha256
+FROM full_nodes x JOIN under u USING (key) LEFT JOIN full_nodes p ON x.d > 0 AND p.key = substr(x.key, 1, 32 * (x.d - 1)) AND p.d = x.d - 1"""
+
+
+def rebuilt(paths: DataFrame) -> DataFrame:
+    """Every conversation c with the first h turns of c - c % 5 in place of its own first h; h is crc32 of c in decimal, modulo 9."""
+    own = paths.withColumn("h", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int"))
+    lent = paths.where("conv_id % 5 = 0").select(F.col("conv_id").alias("base"), F.slice("path", 1, 8).alias("lent"))
+    joined = own.join(lent, F.col("conv_id") - F.col("conv_id") % 5 == F.col("base"), "left")
+    head = F.coalesce(F.slice("lent", F.lit(1), F.col("h")), F.slice("path", 1, 0))
+    tail = F.slice("path", F.col("h") + 1, F.greatest(F.size("path") - F.col("h"), F.lit(0)))
+    return joined.select("conv_id", F.concat(head, tail).alias("path"))
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the trie over all rebuilt conversations."""
+    paths = Workspace(spark).keep(rebuilt(trie.sequences(read(spark, folder, "conversations"))), "paths")
+    nodes, ends = trie.prefix_trie(paths), trie.endings(paths)
+    return nodes.join(ends, "node", "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved_bytes").alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
