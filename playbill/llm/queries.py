@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.llm import chat, decontam, lines, lm, mixing, neardup, quality, repeats, toxicity, trie, urls, warc
+from playbill.llm import align, chat, decontam, lines, lm, mixing, neardup, quality, repeats, toxicity, trie, urls, warc
 from playbill.llm.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -335,3 +335,10 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.join(ends, "node", "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved_bytes").alias("saved_tokens"),
         F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte alignment of two public tokenizers on every document, with corpus-wide counts of linked id pairs."""
+    return align.align_corpus(read(spark, folder, "documents")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
