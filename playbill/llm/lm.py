@@ -6,7 +6,7 @@ longest known part of the context was seen; its weights are learned by expectati
 held-out counts: the tuning documents' own counts are deleted from the tables their tokens
 are looked up in. Scores then use the counts of all training documents.
 
-How it runs. Texts become *chunks* of some two million tokens: a vocabulary of hashes and a list of places in
+How it runs. Texts become *chunks* of some million tokens: a vocabulary of hashes and a list of places in
 it. A chunk asks for the counts of its distinct n-grams, once each however many documents hold them; the
 questions go to shards, ranges of the hash space whose number follows the corpus. A shard adds up what all chunks
 know about its n-grams and answers every question in the order it was put. So an n-gram that a third of all
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from playbill.llm.storage import Workspace
 from playbill.llm.words import LOWER, STEPS, U64, Words, chunks, constants, mix
 
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 SHARD_KEYS = 4_000_000
 #: Hashes of the token that ends every text and of what stands before its first.
 END, START = (constants(2, 11) & ~U64(1)).tolist()
@@ -64,30 +64,37 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=U64)
 
 
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, place of every value among them)."""
+    order = np.argsort(values)
+    first = np.concatenate([[True], np.diff(values[order]) != 0])
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return values[order[first]], place
+
+
 class Grams:
-    """The n-grams of a chunk's documents; ``keys[k - 1][i]`` names the k tokens that end at token i."""
+    """The n-grams of a chunk's documents: ``keys``, distinct and in order, and ``places[k - 1][i]``, that of the k tokens which end at token i."""
 
     def __init__(self, vocab: np.ndarray, ids: np.ndarray, lengths: np.ndarray, order: int) -> None:
-        self.order, self.lengths = order, lengths
-        self.first = np.cumsum(lengths) - lengths
+        self.lengths, self.first = lengths, np.cumsum(lengths) - lengths
         tokens, pad = vocab[ids], order - 1
         padded = np.full(len(ids) + pad * len(lengths), U64(START))
         at = np.arange(len(ids)) + pad * (np.repeat(np.arange(len(lengths)), lengths) + 1)
         padded[at] = tokens
-        self.keys = [tokens]
+        found = [(vocab, ids)]
         for k in range(2, order + 1):
             key = padded[at - k + 1] * STEPS[1]
             for j in range(1, k):
                 key += padded[at - k + 1 + j] * STEPS[j + 1]
-            self.keys.append(mix(key) | U64(1))
-
-    def distinct(self) -> np.ndarray:
-        return np.unique(np.concatenate([np.unique(k) for k in self.keys]))
+            found.append(ranked(mix(key) | U64(1)))
+        self.keys = np.sort(np.concatenate([keys for keys, _ in found]))
+        self.places = [np.searchsorted(self.keys, keys)[place] for keys, place in found]
 
-    def counts(self, keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """How often the documents of ``wanted`` (a mask) hold each of the sorted ``keys``."""
+    def counts(self, wanted: np.ndarray) -> np.ndarray:
+        """How often the documents of ``wanted`` (a mask) hold each key."""
         own = np.repeat(wanted, self.lengths)
-        return sum(np.bincount(np.searchsorted(keys, k[own]), minlength=len(keys)) for k in self.keys)
+        return sum(np.bincount(place[own], minlength=len(self.keys)) for place in self.places)
 
 
 class Buffer:
@@ -107,12 +114,12 @@ class Buffer:
 
     def row(self, chunk: int, tuning: bool, order: int) -> pa.RecordBatch:
         lengths = np.fromiter(map(len, self.tokens), np.int64)
-        words, inverse, times = np.unique(np.concatenate(self.tokens), return_inverse=True, return_counts=True)
-        ranked = np.argsort(-times, kind="stable")  # frequent words get small numbers, which pack well
-        place = np.empty(len(words), np.int64)
-        place[ranked] = np.arange(len(words))
-        vocab, ids = words[ranked], place[inverse]
-        n_keys = len(Grams(vocab, ids, lengths, order).distinct())
+        words, place = ranked(np.concatenate(self.tokens))
+        frequent = np.argsort(-np.bincount(place), kind="stable")  # frequent words get small numbers, which pack well
+        number = np.empty(len(words), np.int64)
+        number[frequent] = np.arange(len(words))
+        vocab, ids = words[frequent], number[place]
+        n_keys = len(vocab) + (order - 1) * len(ids)  # at most
         return pa.RecordBatch.from_arrays([
             pa.array([chunk], pa.int64()), pa.array([tuning]), pa.array([self.ids], pa.list_(pa.int64())),
             pa.array([self.trains], pa.list_(pa.bool_())), pa.array([pack(lengths)], pa.binary()),
@@ -161,8 +168,7 @@ def ask(order: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 grams = opened(row, order)
-                keys = grams.distinct()
-                counts = grams.counts(keys, np.array(row["trains"], bool))
+                keys, counts = grams.keys, grams.counts(np.array(row["trains"], bool))
                 shard = ((keys >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(keys)]])
                 parts = list(zip(cuts[:-1], cuts[1:], strict=True))
@@ -184,7 +190,7 @@ def answer(questions: pa.Table) -> pa.Table:
     asked = [unpack_keys(k) for k in questions.column("keys").to_pylist()]
     known = [unpack(c) for c in questions.column("counts").to_pylist()]
     ends = np.cumsum([len(k) for k in asked])
-    keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+    keys, inverse = ranked(np.concatenate(asked))
     tuned = np.repeat(np.array(tuning, bool), [len(k) for k in asked])
     held = np.concatenate(known).astype(np.float64)
     fit = np.bincount(inverse, np.where(tuned, 0, held), len(keys)).astype(np.int64)
@@ -205,12 +211,11 @@ class Lookup:
         self.row = state.to_pylist()[0]
         made = opened(self.row, order)
         self.lengths, self.first = made.lengths, made.first
-        keys = made.distinct()
         parts = sorted(zip(*(answers.column(c).to_pylist() for c in ("shard", "fit", "tune")), strict=True))
         counts = np.concatenate([unpack(f) + (unpack(t) if with_tuning else U64(0)) for _, f, t in parts]).astype(np.int64)
         # Shards are ranges of the hash space, so their answers follow each other as the keys do.
-        self.grams = [counts[np.searchsorted(keys, k)] for k in made.keys]
-        texts = counts[np.searchsorted(keys, U64(END))]
+        self.grams = [counts[place] for place in made.places]
+        texts = self.grams[0][made.first[0] + made.lengths[0] - 1]  # how often the end was seen, which closes the chunk's first text too
         self.contexts = [np.full(len(self.grams[0]), n_tokens)]
         for g in self.grams[:-1]:
             before = np.concatenate([[0], g[:-1]])
