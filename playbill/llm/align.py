@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -27,7 +28,7 @@ from playbill.llm.words import STEPS, U64, chunks, mix, prefix_sums
 
 TOKENIZERS = "/opt/tokenizers"
 #: A task takes texts of so many bytes together, or one longer text.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Rows of a product are expanded so many entries at a time.
 EXPAND = 1 << 22
 #: At most so many pairs are broadcast; pairs that fewer documents hold meet their links by a shuffle.
@@ -114,6 +115,7 @@ class ByteLevel:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.tokens[i] = token
+        self.lengths = np.fromiter(map(len, self.tokens), np.int64)
         self.divides = True  # by PATTERN
         self._encoding = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -130,6 +132,7 @@ class Pieces:
         self._model = sentencepiece.SentencePieceProcessor(model_proto=data)
         names = [self._model.id_to_piece(i) for i in range(self._model.vocab_size())]
         self.tokens = [bytes([int(n[3:5], 16)]) if self._model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+        self.lengths = np.fromiter(map(len, self.tokens), np.int64)
         self.divides = not any("▁" in n.lstrip("▁") for n in names)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -155,16 +158,17 @@ class Segments:
 
     def __init__(self, texts: list[bytes], a: ByteLevel, b: Pieces) -> None:
         codes = [x.encode([t[1:].decode() for t in texts]) for x in (a, b)]
-        alive = np.array([b"".join(map(a.tokens.__getitem__, p)) == t == b"".join(map(b.tokens.__getitem__, q)) for t, p, q in zip(texts, *codes, strict=True)], bool)
+        n, sizes = len(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+        alive = np.ones(n, bool)
+        if not all(same(x, c, texts, sizes) for x, c in zip((a, b), codes, strict=True)):
+            alive[:] = [all(b"".join(map(x.tokens.__getitem__, c)) == t for x, c in zip((a, b), pair, strict=True)) for t, *pair in zip(texts, *codes, strict=True)]
         ids, owners, lengths = [], [], []
         for x, lists in zip((a, b), codes, strict=True):
-            kept = [c if ok else () for c, ok in zip(lists, alive, strict=True)]
-            sizes = np.fromiter(map(len, kept), np.int64, len(kept))
-            flat = np.fromiter((i for c in kept for i in c), np.int64, sizes.sum())
+            flat, owner = flatten([c if ok else () for c, ok in zip(lists, alive, strict=True)])
             ids.append(flat)
-            owners.append(np.repeat(np.arange(len(kept)), sizes))
-            lengths.append(np.fromiter(map(len, x.tokens), np.int64, len(x.tokens))[flat])
-        self.alive, n = alive, len(texts)
+            owners.append(owner)
+            lengths.append(x.lengths[flat])
+        self.alive = alive
         group_a, group_b, self.n_overlaps = groups(*lengths, owners[0], n)
         self.n_a, self.n_b = (np.bincount(o, minlength=n) for o in owners)
         n_groups = int(group_a[-1]) + 1 if len(group_a) else 0
@@ -176,6 +180,18 @@ class Segments:
         self.strings = strings(ids, (group_a, group_b), owner_of_group, n_groups, n)
 
 
+def flatten(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, the list of each)."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, sizes.sum()), np.repeat(np.arange(len(lists)), sizes)
+
+
+def same(x: ByteLevel | Pieces, codes: list[list[int]], texts: list[bytes], sizes: np.ndarray) -> bool:
+    """Whether the codes give all texts back: together, and each as long as it was."""
+    flat, owner = flatten(codes)
+    return bool((np.bincount(owner, x.lengths[flat], len(texts)) == sizes).all()) and b"".join(map(x.tokens.__getitem__, flat.tolist())) == b"".join(texts)
+
+
 def groups(a_lengths: np.ndarray, b_lengths: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group of each A token, of each B token, overlap links of each segment) from the overlap product."""
     group_a, group_b = np.zeros(len(a_lengths), np.int64), np.zeros(len(b_lengths), np.int64)
