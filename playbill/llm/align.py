@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from pathlib import Path
 
@@ -28,9 +28,11 @@ from playbill.llm.words import STEPS, U64, chunks, mix, prefix_sums
 
 TOKENIZERS = "/opt/tokenizers"
 #: A task takes texts of so many bytes together, or one longer text.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
+#: So many distinct segments, the first a task meets, are kept for its later blocks.
+STORE = 1 << 17
 #: Rows of a product are expanded so many entries at a time.
-EXPAND = 1 << 22
+EXPAND = 1 << 20
 #: At most so many pairs are broadcast; pairs that fewer documents hold meet their links by a shuffle.
 HEAVY = 1 << 18
 
@@ -175,10 +177,42 @@ class Segments:
         owner_of_group = np.zeros(n_groups, np.int64)
         owner_of_group[group_a] = owners[0]
         self.n_groups = np.bincount(owner_of_group, minlength=n)
-        self.pairs, self.pair_of, self.times, self.starts = links(ids, owners, (group_a, group_b), n_groups, n)
+        self.pairs, self.times, self.starts = links(ids, owners, (group_a, group_b), n_groups, n)
         self.n_links = np.add.reduceat(np.append(self.times, 0), self.starts[:-1]) * (np.diff(self.starts) > 0) if n else np.zeros(0, np.int64)
         self.strings = strings(ids, (group_a, group_b), owner_of_group, n_groups, n)
 
+    def joined(self, other: Segments) -> Segments:
+        """These segments, then the others."""
+        out = Segments.__new__(Segments)
+        for name in ("alive", "n_a", "n_b", "n_groups", "n_overlaps", "n_links", "pairs", "times"):
+            setattr(out, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        out.starts = np.concatenate([self.starts, self.starts[-1] + other.starts[1:]])
+        out.strings = self.strings + other.strings
+        return out
+
+
+class Store:
+    """Segments a task has aligned already, by hash. Once it is full, new ones serve their own block only."""
+
+    def __init__(self, a: ByteLevel, b: Pieces) -> None:
+        self.a, self.b = a, b
+        self.segments = Segments([], a, b)
+        self.hashes, self.places = np.zeros(0, U64), np.zeros(0, np.int64)
+
+    def find(self, hashes: np.ndarray, text: Callable[[int], bytes]) -> tuple[Segments, np.ndarray]:
+        """(segments, place of each of the distinct ``hashes`` among them); ``text`` gives the bytes of one of them."""
+        near = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        hit = self.hashes[near] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        new, n = np.flatnonzero(~hit), len(self.segments.strings)
+        places = np.empty(len(hashes), np.int64)
+        places[hit] = self.places[near[hit]]
+        places[new] = n + np.arange(len(new))
+        both = self.segments.joined(Segments([text(i) for i in new.tolist()], self.a, self.b)) if len(new) else self.segments
+        if n + len(new) <= STORE:
+            at = np.searchsorted(self.hashes, hashes[new])
+            self.segments, self.hashes, self.places = both, np.insert(self.hashes, at, hashes[new]), np.insert(self.places, at, places[new])
+        return both, places
+
 
 def flatten(lists: list) -> tuple[np.ndarray, np.ndarray]:
     """(all ids, the list of each)."""
@@ -210,7 +244,7 @@ def groups(a_lengths: np.ndarray, b_lengths: np.ndarray, owner: np.ndarray, n: i
 
 
 def links(ids: list[np.ndarray], owners: list[np.ndarray], group: tuple[np.ndarray, np.ndarray], n_groups: int, n: int) -> tuple[np.ndarray, ...]:
-    """(distinct pairs as a << 32 | b, place of each link among them, how often it occurs, first link of each segment).
+    """(links as a << 32 | b, how often each occurs, first link of each segment).
 
     Rows of a group incidence are the ids of a segment; a value tells how often the id stands in the group. So
     the product counts occurrences of pairs, and an id that fills a long group is one entry.
@@ -223,10 +257,9 @@ def links(ids: list[np.ndarray], owners: list[np.ndarray], group: tuple[np.ndarr
         names.append(rows)
     found = [(names[0][r], names[1][c] & (1 << 20) - 1, v) for r, c, v in matrices[0].product(matrices[1].transpose())]
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
     left, right, times = (np.concatenate(x) for x in zip(*found, strict=True))
-    pairs, pair_of = np.unique((left & (1 << 20) - 1) << 32 | right, return_inverse=True)
-    return pairs, pair_of, times, np.searchsorted(left >> 20, np.arange(n + 1))
+    return (left & (1 << 20) - 1) << 32 | right, times, np.searchsorted(left >> 20, np.arange(n + 1))
 
 
 def strings(ids: list[np.ndarray], group: tuple[np.ndarray, np.ndarray], owner: np.ndarray, n_groups: int, n: int) -> list[str]:
@@ -255,7 +288,7 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def align_block(ids: list, column: pa.Array, a: ByteLevel, b: Pieces, row: int, with_groups: bool) -> pa.RecordBatch:
+def align_block(ids: list, column: pa.Array, store: Store, row: int, with_groups: bool) -> pa.RecordBatch:
     """One row of ALIGNED for each text."""
     hashes, owner, texts = [], [], []
     for first, data, offsets in chunks(column):
@@ -266,8 +299,11 @@ def align_block(ids: list, column: pa.Array, a: ByteLevel, b: Pieces, row: int,
         spaced = np.full(len(data) + n_docs, 32, np.uint8)
         spaced[np.arange(len(data)) + own + 1] = data
         begin = offsets[:-1] + np.arange(n_docs)
-        inner = cuts(spaced) if a.divides and b.divides and len(spaced) > 2 else np.zeros(0, np.int64)
-        starts = np.union1d(np.setdiff1d(inner, begin, assume_unique=True), begin)
+        starts_here = np.zeros(len(spaced), bool)
+        starts_here[begin] = True
+        if store.a.divides and store.b.divides and len(spaced) > 2:
+            starts_here[cuts(spaced)] = True
+        starts = np.flatnonzero(starts_here)
         ends = np.append(starts[1:], len(spaced))
         which = np.searchsorted(begin, starts, "right") - 1
         full = sizes[which] > 0
@@ -285,11 +321,14 @@ def align_block(ids: list, column: pa.Array, a: ByteLevel, b: Pieces, row: int,
     segment[order] = np.cumsum(new) - 1
     samples = order[new]
     part = np.searchsorted(base, samples, "right") - 1
-    cut = []
-    for p, i in zip(part.tolist(), samples.tolist(), strict=True):
-        data, s, e = texts[p]
-        cut.append(data[s[i - base[p]] : e[i - base[p]]])
-    known = Segments(cut, a, b)
+
+    def text(k: int) -> bytes:
+        i = int(samples[k])
+        data, s, e = texts[part[k]]
+        return data[s[i - base[part[k]]] : e[i - base[part[k]]]]
+
+    known, places = store.find(hashed[samples], text)
+    segment = places[segment]
     # A document with a segment that either tokenizer does not give back has no tokens.
     alive = np.bincount(doc, ~known.alive[segment], n) == 0
     own = alive[doc]
@@ -297,15 +336,16 @@ def align_block(ids: list, column: pa.Array, a: ByteLevel, b: Pieces, row: int,
     total = lambda x: np.bincount(doc, x[segment], n).astype(np.int64)
     at = np.searchsorted(doc, np.arange(n + 1))
     # Links: distinct segments of each document first, then the distinct pairs of those.
-    m = max(len(cut), 1)
+    m = max(len(known.strings), 1)
     place, times = add_up(np.sort(doc * m + segment), np.ones(len(doc), np.int64))
     seg = place % m
     sizes = np.diff(known.starts)[seg]
     entry = np.repeat(np.arange(len(seg)), sizes)
     link = known.starts[seg][entry] + np.arange(len(entry)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    p = max(len(known.pairs), 1)
-    place, times = add_up((place // m)[entry] * p + known.pair_of[link], times[entry] * known.times[link])
-    pair = known.pairs[place % p] if len(place) else np.zeros(0, np.int64)
+    pairs, pair_of = np.unique(known.pairs, return_inverse=True)
+    p = max(len(pairs), 1)
+    place, times = add_up((place // m)[entry] * p + pair_of[link], times[entry] * known.times[link])
+    pair = pairs[place % p] if len(place) else np.zeros(0, np.int64)
     struct = pa.StructArray.from_arrays([pa.array(pair >> 32, pa.int32()), pa.array(pair & 0xFFFFFFFF, pa.int32()), pa.array(times, pa.int32())], fields=list(_LINK))
     list_at = np.searchsorted(place // p, np.arange(n + 1))
     told = segment.tolist()
@@ -326,19 +366,19 @@ def align_texts(docs: DataFrame, folder: str = TOKENIZERS, with_groups: bool = F
 
     Tokenizer A encodes a space and the text, B puts the space there itself. A text that is null, empty, or not given back byte by byte
     by both has no tokens: zeros and ''. ``row`` tells rows apart once the result is written; doc_id may be null or repeated.
-    ``groups`` (``a1,a2|b1;a3|b2,b3``) is null unless asked for. Other columns are ignored. Equal segments of a block are told by 64 bits of a hash.
+    ``groups`` (``a1,a2|b1;a3|b2,b3``) is null unless asked for. Other columns are ignored. Equal segments of a task are told by 64 bits of a hash.
     """
     files = docs.sparkSession.sparkContext.broadcast(load(folder))  # 2 MB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        a, b = ByteLevel(files.value[0]), Pieces(files.value[1])
+        store = Store(ByteLevel(files.value[0]), Pieces(files.value[1]))
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts, ids = batch.column("text"), batch.column("doc_id").to_pylist()
             for first, last in blocks(texts):
-                yield align_block(ids[first:last], texts.slice(first, last - first), a, b, row, with_groups)
+                yield align_block(ids[first:last], texts.slice(first, last - first), store, row, with_groups)
                 row += last - first
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ALIGNED)

@@ -105,7 +105,8 @@ def test_odd_texts(spark, plain):
     check(align.align_corpus(docs, heavy=50).select(COLUMNS).collect(), plain.corpus(rows))
 
 
-def test_small_blocks_and_long_texts(spark, plain, monkeypatch):
+@pytest.mark.parametrize("store", [0, 40, 1000])
+def test_small_blocks_and_long_texts(plain, monkeypatch, store):
     monkeypatch.setattr(align, "BLOCK", 300)
     monkeypatch.setattr(align, "EXPAND", 64)
     rows = [(i, t) for i, t in enumerate(ODD)]
@@ -113,7 +114,10 @@ def test_small_blocks_and_long_texts(spark, plain, monkeypatch):
     import pyarrow as pa
 
     column = pa.array(ODD, pa.string())
-    got = [align.align_block([i for i, _ in rows[x:y]], column.slice(x, y - x), a, b, x, True) for x, y in align.blocks(column)]
+    monkeypatch.setattr(align, "STORE", store)
+    known = align.Store(a, b)
+    got = [align.align_block([i for i, _ in rows[x:y]], column.slice(x, y - x), known, x, True) for x, y in align.blocks(column)]
+    assert len(known.segments.strings) <= store
     assert len(got) > 5
     done = [r for batch in got for r in batch.to_pylist()]
     for r, e in zip(done, plain.corpus(rows), strict=True):
