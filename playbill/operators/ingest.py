@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from playbill.functions.text import category_clamp, dedupe_key, strip, truthy
 from playbill.functions.urls import url_guard
@@ -51,10 +52,22 @@ def rejects(raw: DataFrame) -> DataFrame:
     return raw.where(~is_valid())
 
 
+def record_id(batch: DataFrame) -> Column:
+    kind = batch.schema["seq"].dataType
+    if not isinstance(kind, T.StructType):
+        return F.col("seq")
+    told = F.concat_ws("|", *[F.coalesce(F.col("seq")[f].cast("string"), F.lit("")) for f in kind.names])
+    return F.conv(F.substring(F.md5(told), 1, 15), 16, 10).cast("long")
+
+
 def as_table(batch: DataFrame, batch_time: Column) -> DataFrame:
-    """A normalised batch with the columns of the stored table."""
+    """A normalised batch with the columns of the stored table.
+
+    ``seq`` orders the records of an adapter; it may be a number, which is the id too, or a struct such as
+    (document, block, place), whose id is 60 bits of a hash of its fields.
+    """
     return batch.select(
-        "*", F.col("seq").alias("id"), batch_time.alias("created_at"), batch_time.alias("updated_at"),
+        "*", record_id(batch).alias("id"), batch_time.alias("created_at"), batch_time.alias("updated_at"),
         F.lit(False).alias("interested"), F.lit(False).alias("hidden"))
 
 
@@ -71,7 +84,7 @@ def upsert(target: DataFrame | None, batch: DataFrame, batch_time: Column) -> Da
         "written", F.struct(F.lit(1).alias("run"), F.col("precedence"), F.col("seq")))
     if target is not None:
         stored = target.withColumn("written", F.struct(
-            F.lit(0).alias("run"), F.lit(0).alias("precedence"), F.lit(0).cast("long").alias("seq")))
+            F.lit(0).alias("run"), F.lit(0).alias("precedence"), F.lit(None).cast(batch.schema["seq"].dataType).alias("seq")))
         rows = stored.select("dedupe_key", *MUTABLE, *KEPT, "updated_at", "written").unionByName(
             rows.select("dedupe_key", *MUTABLE, *KEPT, "updated_at", "written"))
     merged = rows.groupBy("dedupe_key").agg(

@@ -11,9 +11,11 @@ from playbill.operators import ingest
 from playbill.operators import pages as pg
 from playbill.operators import refresh as rf
 from playbill.operators import runs as rn
+from playbill.operators.ingest import normalize, upsert
 from playbill.plans.parsing import HREFS, WEST, classify_sql
 from playbill.plans.registry import query
 from playbill.plans.tables import AS_OF, SHOWS, _pick, norm_sql, ntz, read, shows
+from playbill.session import stored
 from playbill.sources import feeds as fd
 from playbill.sources import html as ht
 from playbill.sources import jsonld as jl
@@ -157,15 +159,37 @@ def _(spark, d):
     return pg.best_method(rich_pages(spark, d), AS_OF)
 
 
-@query("jsonld_blocks", """SELECT page_id, unnest([0, 1]) AS block FROM pages WHERE page_id % 3 = 1""")
+@query("jsonld_blocks", """SELECT page_id, block, 6 AS depth, ['Hall', 'Deep'][block + 1] AS name
+  FROM (SELECT page_id, unnest([0, 1]) AS block FROM pages WHERE page_id % 3 = 1)""")
 def _(spark, d):
-    return jl.jsonld_blocks(rich_pages(spark, d)).select("page_id", "block")
+    """Blocks that can be read, with their depth and the name of a node inside."""
+    name = F.coalesce(*[F.try_variant_get("doc", p, "string") for p in ("$.name", "$['@graph'][0].x.y[0].name")])
+    return jl.jsonld_blocks(rich_pages(spark, d)).select("page_id", "block", "depth", name.alias("name"))
 
 
-@query("jsonld_event_nodes", """SELECT page_id, 0 AS block, CAST(unnest(generate_series(0, page_id % 4)) AS INTEGER) AS place
-  FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 1, 0 FROM pages WHERE page_id % 3 = 1""")
+def deep_pages(spark, d):
+    """A page for each given one, whose event stands inside ``page_id % 50`` objects and as many arrays."""
+    n = (F.col("page_id") % 50).cast("int")
+    doc = _text(F.repeat(F.lit('{"x":['), n), '{"@type":"Event","name":"Level ', n, '","note":"[[{{\\\\\\"["}', F.repeat(F.lit("]}"), n))
+    return read(spark, d, "pages").select("page_id", "url", _text('<script type="application/ld+json">', doc, "</script>").alias("html"))
+
+
+@query("jsonld_event_nodes", """SELECT page_id, 0 AS block, i AS place, CASE WHEN i = 3 THEN '' ELSE ' Show  ' || i || ' ' END AS name, '1,' || i AS path FROM (
+    SELECT page_id, CAST(unnest(generate_series(0, page_id % 4)) AS INTEGER) AS i FROM pages WHERE page_id % 3 = 1)
+  UNION ALL SELECT page_id, 1, 0, 'Deep', '0,0,0,0,0' FROM pages WHERE page_id % 3 = 1
+  UNION ALL SELECT page_id, 9, 0, 'Level ' || (page_id % 50), array_to_string(list_transform(range(2 * (page_id % 50)), lambda x: 0), ',') FROM pages""")
+def _(spark, d):
+    """Events by name and path, of listing pages and of pages that hide theirs up to 98 levels deep."""
+    told = ["page_id", "block", "place", F.try_variant_get("node", "$.name", "string").alias("name"), F.array_join(F.col("path").cast("array<string>"), ",").alias("path")]
+    deep = jl.jsonld_blocks(deep_pages(spark, d)).withColumn("block", F.lit(9))
+    return jl.jsonld_event_nodes(jl.jsonld_blocks(rich_pages(spark, d))).select(*told).unionByName(jl.jsonld_event_nodes(deep).select(*told))
+
+
+@query("jsonld_truncated", """SELECT page_id, 0 AS block, 'truncated: nested ' || (2 * (page_id % 50) + 1) || ' deep, searched to 12' AS reason
+  FROM pages WHERE 2 * (page_id % 50) > 12""")
 def _(spark, d):
-    return jl.jsonld_event_nodes(jl.jsonld_blocks(rich_pages(spark, d))).select("page_id", "block", "place")
+    """What a caller's limit of 12 levels leaves out."""
+    return jl.truncated_blocks(jl.jsonld_blocks(deep_pages(spark, d)), 12).select("page_id", "block", "reason")
 
 
 @query("jsonld_to_listing", f"""WITH {LD} SELECT page_id, CASE WHEN i < 0 THEN 'Deep' ELSE 'Show ' || i END AS title,
@@ -422,6 +446,28 @@ def _(spark, d):
 
 
 
+EASTERN = ("BEGIN:VTIMEZONE\r\nTZID:Eastern Standard Time\r\nBEGIN:STANDARD\r\nDTSTART:16011104T020000\r\nRRULE:FREQ=YEARLY;BYDAY=1SU;BYMONTH=11\r\n"
+           "TZOFFSETFROM:-0400\r\nTZOFFSETTO:-0500\r\nEND:STANDARD\r\nBEGIN:DAYLIGHT\r\nDTSTART:16010311T020000\r\nRRULE:FREQ=YEARLY;BYDAY=2SU;BYMONTH=3\r\n"
+           "TZOFFSETFROM:-0500\r\nTZOFFSETTO:-0400\r\nEND:DAYLIGHT\r\nEND:VTIMEZONE\r\n")
+OFFICE = "BEGIN:VTIMEZONE\r\nTZID:Office\r\nBEGIN:STANDARD\r\nDTSTART:19700101T000000\r\nTZOFFSETFROM:+0530\r\nTZOFFSETTO:+0530\r\nEND:STANDARD\r\nEND:VTIMEZONE\r\n"
+
+
+@query("ical_zones", f"""WITH {SHOWS}, told AS (SELECT event_id, user_id % 3 AS k, ts + to_days(CAST(event_id % 365 AS INTEGER)) AS said FROM shows)
+  SELECT event_id, date_trunc('minute', CASE k WHEN 0 THEN timezone('{WEST}', timezone('America/New_York', said))
+      WHEN 1 THEN timezone('{WEST}', timezone('UTC', said - INTERVAL 330 MINUTE)) ELSE said END) AS local,
+    CASE WHEN k = 2 THEN 'time zone not known: Eastern Standard Time' END AS reason FROM told""")
+def _(spark, d):
+    """Calendar times in zones that only their document defines, through all seasons, and in one that nothing defines."""
+    k = F.col("user_id") % 3
+    at = F.date_format(F.col("ts") + F.make_dt_interval((F.col("event_id") % 365).cast("int")), "yyyyMMdd'T'HHmmss")
+    body = _text("BEGIN:VCALENDAR\r\n", F.when(k == 0, EASTERN).when(k == 1, OFFICE).otherwise(""), "BEGIN:VEVENT\r\nDTSTART;TZID=",
+                 F.when(k == 1, "Office").otherwise("Eastern Standard Time"), ":", at, "\r\nSUMMARY:x\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n")
+    events = fd.ical_events(_feed_documents(spark, d, body))
+    rows = fd.map_ical(events, AS_OF, WEST, ["event_id"])
+    local = F.concat_ws(" ", F.col("date").cast("string"), F.col("time")).cast("timestamp_ntz")
+    return rows.select("event_id", local.alias("local")).join(fd.zone_rejects(events, ["event_id"]), "event_id", "left")
+
+
 
 BROKEN = "event_type = 'error'"
 
@@ -494,12 +540,13 @@ def _(spark, d):
 KINDS = ["api", "rss", "jsonld", "page"]
 
 
-def _landed(spark, d):
-    """Documents of four kinds, by user: payloads, feeds, pages with JSON-LD, pages to scrape. Some cannot be read."""
+def _landed(spark, d, broken=None, only=None):
+    """Documents of four kinds, by user: payloads, feeds, pages with JSON-LD, pages to scrape. Some cannot be read: those of
+    ``broken`` events. With ``only``, the documents of those events alone."""
     user, number = F.col("user_id"), F.col("event_id")
     day, clock = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss")
-    broken = F.col("k") == 7
-    docs = shows(spark, d).select(
+    broken = F.col("k") == 7 if broken is None else broken
+    docs = shows(spark, d).where(F.lit(True) if only is None else only).select(
         number.alias("doc_id"), _pick(user, KINDS).alias("kind"), user, "p_name", "n_name", "r_name", broken.alias("broken"),
         F.concat(day, F.lit("T"), clock).alias("at"))
     place = docs.select("user_id", "kind", "n_name", "r_name").distinct()
@@ -526,40 +573,74 @@ def _landed(spark, d):
     }
 
 
-REFRESHED = SHOWS + f""", landed AS (
-  SELECT *, ['api', 'rss', 'jsonld', 'page'][user_id % 4 + 1] AS kind, event_id * 1048576 AS seq FROM shows), named AS (
+def refreshed_sql(lost: str) -> str:
+    """``records`` and ``ranked`` of the documents that are not ``lost``; ``failed`` counts the lost ones by source."""
+    return SHOWS + f""", landed AS (
+  SELECT *, ['api', 'rss', 'jsonld', 'page'][user_id % 4 + 1] AS kind FROM shows), named AS (
   SELECT *, CASE WHEN kind = 'api' THEN 'eventbrite' ELSE kind || user_id END AS source_name,
     CASE kind WHEN 'api' THEN 1 WHEN 'page' THEN 4 ELSE 3 END AS precedence,
     CASE kind WHEN 'api' THEN 'api' WHEN 'page' THEN 'scrape' ELSE 'rss' END AS source FROM landed), failed AS (
-  SELECT source_name, CASE min(kind) WHEN 'page' THEN 'unreadable page: no page text' ELSE 'unreadable feed' END AS error_msg
-  FROM named WHERE kind <> 'api' AND k = 7 GROUP BY source_name), records AS (
+  SELECT source_name, source, CASE min(kind) WHEN 'page' THEN 'unreadable page: no page text' ELSE 'unreadable feed' END AS error_msg, count(*) AS failed_docs
+  FROM named WHERE {lost} GROUP BY ALL), records AS (
   SELECT *, {norm_sql('p_name')} || '|' || strftime(ts, '%Y-%m-%d') || '|' || {norm_sql('n_name')} AS dedupe_key,
     {classify_sql("CASE WHEN kind = 'api' THEN 'music ' ELSE '' END || p_name", "CASE WHEN kind <> 'api' AND user_id % 3 = 0 THEN 'comedy' ELSE 'music' END")} AS category
-  FROM named WHERE source_name NOT IN (SELECT source_name FROM failed)), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY precedence DESC, seq DESC) AS newest,
-    row_number() OVER (PARTITION BY dedupe_key ORDER BY precedence, seq) AS oldest,
-    first_value(seq) OVER (PARTITION BY dedupe_key ORDER BY precedence, seq) AS id FROM records)"""
+  FROM named WHERE NOT ({lost})), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY precedence DESC, event_id DESC) AS newest,
+    row_number() OVER (PARTITION BY dedupe_key ORDER BY precedence, event_id) AS oldest,
+    ('0x' || substr(md5(first_value(event_id) OVER (PARTITION BY dedupe_key ORDER BY precedence, event_id) || '|0|0'), 1, 15))::BIGINT AS id FROM records)"""
 
 
-@query("refresh_all", f"""WITH {REFRESHED} SELECT dedupe_key, id, source, source_name, p_name AS title, n_name AS venue,
+LOST = "kind <> 'api' AND k = 7"
+REFRESHED = refreshed_sql(LOST)
+TABLE_SQL = """ SELECT dedupe_key, id, source, source_name, p_name AS title, n_name AS venue,
     CASE WHEN kind <> 'api' THEN r_name END AS city, CAST(ts AS DATE) AS event_date, strftime(ts, '%H:%M') AS event_time, category,
     CASE WHEN kind = 'api' THEN 'music' WHEN user_id % 3 = 0 THEN 'comedy' ELSE '' END AS genre_tags,
-    CASE WHEN kind = 'rss' THEN 'https://f.example/' || event_id END AS ticket_url FROM ranked WHERE newest = 1""")
+    CASE WHEN kind = 'rss' THEN 'https://f.example/' || event_id END AS ticket_url FROM ranked WHERE newest = 1"""
+TABLE = ["dedupe_key", "id", "source", "source_name", "title", "venue", "city", "event_date", "event_time", "category", "genre_tags", "ticket_url"]
+RUN_TIME, NEXT_RUN = "2024-02-01 00:00:00", "2024-02-01 06:00:00"
+
+
+@query("refresh_all", f"WITH {REFRESHED}{TABLE_SQL}")
 def _(spark, d):
-    """Landed documents of three adapters to the stored table."""
-    return rf.refresh(None, _landed(spark, d), ntz("2024-02-01 00:00:00")).select(
-        "dedupe_key", "id", "source", "source_name", "title", "venue", "city", "event_date", "event_time", "category", "genre_tags", "ticket_url")
+    """Landed documents of three adapters to the stored table; an unreadable one costs its own records only."""
+    return rf.refresh(None, _landed(spark, d), ntz(RUN_TIME)).select(*TABLE)
 
 
-@query("refresh_log", f"""WITH {REFRESHED} SELECT source_name, max(source) AS source, 'ok' AS status, count(*) AS found,
-    count(*) FILTER (oldest = 1) AS added, count(*) FILTER (oldest <> 1) AS updated, 0 AS invalid, CAST(NULL AS VARCHAR) AS error_msg
-  FROM ranked GROUP BY source_name
-  UNION ALL SELECT source_name, NULL, 'error', 0, 0, 0, 0, error_msg FROM failed""")
+@query("refresh_log", f"""WITH {REFRESHED}, good AS (
+    SELECT source_name, source, count(*) AS found, count(*) FILTER (oldest = 1) AS added, count(*) FILTER (oldest <> 1) AS updated
+    FROM ranked GROUP BY ALL)
+  SELECT source_name, source, CASE WHEN found IS NULL THEN 'error' ELSE 'ok' END AS status, coalesce(found, 0) AS found,
+    coalesce(added, 0) AS added, coalesce(updated, 0) AS updated, 0 AS invalid, coalesce(failed_docs, 0) AS failed_docs, error_msg
+  FROM good FULL JOIN failed USING (source_name, source)""")
 def _(spark, d):
-    return rf.refresh_log(None, _landed(spark, d), ntz("2024-02-01 00:00:00")).drop("run_at")
+    return rf.refresh_log(None, _landed(spark, d), ntz(RUN_TIME)).drop("run_at")
 
 
-@query("union_sources", f"""WITH {REFRESHED} SELECT seq, precedence, source, source_name, p_name AS title, strftime(ts, '%Y-%m-%d') AS date FROM records""")
+@query("union_sources", f"""WITH {REFRESHED} SELECT event_id AS doc_id, 0 AS block, 0 AS place, precedence, source, source_name, p_name AS title,
+    strftime(ts, '%Y-%m-%d') AS date FROM records""")
 def _(spark, d):
     """Every record of the refresh, stamped with its adapter's place."""
-    return rf.gather(_landed(spark, d)).select("seq", "precedence", "source", "source_name", "title", "date")
+    return rf.gather(_landed(spark, d)).select(*[F.col("seq").getField(f).alias(f) for f in ("doc_id", "block", "place")], "precedence", "source", "source_name", "title", "date")
+
+
+@query("dead_letters", f"""WITH {REFRESHED} SELECT CASE kind WHEN 'page' THEN 'scraper' ELSE 'rss' END AS adapter, event_id AS doc_id, source_name,
+    CASE kind WHEN 'page' THEN 'unreadable page: no page text' ELSE 'unreadable feed' END AS reason, CAST(2 AS BIGINT) AS attempt,
+    TIMESTAMP '{NEXT_RUN}' AS run_at FROM named WHERE {LOST} AND event_id % 3 = 0""")
+def _(spark, d):
+    """Documents that wait after two runs: both could not read a third of the broken ones, the second read the rest."""
+    broken = F.col("k") == 7
+    first = _landed(spark, d)
+    log = rf.dead_letters(first, None, ntz(RUN_TIME))
+    again = _landed(spark, d, broken & (F.col("event_id") % 3 == 0), broken)
+    log = log.unionByName(rf.dead_letters(again, log, ntz(NEXT_RUN)))
+    read = rf.gather(again).select(F.when(F.col("source") == "scrape", "scraper").otherwise(F.col("source")).alias("adapter"), "seq.doc_id", ntz(NEXT_RUN).alias("run_at"))
+    return rf.open_letters(log, read)
+
+
+@query("refresh_replay", f"WITH {refreshed_sql('kind = $$none$$')}{TABLE_SQL}")
+def _(spark, d):
+    """The table after the broken documents were repaired and replayed: as if they had been good at once."""
+    first = stored(rf.gather(_landed(spark, d)), "records")
+    repaired = stored(rf.gather(_landed(spark, d, F.lit(False), (F.col("k") == 7) & (F.col("user_id") % 4 != 0))), "repaired")
+    after = upsert(None, normalize(first), ntz(RUN_TIME))
+    return rf.replay(None, after, first, repaired, ntz(RUN_TIME)).select(*TABLE)

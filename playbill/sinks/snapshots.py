@@ -110,16 +110,30 @@ def compact(spark: SparkSession, root: str, fanout: int = FANOUT) -> None:
 
 
 def clean(spark: SparkSession, root: str) -> None:
-    """Remove replaced segments and rewrite the commit list. For times when no reader holds an older table."""
+    """Remove replaced segments and shorten the commit list. For times when no reader holds an older table.
+
+    The short list is appended to the commits first; only then do the older files go, one at a time, and the replaced
+    segments after them. Readers take distinct rows of all files, so the table is whole after every step, and
+    a ``clean`` that died half-way is finished by the next.
+    """
     commits = _commits(spark, root)
     keep = live(commits)
-    if not keep or len(keep) == len(commits):
+    older = spark.read.schema(COMMIT).parquet(f"{root}/commits").inputFiles() if keep else []
+    if len(older) < 2 and len(keep) == len(commits):
         return
-    fresh = f"{root}/commits-{uuid.uuid4().hex}"
-    spark.createDataFrame([tuple(c) for c in keep], COMMIT).coalesce(1).write.parquet(fresh)
-    # Readers take distinct rows, so the list is right before, between and after these two steps.
-    spark.read.schema(COMMIT).parquet(fresh).coalesce(1).write.mode("overwrite").parquet(f"{root}/commits")
-    remove(spark, fresh)
-    for c in commits:
-        if c not in keep:
-            remove(spark, f"{root}/segments/{c.name}")
+    if keep:
+        spark.createDataFrame([tuple(c) for c in keep], COMMIT).coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    for file in older:
+        remove(spark, file)
+    named = {c.name for c in keep}
+    for name in _segments(spark, root):
+        if name not in named:
+            remove(spark, f"{root}/segments/{name}")
+
+
+def _segments(spark: SparkSession, root: str) -> list[str]:
+    """Names of all segment folders, those of batches that died included."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{root}/segments")
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []

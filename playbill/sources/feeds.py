@@ -20,6 +20,8 @@ ATOM_ENTRY = ("title string, link array<struct<_href: string, _rel: string>>, pu
               "content string")
 ENTRY = r"(?is)<entry\b.*?</entry>"
 VEVENT = r"(?s)BEGIN:VEVENT.*?END:VEVENT"
+VTIMEZONE = r"(?s)BEGIN:VTIMEZONE.*?END:VTIMEZONE"
+OBSERVANCE = r"(?s)BEGIN:(?:STANDARD|DAYLIGHT).*?END:(?:STANDARD|DAYLIGHT)"
 
 # Zone names of e-mail dates and their offsets.
 MAIL_ZONES = {"GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400",
@@ -136,30 +138,118 @@ def _property(block: Column, name: str) -> Column:
     return truthy(plain)
 
 
-def _start(block: Column, zone: str) -> Column:
-    """DTSTART as local wall-clock time: UTC and zoned values are converted,
-    floating ones kept, all-day ones mean midnight."""
+def _line(block: Column, name: str, pattern: str) -> Column:
+    """Part of a property's line; null when it is not there."""
+    return truthy(F.regexp_extract(block, rf"(?m)^{name}[;:]{pattern}", 1))
+
+
+def _seconds(stamp: Column) -> Column:
+    """Local seconds since 1970 of ``yyyyMMddTHHmmss`` digits, without any zone."""
+    at = F.try_to_timestamp(F.substring(stamp, 1, 15), F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz")
+    return let(at, clock)
+
+
+def clock(at: Column) -> Column:
+    return F.unix_date(at.cast("date")).cast("long") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+
+
+def _offset(block: Column, name: str) -> Column:
+    """``+hhmm`` or ``+hhmmss`` as seconds."""
+    part = lambda at: F.substring(_line(block, name, r"([+-]\d{4}(?:\d{2})?)"), at, 2).try_cast("int")
+    sign = F.when(_line(block, name, r"([+-])\d{4}") == "-", -1).otherwise(1)
+    return sign * (part(2) * 3600 + part(4) * 60 + F.coalesce(part(6), F.lit(0)))
+
+
+def zone_rules(body: Column) -> Column:
+    """The zones a calendar defines itself: an array of (tzid, start, offset, before, until, month, nth, day).
+
+    Each entry is one observance: from ``start`` (local seconds) on, and every year on the ``nth`` ``day`` of ``month`` if it
+    repeats, local time is ``offset`` seconds ahead of UTC; ``before`` held until then.
+    """
+    zones = F.regexp_extract_all(body, F.lit(VTIMEZONE), F.lit(0))
+    rule = r"[^\r\n]*FREQ=YEARLY[^\r\n]*"
+    return F.flatten(F.transform(zones, lambda z: F.transform(
+        F.regexp_extract_all(z, F.lit(OBSERVANCE), F.lit(0)), lambda o: F.named_struct(
+            F.lit("tzid"), _line(z, "TZID", r"([^\r\n]+)"), F.lit("start"), _seconds(_line(o, "DTSTART", r"(?:[^:\r\n]*:)?(\d{8}T\d{6})")),
+            F.lit("offset"), _offset(o, "TZOFFSETTO"), F.lit("before"), _offset(o, "TZOFFSETFROM"),
+            F.lit("until"), _seconds(_line(o, "RRULE", r"[^\r\n]*UNTIL=(\d{8}T\d{6})")),
+            F.lit("month"), F.when(o.rlike(rf"(?m)^RRULE[;:]{rule}"), _line(o, "RRULE", r"[^\r\n]*BYMONTH=(\d{1,2})").try_cast("int")),
+            F.lit("nth"), _line(o, "RRULE", r"[^\r\n]*BYDAY=([+-]?\d)[A-Z]{2}").try_cast("int"),
+            F.lit("day"), _line(o, "RRULE", r"[^\r\n]*BYDAY=[+-]?\d([A-Z]{2})")))))
+
+
+def _onset(rule: Column, at: Column, year: Column) -> Column:
+    """When an observance last began, at or before ``at`` (local seconds); null if it had not yet."""
+    def of(y: Column) -> Column:
+        first = F.make_date(y, rule["month"], F.lit(1))
+        last = F.last_day(first)
+        day = F.when(rule["nth"] > 0, F.date_add(F.call_function("next_day", F.date_sub(first, 1), rule["day"]), 7 * (rule["nth"] - 1))).otherwise(
+            F.date_add(F.call_function("next_day", F.date_sub(last, 7), rule["day"]), 7 * (rule["nth"] + 1)))
+        return F.unix_date(day).cast("long") * 86400 + F.pmod(rule["start"], F.lit(86400))
+
+    begun = F.filter(F.array(rule["start"], of(year), of(year - 1)), lambda t: (t >= rule["start"]) & (t <= at) & (
+        rule["until"].isNull() | (t <= rule["until"])))
+    return F.array_max(begun)
+
+
+def _offset_at(rules: Column, tzid: Column, at: Column) -> Column:
+    """Seconds ahead of UTC that a calendar's own zone gives for a local time; null if it does not define the zone."""
+    own = F.filter(rules, lambda r: (r["tzid"] == tzid) & r["start"].isNotNull() & r["offset"].isNotNull())
+    now = let(clock(at), lambda t: F.array_max(F.filter(F.transform(own, lambda r: F.struct(
+        _onset(r, t, F.year(at)).alias("at"), r["offset"].alias("offset"))), lambda x: x["at"].isNotNull()))["offset"])
+    earliest = F.array_min(F.transform(own, lambda r: F.struct(r["start"].alias("at"), F.coalesce(r["before"], r["offset"]).alias("before"))))
+    return F.coalesce(now, earliest["before"])
+
+
+def _tzid(block: Column) -> Column:
+    return truthy(F.regexp_extract(block, r"(?m)^DTSTART[^:\r\n]*;TZID=\"?([^;:\"\r\n]+)", 1))
+
+
+def _known(tzid: Column) -> Column:
+    return tzid.isin(sorted(zoneinfo.available_timezones()))
+
+
+def _start(block: Column, zone: str, rules: Column) -> Column:
+    """DTSTART as local wall-clock time: UTC and zoned values are converted, floating ones kept, all-day ones mean midnight.
+
+    A zone is one of the time zone database or one the calendar defines; a time in any other is kept as it is written.
+    """
     line = F.regexp_extract(block, r"(?m)^(DTSTART[;:][^\r\n]*)", 1)
     digits = F.regexp_extract(line, r":(\d{8}(?:T\d{6})?)", 1)
-    zoned = F.regexp_extract(line, r";TZID=\"?([^;:\"]+)", 1)
+    utc = line.rlike(r"\d{6}Z\s*$")
     parts = F.struct(
         F.when(F.length(digits) == 8, F.try_to_timestamp(digits, F.lit("yyyyMMdd")))
         .otherwise(F.try_to_timestamp(digits, F.lit("yyyyMMdd'T'HHmmss"))).cast("timestamp_ntz").alias("at"),
-        F.when(line.rlike(r"\d{6}Z\s*$"), "UTC")
-        .when(zoned.isin(sorted(zoneinfo.available_timezones())), zoned).otherwise(zone).alias("zone"))
-    return let(parts, lambda p: F.convert_timezone(p["zone"], F.lit(zone), p["at"]))
+        F.when(utc, "UTC").when(_known(_tzid(block)), _tzid(block)).alias("zone"), _tzid(block).alias("tzid"))
+
+    def local(p: Column) -> Column:
+        own = F.when(p["zone"].isNull(), _offset_at(rules, p["tzid"], p["at"]))
+        return let(own, lambda o: F.when(o.isNotNull(), F.convert_timezone(
+            F.lit("UTC"), F.lit(zone), p["at"] - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), o.cast("decimal(18,6)")))).otherwise(
+            F.convert_timezone(F.coalesce(p["zone"], F.lit(zone)), F.lit(zone), p["at"])))
+
+    return let(parts, local)
 
 
 def ical_events(feeds: DataFrame, body: str = "body") -> DataFrame:
-    """One row per VEVENT of each document, continuation lines joined."""
-    unfolded = F.regexp_replace(body, r"\r?\n[ \t]", "")
+    """One row per VEVENT of each document, continuation lines joined, with the zones the document defines."""
+    unfolded = F.coalesce(F.regexp_replace(body, r"\r?\n[ \t]", ""), F.lit(""))
     rest = [c for c in feeds.columns if c != body]
-    return feeds.select(*rest, F.posexplode(F.regexp_extract_all(F.coalesce(unfolded, F.lit("")), F.lit(VEVENT), F.lit(0))).alias("pos", "vevent"))
+    read = feeds.select(*rest, unfolded.alias("_body"))
+    return read.select(*rest, zone_rules(F.col("_body")).alias("zones"), F.posexplode(
+        F.regexp_extract_all("_body", F.lit(VEVENT), F.lit(0))).alias("pos", "vevent"))
+
+
+def zone_rejects(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Events whose zone is neither in the time zone database nor defined by their calendar; they are kept as local times."""
+    tzid = _tzid(F.col("vevent"))
+    odd = tzid.isNotNull() & ~_known(tzid) & ~F.exists("zones", lambda r: r["tzid"] == tzid)
+    return events.where(odd).select(*keys, F.concat(F.lit("time zone not known: "), tzid).alias("reason"))
 
 
 def map_ical(events: DataFrame, as_of: AsOf, zone: str, keep: list[str]) -> DataFrame:
     block = F.col("vevent")
-    rows = events.withColumns({"start": _start(block, zone), "summary": _property(block, "SUMMARY")})
+    rows = events.withColumns({"start": _start(block, zone, F.col("zones")), "summary": _property(block, "SUMMARY")})
     about = F.coalesce(_property(block, "DESCRIPTION"), F.lit(""))
     return project_where(rows, [*keep, "source_name"], _feed_fields(squash("summary")) | {
         "venue": F.coalesce(truthy("feed_venue"), _property(block, "LOCATION"), F.col("feed_name")),

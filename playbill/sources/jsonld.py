@@ -2,7 +2,8 @@
 
 A page's JSON is walked inside one expression: an aggregate over the depth
 levels moves a frontier of variants down and collects event nodes, so a page
-costs one narrow stage however deep its nesting.
+costs one narrow stage. How many levels there are is read off each block's own
+brackets, so no depth is out of reach.
 """
 
 from __future__ import annotations
@@ -11,24 +12,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions.dates import AsOf, parse_date, parse_time
-from playbill.functions.text import classify, project_where, squash, truthy
+from playbill.functions.text import classify, let, project_where, squash, truthy
 from playbill.functions.urls import abs_url
 
-# Where JSON-LD stands in a page, and how deep it is searched.
+# Fixed value: where JSON-LD stands in a page.
 SCRIPT = r"(?i)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>([\s\S]*?)</script>"
-MAX_DEPTH = 12
 SAMPLE = 5
 
 
+def nesting(body: Column) -> Column:
+    """How deep objects and arrays are nested in a JSON text; brackets inside its strings do not count."""
+    bare = F.regexp_replace(F.regexp_replace(body, r"(?s)\\.", ""), r'"[^"]*"', "")
+    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    step = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
+    return F.aggregate(brackets, step, lambda acc, c: let(
+        acc["at"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0),
+        lambda at: F.struct(at.alias("at"), F.greatest(acc["most"], at).alias("most"))), lambda acc: acc["most"])
+
+
 def jsonld_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Parsed JSON-LD blocks with their place on the page; malformed ones are skipped."""
+    """Parsed JSON-LD blocks with their place on the page and their ``depth``; malformed ones are skipped."""
     bodies = F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(1))
     rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode(bodies).alias("block", "body"))
-    return rows.withColumn("doc", F.try_parse_json(F.trim("body"))).where(F.col("doc").isNotNull()).drop("body")
+    return rows.withColumns({"doc": F.try_parse_json(F.trim("body")), "depth": nesting(F.col("body"))}).where(
+        F.col("doc").isNotNull()).drop("body")
 
 
-def _walk(doc: str) -> str:
-    """SQL for the array of (v, path) event nodes, parents before children.
+def _walk(doc: str, depth: str) -> str:
+    """SQL for the array of (v, path) event nodes of the levels 0 to ``depth``, parents before children.
 
     Objects and arrays both count as a level. ``path`` orders the nodes; the
     fields of one object follow the variant's own field order.
@@ -41,7 +52,7 @@ def _walk(doc: str) -> str:
                 f"t -> schema_of_variant(t) = 'STRING' AND cast(t as string) rlike '(?i)event')")
     node = "struct<v: variant, path: array<int>>"
     return f"""
-      aggregate(sequence(0, {MAX_DEPTH}),
+      aggregate(sequence(0, cast({depth} as int)),
         named_struct('front', array(named_struct('v', {doc}, 'path', cast(array() as array<int>))),
                      'found', cast(array() as array<{node}>)),
         (acc, depth) -> named_struct(
@@ -52,11 +63,23 @@ def _walk(doc: str) -> str:
           case when a.path < b.path then -1 when a.path > b.path then 1 else 0 end))"""
 
 
-def jsonld_event_nodes(blocks: DataFrame) -> DataFrame:
-    """Every object whose ``@type`` mentions Event, at any depth up to 12."""
-    rest = [c for c in blocks.columns if c != "doc"]
-    return blocks.select(*rest, F.posexplode(F.expr(_walk("doc"))).alias("place", "n")).select(
-        *rest, "place", F.col("n.v").alias("node"))
+def jsonld_event_nodes(blocks: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every object whose ``@type`` mentions Event, with its ``place`` in its block and the ``path`` of positions to it.
+
+    All depths are searched, unless a caller sets a ``limit``; ``truncated_blocks`` tells what that leaves out.
+    """
+    rest = [c for c in blocks.columns if c not in ("doc", "depth")]
+    depth = "depth" if limit is None else f"least(depth, {int(limit)})"
+    return blocks.select(*rest, F.posexplode(F.expr(_walk("doc", depth))).alias("place", "n")).select(
+        *rest, "place", F.col("n.path").alias("path"), F.col("n.v").alias("node"))
+
+
+def truncated_blocks(blocks: DataFrame, limit: int) -> DataFrame:
+    """Blocks that are nested deeper than a limit, with the reason."""
+    # An object at level n stands inside n others.
+    rest = [c for c in blocks.columns if c not in ("doc", "depth")]
+    return blocks.where(F.col("depth") > limit + 1).select(
+        *rest, F.concat(F.lit("truncated: nested "), F.col("depth"), F.lit(f" deep, searched to {int(limit)}")).alias("reason"))
 
 
 def _text(path: str) -> Column:
@@ -136,9 +159,9 @@ def page_summary(pages: DataFrame, as_of: AsOf, zone: str, carry: dict[str, Colu
     bodies = F.regexp_extract_all("html", F.lit(SCRIPT), F.lit(1))
     read = pages.select("page_id", "url", *[c.alias(name) for name, c in carry.items()], bodies.alias("bodies"))
     base = read.select("page_id", "url", *carry, F.posexplode_outer("bodies").alias("block", "body"))
-    docs = base.withColumn("doc", F.try_parse_json(F.trim("body"))).drop("body")
+    docs = base.withColumns({"doc": F.try_parse_json(F.trim("body")), "depth": nesting(F.col("body"))}).drop("body")
     keep = ["page_id", "url", *carry, "block"]
-    nodes = docs.select(*keep, F.posexplode_outer(F.when(F.col("doc").isNotNull(), F.expr(_walk("doc")))).alias("place", "n")).select(
+    nodes = docs.select(*keep, F.posexplode_outer(F.when(F.col("doc").isNotNull(), F.expr(_walk("doc", "depth")))).alias("place", "n")).select(
         *keep, "place", F.col("n.v").alias("node"))
     rows = map_jsonld(nodes, as_of, zone, [*keep, "place"], every=True)
     made = F.col("title").isNotNull() & F.col("date").isNotNull()

@@ -51,9 +51,24 @@ def deep(n):
     return node
 
 
-@pytest.mark.parametrize("depth,found", [(0, 1), (12, 1), (13, 0)])
-def test_jsonld_depth(spark, depth, found):
-    assert jsonld.jsonld_listings(page(spark, script(deep(depth))), NOW).count() == found
+@pytest.mark.parametrize("depth", [0, 12, 13, 40, 300])
+def test_jsonld_any_depth(spark, depth):
+    blocks = jsonld.jsonld_blocks(page(spark, script(deep(depth))))
+    (row,) = jsonld.jsonld_event_nodes(blocks).collect()
+    assert (row.place, list(row.path)) == (0, [0] * depth) and blocks.first().depth == depth + 1
+    assert jsonld.jsonld_listings(page(spark, script(deep(depth))), NOW).count() == 1
+
+
+def test_jsonld_limit_of_a_caller(spark):
+    blocks = jsonld.jsonld_blocks(page(spark, script(deep(12))).union(page(spark, script(deep(13)))))
+    assert jsonld.jsonld_event_nodes(blocks, limit=12).count() == 1
+    assert [r.reason for r in jsonld.truncated_blocks(blocks, 12).collect()] == ["truncated: nested 14 deep, searched to 12"]
+
+
+def test_nesting_ignores_brackets_in_strings(spark):
+    docs = ['{"a": "[[[{{{"}', '["\\\\", "\\"[", [1, {"x": []}]]', '7', '', '{"a": {"b": [' + ",".join(["[]"] * 500) + "]}}"]
+    rows = spark.createDataFrame([(d,) for d in docs], "body string").select(jsonld.nesting(F.col("body")).alias("n")).collect()
+    assert [r.n for r in rows] == [1, 4, 0, 0, 4]
 
 
 def test_jsonld_odd_values(spark):
@@ -157,6 +172,39 @@ def test_ical(spark):
     assert rows[0].category == "comedy"
 
 
+def zone(name, *observances):
+    parts = [f"BEGIN:{kind}\r\nDTSTART:{start}\r\n" + (f"RRULE:FREQ=YEARLY;{rule}\r\n" if rule else "")
+             + f"TZOFFSETFROM:{before}\r\nTZOFFSETTO:{to}\r\nEND:{kind}\r\n" for kind, start, rule, before, to in observances]
+    return f"BEGIN:VTIMEZONE\r\nTZID:{name}\r\n{''.join(parts)}END:VTIMEZONE\r\n"
+
+
+EASTERN = zone("Eastern Standard Time", ("STANDARD", "16011104T020000", "BYDAY=1SU;BYMONTH=11", "-0400", "-0500"),
+               ("DAYLIGHT", "16010311T020000", "BYDAY=2SU;BYMONTH=3", "-0500", "-0400"))
+LAST = zone("Customized", ("STANDARD", "20001029T030000", "BYMONTH=10;BYDAY=-1SU", "+0200", "+0100"),
+            ("DAYLIGHT", "20000326T020000", "BYMONTH=3;BYDAY=-1SU;UNTIL=20250401T000000", "+0100", "+0200"))
+
+
+@pytest.mark.parametrize("defined,tzid,said,expected", [
+    (EASTERN, "Eastern Standard Time", "20260115T200000", "2026-01-15 17:00"),
+    (EASTERN, "Eastern Standard Time", "20260704T200000", "2026-07-04 17:00"),
+    (EASTERN, "Eastern Standard Time", "20260308T040000", "2026-03-08 00:00"),   # this coast changes three hours later
+    (EASTERN, '"Eastern Standard Time"', "20261101T003000", "2026-10-31 21:30"),
+    ("", "Eastern Standard Time", "20260704T200000", "2026-07-04 20:00"),
+    (LAST, "Customized", "20240401T120000", "2024-04-01 03:00"),
+    (LAST, "Customized", "20260701T120000", "2026-07-01 04:00"),                  # no summer time after UNTIL
+    (LAST, "Customized", "19990701T120000", "1999-07-01 04:00"),                  # before the first rule: its TZOFFSETFROM
+    (zone("X", ("STANDARD", "19700101T000000", "", "+0530", "+0530")), "X", "20260701T120000", "2026-06-30 23:30"),
+    (zone("X", ("STANDARD", "bad", "", "x", "y")), "X", "20260701T120000", "2026-07-01 12:00"),
+    (EASTERN, "America/New_York", "20260704T200000", "2026-07-04 17:00")])
+def test_calendar_zones(spark, defined, tzid, said, expected):
+    body = f"BEGIN:VCALENDAR\r\n{defined}BEGIN:VEVENT\r\nSUMMARY:x\r\nDTSTART;TZID={tzid}:{said}\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"
+    events = feeds.ical_events(feed(spark, body))
+    (row,) = feeds.map_ical(events, NOW, WEST, ["id"]).collect()
+    assert f"{row.date} {row.time}" == expected
+    odd = [r.reason for r in feeds.zone_rejects(events, ["id"]).collect()]
+    assert odd == ([] if defined or "/" in tzid else ["time zone not known: Eastern Standard Time"])
+
+
 def test_registry_files(spark, tmp_path):
     doc = {"feeds": [{"id": "a", "name": "A"}, {"id": "b", "name": "B", "enabled": False}, {"id": "c", "enabled": True}]}
     (tmp_path / "feeds.json").write_text(json.dumps(doc, indent=2))

@@ -81,12 +81,40 @@ def test_segments_are_merged_and_cleaned(spark, tmp_path):
     assert plain(ordered(snapshots.current(spark, root))) == plain(ordered(expected))
     assert snapshots.current(spark, root, before=0) is None
     snapshots.clean(spark, root)
+    snapshots.clean(spark, root)
     assert len(snapshots._commits(spark, root)) == 3 == len(list((tmp_path / "table" / "segments").iterdir()))
     assert plain(ordered(snapshots.current(spark, root))) == plain(ordered(expected))
     snapshots.write_batch(spark, root, parts[0], 0, stamp(), fanout=3)
     assert plain(ordered(snapshots.current(spark, root))) == plain(ordered(expected))
 
 
+@pytest.mark.parametrize("steps", [0, 1, 4])
+def test_clean_that_dies_half_way(spark, tmp_path, monkeypatch, steps):
+    """After any number of removals the table is whole, a replayed batch is skipped, and the next ``clean`` ends the work."""
+    root, batch = str(tmp_path / "table"), normalize(tb.raw_listings(spark, FOLDER))
+    for i in range(4):
+        snapshots.write_batch(spark, root, batch.where(F.col("seq") % 4 == i), i, stamp(), fanout=2)
+    expected, left, remove = plain(ordered(snapshots.current(spark, root))), [steps], snapshots.remove
+
+    def dying(session, path):
+        if not left[0]:
+            raise OSError("lost")
+        left[0] -= 1
+        remove(session, path)
+
+    monkeypatch.setattr(snapshots, "remove", dying)
+    with pytest.raises(OSError):
+        snapshots.clean(spark, root)
+    assert plain(ordered(snapshots.current(spark, root))) == expected
+    before = len(snapshots._commits(spark, root))
+    snapshots.write_batch(spark, root, batch.where(F.col("seq") % 4 == 1), 1, stamp(), fanout=2)
+    assert len(snapshots._commits(spark, root)) == before
+    monkeypatch.setattr(snapshots, "remove", remove)
+    snapshots.clean(spark, root)
+    assert plain(ordered(snapshots.current(spark, root))) == expected
+    assert len(snapshots._commits(spark, root)) == 1 == len(list((tmp_path / "table" / "segments").iterdir()))
+
+
 def test_days_prune_every_segment(spark, halves, tmp_path):
     _, first, second = halves
     root = str(tmp_path / "table")
