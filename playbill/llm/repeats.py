@@ -28,6 +28,8 @@ from playbill.llm.words import U64, chunks, constants, mix, prefix_sums
 
 GRAM, LENGTH = 32, 200
 PIECE, HOT, BAND = 4 << 20, 20_000, 8
+#: At most so many segments' bands, some 400 bytes each, are sent to every task.
+WANTED = 50_000
 COLUMNS = ["a", "part", "left", "seg", "key", "pos", "n"]
 LEFT_MIX, RIGHT_MIX = constants(2, 21)
 
@@ -121,7 +123,7 @@ def intervals(prefix: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((first, depth))
 
 
-def longest_repeats(lefts: list[bytes], rights: list[bytes], length: int, offsets: range | None = None) -> Iterator[tuple[int, int, int]]:
+def longest_repeats(lefts: list[bytes], rights: list[bytes], length: int) -> Iterator[tuple[int, int, int]]:
     """(member, bytes to the left, bytes to the right) of each member's repeats of at least ``length`` bytes.
 
     ``lefts`` are reversed. An interval of depth r holds the members that agree for r bytes from the anchor on. Sorted by
@@ -262,6 +264,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     near = _grouped(parts, "a", "part").mapInArrow(lambda b: repeat_spans(b, length), "key bigint, start int, end int")
     spans = full.union(near).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     spans = space.keep(spans.withColumnRenamed("key", "_key"), "spans")
+    space.free(spans)
     schema = T.StructType([*base.drop("_key").schema.fields, *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
                            T.StructField("kept_bytes", T.BinaryType())])
     changed = among(base, spans.select("_key"), "left_semi").join(spans, "_key")
@@ -283,13 +286,21 @@ def _dealt(segments: DataFrame, hot: int, length: int, reach: int, space: Worksp
     lo = F.col("band") * BAND
     hi = F.least(lo + BAND - 1, F.lit(reach))
     # Strings that begin lo to hi bytes before the anchor share the bytes from lo before it to length - hi after it.
-    wide = segments.select("*", F.explode(F.sequence(F.lit(0), F.lit(reach // BAND))).alias("band")).where(
-        (F.col("left") >= lo) & (F.octet_length("seg") - F.col("left") >= length - hi))
     core = F.substring("seg", F.col("left") - lo + 1, lo + length - hi)
+    bands = segments.select("*", F.explode(F.sequence(F.lit(0), F.lit(reach // BAND))).alias("band")).where(
+        (F.col("left") >= lo) & (F.octet_length("seg") - F.col("left") >= length - hi))
+    marks = bands.select("a", "key", "pos", "band", F.xxhash64("a", "band", core).alias("part"))
+    # Only half marks travel until a core may occur twice; a chance hit costs a few rows more, and parts are counted exactly below.
+    half = F.shiftright("part", 32).cast("int").alias("half")
+    shared = space.keep(marks.groupBy(half).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("half"), "cores")
+    wanted = space.keep(among(marks.withColumn("half", half), shared, "left_semi").groupBy("a", "key", "pos").agg(F.collect_list(F.struct("band", "part")).alias("bands")), "wanted")
+    # Bytes are fetched once for all bands of a segment; a short list of segments meets them where they are stored.
+    small = wanted.limit(WANTED + 1).count() <= WANTED
+    wide = segments.join(F.broadcast(wanted) if small else wanted, ["a", "key", "pos"]).select(*segments.columns, F.inline("bands"))
     cut = F.greatest(F.col("left") - hi, F.lit(0))
-    banded = wide.select(
-        "a", F.xxhash64("band", core).alias("part"), (F.col("left") - cut).alias("left"),
-        F.substring("seg", cut + 1, F.col("left") - cut + length - lo).alias("seg"), "key", "pos", "n")
+    banded = space.keep(wide.select(
+        "a", "part", (F.col("left") - cut).alias("left"),
+        F.substring("seg", cut + 1, F.col("left") - cut + length - lo).alias("seg"), "key", "pos", "n"), "banded")
     distinct = space.keep(banded.groupBy("a", "part", "left", "seg").agg(
         F.count(F.lit(1)).alias("times"), F.sum("n").alias("n"), F.min("key").alias("key"), F.min_by("pos", "key").alias("pos")), "distinct")
     start = F.col("pos") - F.col("left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playbill.session import work_folder
+from playbill.session import remove, work_folder
 
 
 class Workspace:
@@ -18,6 +18,7 @@ class Workspace:
         self.spark = spark
         self.path = work_folder(spark, "playbill")
         self.count = 0
+        self.kept: list[tuple[DataFrame, str]] = []
 
     def folder(self, name: str) -> str:
         self.count += 1
@@ -26,7 +27,16 @@ class Workspace:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.folder(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((back, path))
+        return back
+
+    def free(self, *needed: DataFrame) -> None:
+        """Removes all tables but the ``needed`` ones, once nothing that is still to run reads the others."""
+        for table, path in self.kept:
+            if not any(table is n for n in needed):
+                remove(self.spark, path)
+        self.kept = [(t, p) for t, p in self.kept if any(t is n for n in needed)]
 
 
 #: A list of at most so many 8-byte keys, 16 MB, is sent to every task; a longer one is shuffled.
