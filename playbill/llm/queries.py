@@ -202,9 +202,9 @@ r AS (
     WHERE (host = dh OR ends_with(host, '.' || dh)) AND starts_with(path, dp)) AS domain FROM h),
 m AS (
   SELECT *, CASE
-    WHEN regexp_matches(t, '^(?:[^/]*\.)?spam-farm\.') THEN '||spam-farm.'
-    WHEN regexp_matches(t, '^(?:[^/]*\.)?cheap-pills\.') THEN '||cheap-pills.'
-    WHEN regexp_matches(t, '^(?:[^/]*\.)?casino\.') THEN '||casino.'
+    WHEN regexp_matches(t, '^(?:[^/?#]*\.)?spam-farm\.') THEN '||spam-farm.'
+    WHEN regexp_matches(t, '^(?:[^/?#]*\.)?cheap-pills\.') THEN '||cheap-pills.'
+    WHEN regexp_matches(t, '^(?:[^/?#]*\.)?casino\.') THEN '||casino.'
     WHEN contains(t, '/ads/') THEN '/ads/'
     WHEN regexp_matches(t, '/banner(?:[^0-9a-z.%_-]|$)') THEN '/banner^'
     WHEN regexp_matches(t, '(?s)/tracker/.*\.gif') THEN '/tracker/*.gif'
