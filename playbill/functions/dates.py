@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from playbill.functions.text import SPACE, col, let, strip
 
 # The date grammar accepted in listing text.
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 MONTH = (
     "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|"
     "aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
@@ -106,8 +106,7 @@ def _checked(parts: Column, as_of: AsOf) -> Column:
 
 
 def _month_number(name: Column) -> Column:
-    at = F.instr(F.lit(MONTHS), F.lower(F.substring(name, 1, 3)))
-    return ((at + 2) / 3).cast("int")
+    return F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(name, 1, 3))).cast("int")
 
 
 def _last_resort(text: Column, as_of: AsOf, zone: str) -> Column:

@@ -38,6 +38,7 @@ def read_registry(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def violation(url: Column | str, item: Column | str) -> Column:
     """First rule a scraper entry breaks, or null when it can run."""
+    # The messages below.
     text = F.coalesce(strip(col(url)), F.lit(""))
     scheme = F.lower(F.regexp_extract(text, SCHEME, 1))
     return (F.when(F.coalesce(col(url), F.lit("")) == "", "No url configured")
