@@ -214,21 +214,24 @@ def _start(block: Column, zone: str, rules: Column) -> Column:
 
     A zone is one of the time zone database or one the calendar defines; a time in any other is kept as it is written.
     """
-    line = F.regexp_extract(block, r"(?m)^(DTSTART[;:][^\r\n]*)", 1)
-    digits = F.regexp_extract(line, r":(\d{8}(?:T\d{6})?)", 1)
-    utc = line.rlike(r"\d{6}Z\s*$")
-    parts = F.struct(
-        F.when(F.length(digits) == 8, F.try_to_timestamp(digits, F.lit("yyyyMMdd")))
-        .otherwise(F.try_to_timestamp(digits, F.lit("yyyyMMdd'T'HHmmss"))).cast("timestamp_ntz").alias("at"),
-        F.when(utc, "UTC").when(_known(_tzid(block)), _tzid(block)).alias("zone"), _tzid(block).alias("tzid"))
+    def read(line: Column) -> Column:
+        digits = F.regexp_extract(line, r":(\d{8}(?:T\d{6})?)", 1)
+        tzid = F.when(line.startswith("DTSTART;"), _tzid(line))
+        return F.struct(
+            F.when(F.length(digits) == 8, F.try_to_timestamp(digits, F.lit("yyyyMMdd")))
+            .otherwise(F.try_to_timestamp(digits, F.lit("yyyyMMdd'T'HHmmss"))).cast("timestamp_ntz").alias("at"),
+            line.rlike(r"\d{6}Z\s*$").alias("utc"), tzid.alias("tzid"), _known(tzid).alias("known"))
 
     def local(p: Column) -> Column:
-        own = F.when(p["zone"].isNull(), _offset_at(rules, p["tzid"], p["at"]))
-        return let(own, lambda o: F.when(o.isNotNull(), F.convert_timezone(
-            F.lit("UTC"), F.lit(zone), p["at"] - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), o.cast("decimal(18,6)")))).otherwise(
-            F.convert_timezone(F.coalesce(p["zone"], F.lit(zone)), F.lit(zone), p["at"])))
+        named = F.when(p["utc"], "UTC").when(p["known"], p["tzid"])
+        moved = F.convert_timezone(F.coalesce(named, F.lit(zone)), F.lit(zone), p["at"])
+        own = let(_offset_at(rules, p["tzid"], p["at"]), lambda o: F.when(o.isNull(), moved).otherwise(F.convert_timezone(
+            F.lit("UTC"), F.lit(zone), p["at"] - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), o.cast("decimal(18,6)")))))
+        # Most times need no rules: they are UTC, floating or in a zone of the database.
+        return F.when(p["utc"] | p["tzid"].isNull() | p["known"], moved).otherwise(own)
 
-    return let(parts, local)
+    line = F.regexp_extract(block, r"(?m)^(DTSTART[;:][^\r\n]*)", 1)
+    return let(let(line, read), local)
 
 
 def ical_events(feeds: DataFrame, body: str = "body") -> DataFrame:

@@ -18,16 +18,28 @@ from playbill.functions.urls import abs_url
 # Fixed value: where JSON-LD stands in a page.
 SCRIPT = r"(?i)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>([\s\S]*?)</script>"
 SAMPLE = 5
+LAYERS = 8
 
 
 def nesting(body: Column) -> Column:
-    """How deep objects and arrays are nested in a JSON text; brackets inside its strings do not count."""
-    bare = F.regexp_replace(F.regexp_replace(body, r"(?s)\\.", ""), r'"[^"]*"', "")
-    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
-    step = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
-    return F.aggregate(brackets, step, lambda acc, c: let(
-        acc["at"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0),
-        lambda at: F.struct(at.alias("at"), F.greatest(acc["most"], at).alias("most"))), lambda acc: acc["most"])
+    """How deep objects and arrays are nested in a JSON text; brackets inside its strings do not count.
+
+    Empty pairs of brackets are taken away layer by layer. What has more layers than most pages have is read bracket by bracket.
+    """
+    bare = F.regexp_replace(F.regexp_replace(body, r"(?s)\\.", ""), r'"[^"]*"|[^\[\]{}"]+', "")
+    peeled = F.aggregate(
+        F.sequence(F.lit(1), F.lit(LAYERS)), F.struct(F.translate(bare, "[]", "{}").alias("rest"), F.lit(0).alias("most")),
+        lambda acc, _: F.struct(F.replace(acc["rest"], F.lit("{}"), F.lit("")).alias("rest"),
+                                (acc["most"] + F.when(acc["rest"] != "", 1).otherwise(0)).alias("most")))
+
+    def count(brackets: Column) -> Column:
+        step = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
+        return F.aggregate(F.split(brackets, ""), step, lambda acc, c: let(
+            acc["at"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0),
+            lambda at: F.struct(at.alias("at"), F.greatest(acc["most"], at).alias("most"))), lambda acc: acc["most"])
+
+    # What is left over is the outer layers.
+    return let(peeled, lambda p: p["most"] + F.when(p["rest"] == "", 0).otherwise(count(p["rest"])))
 
 
 def jsonld_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
