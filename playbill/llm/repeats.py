@@ -254,12 +254,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     mixed = space.keep(classes.join(several, "a"), "mixed")
     some = among(base.where(F.octet_length("text") >= length).select("_key", "text"), mixed.select(F.col("key").alias("_key")).distinct(), "left_semi").dropDuplicates(["_key"])
     at = F.greatest(F.col("pos") - reach, F.lit(0))
-    segments = mixed.join(some, mixed["key"] == some["_key"]).select(
+    # Stored, at every size alike, so that the texts are shuffled once for hot anchors and others together.
+    segments = space.keep(mixed.join(some, mixed["key"] == some["_key"]).select(
         "a", "members", "key", "pos", "n", (F.col("pos") - at).alias("left"),
-        F.substring(F.encode("text", "UTF-8"), at + 1, F.col("pos") - at + length).alias("seg"))
+        F.substring(F.encode("text", "UTF-8"), at + 1, F.col("pos") - at + length).alias("seg")), "segments")
+    space.free(repeated, classes, several, segments)
     parts = segments.where(F.col("members") <= hot).withColumn("part", F.lit(0).cast("bigint")).select(*COLUMNS)
     if several.where(F.col("members") > hot).limit(1).count():
-        groups, dealt = _dealt(space.keep(segments.where(F.col("members") > hot), "hot"), hot, length, reach, space)
+        groups, dealt = _dealt(segments.where(F.col("members") > hot), hot, length, reach, space)
         parts, full = parts.union(groups), full.union(dealt)
     near = _grouped(parts, "a", "part").mapInArrow(lambda b: repeat_spans(b, length), "key bigint, start int, end int")
     spans = full.union(near).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
