@@ -29,6 +29,23 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, found).otherwise(F.array().cast("array<string>"))
 
 
+def match_few(tokens: DataFrame, keys: DataFrame) -> DataFrame:
+    """As ``match_pairs``, for a bounded number of tokens, such as those of one page.
+
+    No anchor is chosen by how rare it is, so no vocabulary is counted: each key is read once and meets the tokens by grams. A
+    token's or key's anchor is its first gram; the other side holds it if it holds the text. At worst, with one first gram for all,
+    that is a test of each key against each of the few tokens.
+    """
+    few = tokens.select("token").where("token <> ''").distinct()
+    known = keys.select("key").where("key <> ''")
+    held = few.select("token", F.explode(F.concat(*[_grams(F.col("token"), n) for n in range(1, GRAM + 1)])).alias("gram"))
+    first = few.select("token", F.substring("token", 1, GRAM).alias("gram"))
+    inside = known.withColumn("gram", F.substring("key", 1, GRAM)).join(held, "gram").where(F.contains("token", "key"))
+    grams = known.select("key", F.explode(F.concat(*[_grams(F.col("key"), n) for n in range(1, GRAM + 1)])).alias("gram"))
+    around = grams.join(first, "gram").where(F.contains("key", "token") & (F.col("key") != F.col("token")))
+    return inside.select("token", "key").unionByName(around.select("token", "key")).distinct()
+
+
 def match_pairs(tokens: DataFrame, keys: DataFrame) -> DataFrame:
     """Distinct (token, key) pairs that match, from columns of those names.
 
@@ -42,13 +59,14 @@ def match_pairs(tokens: DataFrame, keys: DataFrame) -> DataFrame:
 
     text = F.col("text")
     index = texts.select("*", F.explode(F.concat(*[_grams(text, n) for n in range(1, GRAM + 1)])).alias("gram"))
-    spread = index.groupBy("gram").agg(F.count("*").alias("n"))
 
-    own = texts.select("*", F.explode(
-        F.when(F.length(text) < GRAM, F.array(text)).otherwise(_grams(text, GRAM))).alias("gram"))
+    # Texts shorter than a gram are their own anchors, so only whole grams are counted.
+    own = texts.where(F.length(text) >= GRAM).select("*", F.explode(_grams(text, GRAM)).alias("gram"))
+    spread = own.groupBy("gram").agg(F.count("*").alias("n"))
     anchors = (own.join(spread, "gram")
                .groupBy("text", "is_token", "is_key")
-               .agg(F.min(F.struct("n", "gram"))["gram"].alias("gram")))
+               .agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+               .unionByName(texts.where(F.length(text) < GRAM).withColumn("gram", text)))
 
     inner = anchors.select("gram", F.col("text").alias("y"), F.col("is_token").alias("y_token"),
                            F.col("is_key").alias("y_key"))

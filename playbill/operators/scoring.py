@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from playbill.functions.dates import AsOf, moment
 from playbill.functions.text import parse_tags, strip
-from playbill.operators.matching import match_pairs
+from playbill.operators.matching import match_few, match_pairs
 
 WEEK_SECONDS = 7 * 24 * 60 * 60
 #: Scores are added up as decimals, so that their order does not depend on the order of the additions.
@@ -46,14 +46,15 @@ def _tokens(looks: DataFrame) -> DataFrame:
         "genre_tags", "artist", "t.*")
 
 
-def match_explain(looks: DataFrame, weights: DataFrame, decayed: DataFrame) -> DataFrame:
-    """(genre_tags, artist, key, base, boost): what each combination matched."""
+def match_explain(looks: DataFrame, weights: DataFrame, decayed: DataFrame, few: bool = False) -> DataFrame:
+    """(genre_tags, artist, key, base, boost): what each combination matched. ``few`` says that there are few combinations."""
     # A word may be a weighted genre and a signal tag; its two rows meet again below.
     keys = weights.select(F.col("genre").alias("key"), F.col("weight").cast("double").alias("weight"),
                           F.lit(None).cast("double").alias("decayed")).unionByName(
         decayed.select(F.col("tag").alias("key"), F.lit(None).cast("double").alias("weight"), "decayed"))
     tokens = _tokens(looks)
-    pairs = match_pairs(tokens.select("token"), keys.select("key")).join(keys, "key")
+    match = match_few if few else match_pairs
+    pairs = match(tokens.select("token"), keys.select("key")).join(keys, "key")
     hits = tokens.join(pairs, "token").where(F.col("from_tags") | F.col("decayed").isNotNull())
     return (hits.groupBy("genre_tags", "artist", "key")
             .agg(F.coalesce(F.max(F.when(F.col("from_tags"), F.col("weight"))), F.lit(0.0)).alias("base"),
@@ -66,20 +67,20 @@ def _looks(listings: DataFrame) -> DataFrame:
         F.coalesce("artist", F.lit("")).alias("artist")).distinct()
 
 
-def scorer(weights: DataFrame, decayed: DataFrame) -> Callable[[DataFrame], DataFrame]:
+def scorer(weights: DataFrame, decayed: DataFrame) -> Callable[..., DataFrame]:
     """``score_listings`` with its preferences filled in, as views and pages take it."""
-    return lambda listings: score_listings(listings, weights, decayed)
+    return lambda listings, few=False: score_listings(listings, weights, decayed, few)
 
 
-def score_listings(listings: DataFrame, weights: DataFrame, decayed: DataFrame) -> DataFrame:
-    """Add base, boost and score; unmatched listings get 0.
+def score_listings(listings: DataFrame, weights: DataFrame, decayed: DataFrame, few: bool = False) -> DataFrame:
+    """Add base, boost and score; unmatched listings get 0. ``few`` is for listings of a bounded number, such as a page.
 
     The final join is keyed on the combination. It is unhinted, so a small score
     table is broadcast and a large one is sort-merged, where adaptive execution
     splits a combination shared by very many listings. What each combination
     matched stays available as rows, from ``match_explain``.
     """
-    hits = match_explain(_looks(listings), weights, decayed)
+    hits = match_explain(_looks(listings), weights, decayed, few)
     scores = hits.groupBy(F.col("genre_tags").alias("look_tags"), F.col("artist").alias("look_artist")).agg(
         *[F.sum(F.col(c).cast(EXACT)).cast("double").alias(c) for c in ("base", "boost")])
     on = ((F.coalesce(listings["genre_tags"], F.lit("")) == scores["look_tags"])

@@ -21,10 +21,10 @@ from playbill.operators.scoring import score_listings
 TOP_DEFAULT, TOP_MAX, TOP_DAYS = 50, 100, 30
 DAY_LABEL = "EEEE, MMM d"
 #: Adds base, boost and score to listings; see ``scoring.scorer``.
-Score = Callable[[DataFrame], DataFrame]
+Score = Callable[..., DataFrame]
 
 
-def unscored(listings: DataFrame) -> DataFrame:
+def unscored(listings: DataFrame, few: bool = False) -> DataFrame:
     return listings
 
 
@@ -50,7 +50,7 @@ def scored_page(listings: DataFrame, score: Score, sort: str | None = None, page
     """One page with scores. By date or venue only the page's rows are scored; by relevance all are, then the page is cut."""
     if sort == "relevance":
         return page(score(listings), sort, page_no, page_size)
-    return score(page(listings, sort, page_no, page_size)).orderBy(*order_by(sort))
+    return score(page(listings, sort, page_no, page_size), few=True).orderBy(*order_by(sort))
 
 
 def scored_page_after(listings: DataFrame, score: Score, last: tuple, page_size: int | None = None,
@@ -58,7 +58,7 @@ def scored_page_after(listings: DataFrame, score: Score, last: tuple, page_size:
     """The page after a sort key, with scores; see ``page_after``."""
     if sort == "relevance":
         return page_after(score(listings), last, page_size, sort)
-    return score(page_after(listings, last, page_size, sort)).orderBy(*order_by(sort))
+    return score(page_after(listings, last, page_size, sort), few=True).orderBy(*order_by(sort))
 
 
 def week_days(listings: DataFrame, as_of: dt.date, f: Filters = Filters(), score: Score = unscored) -> DataFrame:

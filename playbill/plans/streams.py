@@ -9,6 +9,7 @@ from playbill.plans.core import FIRST_TIME
 from playbill.plans.preference import LATEST, LOG, SIGNAL_SQL, _log_text, _signal_text
 from playbill.plans.registry import query
 from playbill.plans.tables import LISTINGS, NORMAL, SIGNALS
+from playbill.operators.feedback import record_signals
 from playbill.operators.ingest import normalize
 from playbill.schema import MUTABLE
 from playbill.sinks import logs, snapshots
@@ -97,6 +98,21 @@ def _(spark, d):
     return _signal_text(jobs.latest_per_key(jobs.signal_totals(marks), ["tag"], "signals", "update"))
 
 
+@query("stream_interest_signals", f"""WITH {LISTINGS}, met AS (
+    SELECT l.genre_tags, l.artist, e.ts FROM events e JOIN listings l ON l.id = e.event_id - e.event_id % 3 WHERE e.event_type = 'purchase'),
+  signals AS (SELECT tag, CAST(count(*) AS DOUBLE) AS signal_count, max(ts) AS last_signal FROM (
+    SELECT unnest(string_split(genre_tags, ', ')) AS tag, ts FROM met
+    UNION ALL SELECT lower(artist), ts FROM met WHERE artist <> '') GROUP BY tag)
+  SELECT {SIGNAL_SQL} FROM signals""")
+def _(spark, d):
+    """Purchases mark the listing of an earlier event. Listings land in four files, marks in one; neither waits for the other."""
+    landed = _several_files(spark, d, jobs.new_folder(spark, "landed"))
+    found = tb.event_stream(spark, d).where("event_type = 'purchase'")
+    marks = found.select((F.col("event_id") - F.col("event_id") % 3).alias("id"), "ts")
+    met = jobs.interest_signals(marks, tb.listings(spark, d, landed), "60 days", "60 days")
+    return _signal_text(record_signals(jobs.appended(met, "interest")))
+
+
 @query("stream_day_counts", f"WITH {LISTINGS} SELECT event_date, count(*) AS n FROM listings WHERE NOT hidden GROUP BY event_date")
 def _(spark, d):
     shown = tb.listings(spark, d, tb.event_stream(spark, d)).where(~F.col("hidden")).select(F.col("ts").cast("timestamp").alias("at"))

@@ -29,6 +29,18 @@ def drain(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None]
      .trigger(availableNow=True).foreachBatch(each).start().awaitTermination())
 
 
+def appended(stream: DataFrame, job: str) -> DataFrame:
+    """All rows a stream in append mode emits."""
+    spark, schema = stream.sparkSession, stream.schema
+    folder = new_folder(spark, job)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
+
+    drain(stream, folder, keep)
+    return spark.read.schema(schema).parquet(f"{folder}/out").select(*schema.names)
+
+
 def latest_per_key(stream: DataFrame, keys: list[str], job: str, mode: str) -> DataFrame:
     """Final rows of a streaming aggregate: the newest emitted row of each key."""
     spark = stream.sparkSession
@@ -93,6 +105,20 @@ def signal_totals(marks: DataFrame) -> DataFrame:
         F.count("*").cast("double").alias("signal_count"), F.max("ts").alias("last_signal"))
 
 
+def interest_signals(marks: DataFrame, listings: DataFrame, delay: str, within: str) -> DataFrame:
+    """(tag, ts) rows of a stream of marks (id, ts) that meets a stream of listings (id, genre_tags, artist, ts).
+
+    Either may come first, up to ``within`` apart by their own times; rows later than ``delay`` are lost. Both bounds
+    together tell how long a row is held, so the state stays bounded. Repeated marks count again; a null id meets nothing.
+    """
+    marked = marks.select("id", F.col("ts").cast("timestamp").alias("marked_at")).withWatermark("marked_at", delay)
+    listed = listings.select(
+        F.col("id").alias("listing_id"), "genre_tags", "artist", F.col("ts").cast("timestamp").alias("listed_at")).withWatermark("listed_at", delay)
+    near = F.expr(f"marked_at >= listed_at - interval {within} AND marked_at <= listed_at + interval {within}")
+    met = marked.join(listed, (F.col("id") == F.col("listing_id")) & near)
+    return signal_rows(met.select("genre_tags", "artist", F.col("marked_at").cast("timestamp_ntz").alias("ts")))
+
+
 def day_counts(listings: DataFrame, event_time: str, delay: str) -> DataFrame:
     """Listings per calendar day as tumbling one-day windows."""
     windowed = listings.withWatermark(event_time, delay).groupBy(F.window(event_time, "1 day"))

@@ -5,7 +5,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from playbill.operators.matching import match_pairs
+from playbill.operators.matching import match_few, match_pairs
 
 
 def brute(tokens, keys):
@@ -13,11 +13,15 @@ def brute(tokens, keys):
 
 
 def pairs(spark, tokens, keys):
-    df = match_pairs(spark.createDataFrame([(t,) for t in tokens], "token string"),
-                     spark.createDataFrame([(k,) for k in keys], "key string"))
-    rows = [tuple(r) for r in df.collect()]
-    assert len(rows) == len(set(rows))
-    return set(rows)
+    found = []
+    for match in (match_pairs, match_few):
+        df = match(spark.createDataFrame([(t,) for t in tokens], "token string"),
+                   spark.createDataFrame([(k,) for k in keys], "key string"))
+        rows = [tuple(r) for r in df.collect()]
+        assert len(rows) == len(set(rows))
+        found.append(set(rows))
+    assert found[0] == found[1]
+    return found[0]
 
 
 def test_random_vocabularies(spark):
