@@ -1,5 +1,8 @@
 """Streams against their batch twins, on files that arrive in two parts."""
 
+import datetime as dt
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +139,27 @@ def test_stream_upsert_over_two_files(spark, halves, tmp_path):
     assert snapshots.current(spark, root).count() == len(keys)
 
 
+def _landing(spark, folder, schema, parts):
+    """A stream of one file a micro-batch, in the given order."""
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{i}")
+    kind = spark.read.parquet(f"{folder}/0").schema
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+
+
+def test_interest_meets_listings_that_come_later(spark, tmp_path):
+    """Marks before their listing, after it, repeated, without an id, and too far from it."""
+    day = lambda n: dt.datetime(2024, 1, n, 20, 0)
+    listings = [[(1, "rock, indie", "Ann", day(1)), (2, "jazz", None, day(1))], [(3, "", "Bo", day(3)), (4, None, "", day(3))]]
+    marks = [[(3, day(2)), (1, day(2)), (None, day(2))], [(1, day(3)), (4, day(3)), (9, day(3)), (2, day(9))]]
+    got = jobs.appended(jobs.interest_signals(
+        _landing(spark, str(tmp_path / "m"), "id bigint, ts timestamp_ntz", marks),
+        _landing(spark, str(tmp_path / "l"), "id bigint, genre_tags string, artist string, ts timestamp_ntz", listings),
+        "10 days", "3 days"), "interest")
+    assert Counter(map(tuple, got.collect())) == Counter(
+        [(tag, day(n)) for n in (2, 3) for tag in ("rock", "indie", "ann")] + [("bo", day(2))])
+
+
 def test_append_mode_withholds_open_days(spark):
     events = tb.event_stream(spark, FOLDER).select(F.col("ts").cast("timestamp").alias("at"))
     got = {tuple(r) for r in jobs.latest_per_key(jobs.day_counts(events, "at", "1 day"), ["event_date"], "days", "append").collect()}
