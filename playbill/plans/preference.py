@@ -9,7 +9,7 @@ from playbill.operators import feedback as fb
 from playbill.operators import runs as rn
 from playbill.operators import scoring as sc
 from playbill.operators import views as vw
-from playbill.operators.filters import Filters, apply_filters, relevance_order
+from playbill.operators.filters import Filters, apply_filters, count_listings, deep_page, relevance_order
 from playbill.operators.matching import match_pairs
 from playbill.plans.registry import query
 from playbill.plans.tables import (
@@ -139,6 +139,16 @@ def _(spark, d):
     return vw.scored_page(_shown(spark, d), _scorer(spark, d), "nonsense", 3).select(*PAGE, "score")
 
 
+@query("page_deep", f"""WITH {HITS}, numbered AS (
+    SELECT *, row_number() OVER (ORDER BY {DATE_SQL}) - 1 AS place, count(*) OVER () // 20 AS half FROM scored WHERE NOT hidden)
+  SELECT {', '.join(PAGE)}, round(score, 4) AS score FROM numbered WHERE place BETWEEN half // 2 * 20 AND half // 2 * 20 + 19""")
+def _(spark, d):
+    """The page of 20 in the middle of all."""
+    shown = _shown(spark, d)
+    middle = count_listings(shown).first()[0] // 20 // 2
+    return _scorer(spark, d)(deep_page(shown, middle + 1, 20, near=100), few=True).select(*PAGE, "score")
+
+
 @query("page_relevance", f"{PAGED} ORDER BY {RANK_SQL} LIMIT 50 OFFSET 50")
 def _(spark, d):
     return vw.scored_page(_shown(spark, d), _scorer(spark, d), "relevance", 2).select(*PAGE, "score")

@@ -38,6 +38,16 @@ def test_paging_by_key_visits_every_row_once(table):
     assert seen == expected
 
 
+def test_deep_pages_equal_pages(spark):
+    """One hot day and time, days and times missing, ids far apart, the last page and one past the end."""
+    rows = ([(i * i, None if i % 5 == 0 else dt.date(2024, 1, 7), None if i % 3 == 0 else "20:00") for i in range(120)]
+            + [(10**12 + i, dt.date(2024, 1, 8 + i % 2), f"1{i % 4}:00") for i in range(40)])
+    many = spark.createDataFrame(rows, "id bigint, event_date date, event_time string").repartition(3)
+    for number in (1, 2, 5, 9, 14, 16, 17):
+        assert fl.deep_page(many, number, 10, near=4).collect() == fl.page(many, "date", number, 10).collect()
+    assert fl.deep_page(many.where("id < 0"), 3, 10, near=4).collect() == []
+
+
 def test_week_always_has_seven_days(table):
     for as_of, busy in ((D(2024, 1, 10), 7), (D(2030, 5, 5), 0)):
         rows = vw.week_counts(table, as_of).collect()
