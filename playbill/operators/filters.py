@@ -211,13 +211,38 @@ def facet_tags(listings: DataFrame) -> DataFrame:
     return texts.select(F.explode(parse_tags("genre_tags")).alias("tag")).distinct().orderBy("tag")
 
 
-def facets_all(listings: DataFrame) -> DataFrame:
-    """Every facet value in one pass over the table, as (facet, value) rows."""
+def _facet_rows(combos: DataFrame) -> DataFrame:
+    """(facet, value) rows, and the other columns, of combinations of tags, city and source."""
+    rest = [c for c in combos.columns if c not in ("genre_tags", "city", "source_name")]
     pairs = F.array_append(F.array_append(
         F.transform(parse_tags("genre_tags"), lambda t: F.struct(F.lit("tag").alias("facet"), t.alias("value"))),
         F.struct(F.lit("city").alias("facet"), F.col("city").alias("value"))),
         F.struct(F.lit("source").alias("facet"), F.col("source_name").alias("value")))
-    combos = listings.select("genre_tags", "city", "source_name").distinct()
-    rows = combos.select(F.explode(pairs).alias("p")).select("p.*")
+    rows = combos.select(*rest, F.explode(F.array_distinct(pairs)).alias("p")).select("p.*", *rest)
     empty_city = (F.col("facet") == "city") & (F.coalesce("value", F.lit("")) == "")
-    return rows.where(~empty_city).distinct().orderBy("facet", "value")
+    return rows.where(~empty_city)
+
+
+def facets_all(listings: DataFrame) -> DataFrame:
+    """Every facet value in one pass over the table, as (facet, value) rows."""
+    return _facet_rows(listings.select("genre_tags", "city", "source_name").distinct()).distinct().orderBy("facet", "value")
+
+
+def facet_counts(listings: DataFrame) -> DataFrame:
+    """(facet, value, n): listings per facet value; a tag a listing repeats counts once."""
+    combos = listings.groupBy("genre_tags", "city", "source_name").agg(F.count("*").alias("n"))
+    return _facet_rows(combos).groupBy("facet", "value").agg(F.sum("n").alias("n"))
+
+
+def facet_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What a batch changes in ``facet_counts``, from the rows it touched as they were and as they are; new rows have no before."""
+    return _sum_counts(facet_counts(before).withColumn("n", -F.col("n")).unionByName(facet_counts(after))).where("n <> 0")
+
+
+def change_facets(counts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Kept facet counts after a batch, equal to a scan of the whole table; values nobody has any more go."""
+    return _sum_counts(counts.unionByName(changes)).where("n > 0")
+
+
+def _sum_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("facet", "value").agg(F.sum("n").alias("n"))

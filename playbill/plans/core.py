@@ -310,6 +310,20 @@ def _(spark, d):
     return fl.facets_all(listings(spark, d))
 
 
+@query("facets_kept", f"""WITH {TWO_RUNS}, stored AS (SELECT * FROM ranked WHERE newest = 1)
+  SELECT 'city' AS facet, city AS value, count(*) AS n FROM stored WHERE city <> '' GROUP BY city
+  UNION ALL SELECT 'source', source_name, count(*) FROM stored GROUP BY source_name
+  UNION ALL SELECT 'tag', tag, count(DISTINCT dedupe_key) FROM (
+    SELECT dedupe_key, unnest(string_split(genre_tags, ', ')) AS tag FROM stored) GROUP BY tag""")
+def _(spark, d):
+    """Counted once for the stored table, then changed by a batch from the rows it touches alone."""
+    stored, late = _first_and_next(spark, d)
+    batch = ingest.normalize(late)
+    before = stored.join(batch.select("dedupe_key").distinct(), "dedupe_key", "left_semi")
+    after = ingest.upsert(before, batch, ntz(NEXT_TIME))
+    return fl.change_facets(fl.facet_counts(stored), fl.facet_changes(before, after))
+
+
 @query("parse_tags", f"""WITH {RAW} SELECT seq, unnest(list_transform(string_split(genre_tags, ','), lambda x: lower(trim(x)))) AS tag FROM raw""")
 def _(spark, d):
     return raw_listings(spark, d).select("seq", F.explode(text.parse_tags("genre_tags")).alias("tag"))

@@ -48,6 +48,20 @@ def test_deep_pages_equal_pages(spark):
     assert fl.deep_page(many.where("id < 0"), 3, 10, near=4).collect() == []
 
 
+def test_kept_facets_follow_changes(spark):
+    """A value that goes, one that comes, a tag repeated in a listing, empty cities and null tags."""
+    kind = "id int, genre_tags string, city string, source_name string"
+    old = [(1, "rock, rock, jazz", "Oslo", "a"), (2, "jazz", "", "b"), (3, None, "Rome", None)]
+    new = {1: (1, "rock", "Bonn", "a"), 3: (3, "pop", None, None), 4: (4, "", "Oslo", "c")}
+    kept = fl.facet_counts(spark.createDataFrame(old, kind))
+    changes = fl.facet_changes(spark.createDataFrame([r for r in old if r[0] in new], kind), spark.createDataFrame(list(new.values()), kind))
+    rows = [new.get(r[0], r) for r in old] + [new[4]]
+    got = {tuple(r) for r in fl.change_facets(kept, changes).collect()}
+    assert got == {tuple(r) for r in fl.facet_counts(spark.createDataFrame(rows, kind)).collect()}
+    assert ("tag", "rock", 1) in got and ("city", "Bonn", 1) in got and ("source", "c", 1) in got
+    assert {tuple(r)[:2] for r in fl.facets_all(spark.createDataFrame(rows, kind)).collect()} == {r[:2] for r in got}
+
+
 def test_week_always_has_seven_days(table):
     for as_of, busy in ((D(2024, 1, 10), 7), (D(2030, 5, 5), 0)):
         rows = vw.week_counts(table, as_of).collect()
