@@ -15,7 +15,7 @@ from playbill.operators.ingest import normalize, upsert
 from playbill.plans.parsing import HREFS, WEST, classify_sql
 from playbill.plans.registry import query
 from playbill.plans.tables import AS_OF, SHOWS, _pick, norm_sql, ntz, read, shows
-from playbill.session import stored
+from playbill.session import stored, work_folder
 from playbill.sources import feeds as fd
 from playbill.sources import html as ht
 from playbill.sources import jsonld as jl
@@ -469,6 +469,59 @@ def _(spark, d):
 
 
 
+# ── feed files larger than a task ──────────────────────────────────────────
+
+FILE_FEED = """concat('Feed ', user_id % 7) AS source_name, CASE WHEN user_id % 7 % 2 = 0 THEN concat('Hall ', user_id % 7) ELSE {other} END AS venue,
+    concat('City ', user_id % 7) AS city"""
+
+
+def _landed_files(spark, d, text, ending):
+    """One text a row as files below a folder for each of seven feeds, and the feeds' registry, whose ``feed`` is the folder."""
+    path = work_folder(spark, "landed")
+    feed = (F.col("user_id") % 7).alias("feed")
+    shown = shows(spark, d)
+    shown.select(text.alias("value"), feed).write.partitionBy("feed").option("lineSep", ending).text(path)
+    k = F.col("feed")
+    known = read(spark, d, "events").select(feed).distinct()
+    return path, known.select(
+        _text("feed=", k).alias("folder"), _text("Feed ", k).alias("source_name"), _text("Feed ", k).alias("feed_name"),
+        F.when(k % 2 == 0, _text("Hall ", k)).alias("feed_venue"), _text("City ", k).alias("feed_city"), F.lit(None).cast("string").alias("feed_category"))
+
+
+def _with_feed(found, known):
+    return found.withColumn("folder", F.substring_index("file", "/", 1)).join(known, "folder")
+
+
+@query("read_rss_files", f"""WITH {SHOWS} SELECT p_name || ' & co' AS title, CAST(ts AS DATE) AS date, strftime(ts, '%H:%M') AS time,
+    {FILE_FEED.format(other="concat('Feed ', user_id % 7)")}, 'https://f.example/?a=1&b=' || event_id AS ticket_url,
+    {classify_sql("p_name || ' & co' || CASE WHEN user_id % 5 = 0 THEN ' Stand-up night' ELSE '' END", "'music'")} AS category FROM shows""")
+def _(spark, d):
+    """Items in files of a few feeds, each file read in parts; half of them are Atom entries."""
+    user, at = F.col("user_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    about = F.when(user % 5 == 0, "&lt;p&gt;Stand-up night&lt;/p&gt;").otherwise("")
+    link = _text("https://f.example/?a=1&amp;b=", F.col("event_id"))
+    item = _text("<item>\n<title>", F.col("p_name"), " & co</title><link>", link, "</link><description>", about, "</description><pubDate>", at, "</pubDate></item>")
+    entry = _text('<entry><title>', F.col("p_name"), " &amp; co</title><link href='", link, "'/><content>", about, "</content><updated>", at, "</updated></entry>")
+    path, known = _landed_files(spark, d, F.when(user % 2 == 0, item).otherwise(entry), "\n<items/></items>\n")
+    rows = fd.map_rss(_with_feed(fd.rss_file_items(spark, path), known), AS_OF, "UTC", ["file"])
+    return rows.select("title", "date", "time", "source_name", "venue", "city", "ticket_url", "category")
+
+
+@query("read_ical_files", f"""WITH {SHOWS}, told AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN timezone('UTC', timezone('America/New_York', ts)) ELSE ts END AS s FROM shows)
+  SELECT p_name AS title, CAST(s AS DATE) AS date, strftime(s, '%H:%M') AS time, {FILE_FEED.format(other="n_name")},
+    'https://c.example/' || event_id AS ticket_url FROM told""")
+def _(spark, d):
+    """Events in files of a few calendars, each file read in parts; its zones stand at any place of it."""
+    at = F.date_format("ts", "yyyyMMdd'T'HHmmss")
+    event = _text("BEGIN:VEVENT\r\nDTSTART", F.when(F.col("user_id") % 2 == 0, _text(";TZID=Eastern Standard Time:", at)).otherwise(_text(":", at, "Z")),
+                  "\r\nSUMMARY:", F.replace("p_name", F.lit(" "), F.lit("\r\n  ")), "\r\nLOCATION:", F.col("n_name"),
+                  "\r\nURL:https://c.example/", F.col("event_id"), "\r\nEND:VEV\r\n ENT\r\n", F.when(F.col("event_id") % 2 == 0, EASTERN).otherwise(""))
+    path, known = _landed_files(spark, d, event, EASTERN)
+    rows = fd.map_ical(_with_feed(fd.ical_file_events(spark, path), known), AS_OF, "UTC", ["file"])
+    return rows.select("title", "date", "time", "source_name", "venue", "city", "ticket_url")
+
+
+
 BROKEN = "event_type = 'error'"
 
 

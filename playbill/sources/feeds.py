@@ -7,12 +7,14 @@ feed_city, feed_category.
 from __future__ import annotations
 
 import zoneinfo
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playbill.functions.dates import AsOf, parse_date, parse_time
 from playbill.functions.text import classify, let, project_where, squash, truthy
+from playbill.sources.records import read_records
 
 RSS_ITEM = "title string, link string, pubDate string, description string, enclosure struct<_url: string>"
 ITEM = r"(?is)<item\b.*?</item>"
@@ -92,12 +94,19 @@ def feed_rejects(feeds: DataFrame, items: DataFrame, records: DataFrame, keys: l
     return broken.unionByName(rows)
 
 
+def _read_item(text: Column, schema: str) -> Column:
+    return let(F.from_xml(text, schema), lambda strict: F.when(
+        _empty(strict, schema), F.from_xml(repaired(text), schema)).otherwise(strict))
+
+
 def rss_items(feeds: DataFrame, body: str = "body") -> DataFrame:
-    """One row per RSS item or Atom entry of each document, parsed into ``item``, with its ``pos``."""
+    """One row per RSS item or Atom entry of each document, parsed into ``item``, with its ``pos``.
+
+    A document is one row, held whole by its task; ``rss_file_items`` reads large files in parts.
+    """
     def found(pattern: str, schema: str) -> Column:
         texts = F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(pattern), F.lit(0))
-        return F.transform(texts, lambda x: let(F.from_xml(x, schema), lambda strict: F.when(
-            _empty(strict, schema), F.from_xml(repaired(x), schema)).otherwise(strict)))
+        return F.transform(texts, lambda x: _read_item(x, schema))
 
     rest = [c for c in feeds.columns if c != body]
     both = F.concat(found(ITEM, RSS_ITEM), F.transform(found(ENTRY, ATOM_ENTRY), _of_entry))
@@ -105,6 +114,18 @@ def rss_items(feeds: DataFrame, body: str = "body") -> DataFrame:
     return feeds.select(*rest, F.posexplode(both).alias("pos", "item"))
 
 
+def rss_file_items(spark: SparkSession, path: str, **options: Any) -> DataFrame:
+    """(file, pos, item) of RSS and Atom files of any size: the items ``rss_items`` finds in their whole texts.
+
+    ``pos`` is the byte an item begins at. Registry fields come by a join on ``file``.
+    """
+    found = read_records(spark, path, ["item", "entry"], **options)
+    item = F.when(F.col("kind") == "item", _read_item(F.col("text"), RSS_ITEM)).otherwise(
+        let(_read_item(F.col("text"), ATOM_ENTRY), _of_entry))
+    # A generator of one row, so that later filters and projections cannot repeat the parsing.
+    return found.select("file", F.col("at").alias("pos"), F.explode(F.array(item)).alias("item"))
+
+
 def read_rss_items(spark: SparkSession, path: str) -> DataFrame:
     """Items of RSS files, split by the reader itself."""
     return spark.read.format("xml").schema(RSS_ITEM).option("rowTag", "item").load(path).select(
@@ -243,6 +264,22 @@ def ical_events(feeds: DataFrame, body: str = "body") -> DataFrame:
         F.regexp_extract_all("_body", F.lit(VEVENT), F.lit(0))).alias("pos", "vevent"))
 
 
+def ical_file_events(spark: SparkSession, path: str, **options: Any) -> DataFrame:
+    """(file, pos, zones, vevent) of calendar files of any size: the events ``ical_events`` finds in their whole texts.
+
+    ``pos`` is the byte an event begins at. A file's own zones are gathered from wherever they stand in it and meet its
+    events by a join on ``file``; a file defines few, so the rules of a file are one small row.
+    """
+    found = read_records(spark, path, ["vevent", "vtimezone"], **options)
+    plain = found.select("file", "kind", "at", F.regexp_replace("text", r"\r?\n[ \t]", "").alias("text"))
+    rules = plain.where("kind = 'vtimezone'").groupBy("file", "text").agg(F.min("at").alias("at")).groupBy("file").agg(
+        F.array_sort(F.collect_list(F.struct("at", "text"))).alias("defined"))
+    zones = rules.select("file", zone_rules(F.array_join(F.col("defined.text"), "\n")).alias("zones"))
+    events = plain.where("kind = 'vevent'").select("file", F.col("at").alias("pos"), F.col("text").alias("vevent"))
+    return events.join(zones, "file", "left").select("file", "pos", F.coalesce("zones", F.array().cast(
+        zones.schema["zones"].dataType)).alias("zones"), "vevent")
+
+
 def zone_rejects(events: DataFrame, keys: list[str]) -> DataFrame:
     """Events whose zone is neither in the time zone database nor defined by their calendar; they are kept as local times."""
     tzid = _tzid(F.col("vevent"))
