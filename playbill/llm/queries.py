@@ -103,7 +103,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of every document; the two base rules come first, the others in their estimated best order."""
     docs = read(spark, folder, "documents")
     rest = [r for r in quality.RULES if r not in quality.BASE]
-    judged = quality.cascade(quality.with_measures(docs), quality.BASE + quality.order(rest, quality.estimate(docs, rest)))
+    judged = quality.cascade(quality.with_measures(docs), quality.BASE + quality.best_order(docs, rest))
     failed = F.coalesce(F.col("rejected_by").isin([r.name for r in quality.BASE]), F.lit(False))
     return judged.select("doc_id", *quality.MEASURES, failed.alias("base_failed"), "kept")
 

@@ -71,6 +71,31 @@ def test_estimates_come_from_a_bounded_sample(documents):
     assert share["few_words"] == 0.5 and share["symbols"] == 0.0 and all(c > 0 for _, _, c in found)
 
 
+def test_estimates_repeat_and_fit_the_work(documents):
+    docs = documents([(i, (PROSE if i % 3 else PROSE.upper()) * (i % 7 + 1)) for i in range(300)])
+    found = q.estimate(q.sample_of(docs), q.RULES)
+    again = [q.estimate(q.sample_of(d), q.RULES) for d in (docs, docs.repartition(7), docs.orderBy(F.desc("doc_id")).coalesce(1))]
+    assert [[(n, round(s, 9), round(c, 6)) for n, s, c in e] for e in again] == [[(n, round(s, 9), round(c, 6)) for n, s, c in found]] * 3
+    by = {n: c for n, _, c in found}
+    assert by["few_words"] < by["stutter"] < by["word_length"] < by["capitals"] < by["repeated_words"]
+    names = [r.name for r in q.order(q.RULES, found)]
+    assert names.index("capitals") < names.index("ellipsis_lines") and [r.name for r in q.order(q.RULES, again[1])] == names
+
+
+def test_the_sample_is_spread_and_bounded(documents):
+    docs = documents([(i, f"{i} " * 100) for i in range(400)])
+    some = [int(r["text"].split()[0]) for r in q.sample_of(docs, 40).collect()]
+    assert len(some) == 40 and max(some) > 200 > min(some)
+    assert 1 < q.sample_of(docs, 40, 1500).count() < 8 and q.sample_of(docs, 40, 1).count() == 1
+    assert q.sample_of(docs.where("false")).count() == 0 and q.sample_of(docs.select("text"), 9).count() == 9
+    assert [(s, c) for _, s, c in q.estimate(docs.where("false"), q.RULES)] == [(0.0, 0.0)] * len(q.RULES)
+
+
+def test_passing_computes_measures_inside_the_cascade(documents):
+    plan = q.passing(documents([(1, PROSE)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(f"{name}#" in plan for name in q.MEASURES) and "CASE WHEN" in plan
+
+
 def test_clashing_columns_and_repeated_rows(documents):
     docs = documents([(1, PROSE), (1, PROSE), (None, None)]).withColumns({"KEPT": F.lit(1), "_words": F.lit(2), "n_words": F.lit("x")})
     out = q.quality_filter(docs)
