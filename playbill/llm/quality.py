@@ -163,11 +163,16 @@ BASE = RULES[:2]
 def sample_of(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """At most ``sample_rows`` whole texts, those with the smallest hash of ``doc_id`` (of the text where there is none).
 
-    Texts in that order go in while they have ``sample_chars`` characters together; the first always does. A task keeps no more than
-    ``sample_rows`` rows, wherever they stand in the table, and nothing passes the driver.
+    Rows of one hash count once, with their least text. Texts in order of the hash go in while they have ``sample_chars``
+    characters together; the first always does. The number of rows tells below which hash about eight times as many rows lie as are wanted,
+    so what leaves the scan does not grow with the table, and nothing passes the driver.
     """
     key = "doc_id" if "doc_id" in docs.columns else "text"
-    least = docs.select("text", F.xxhash64(key).alias("h")).orderBy("h").limit(sample_rows)
+    share = 8 * sample_rows / max(docs.count(), 1)
+    hashed = docs.select("text", F.xxhash64(key).alias("h"))
+    if share < 1:
+        hashed = hashed.where(F.col("h") < int(-(2**63) + share * 2**64))
+    least = hashed.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(sample_rows)
     so_far = F.sum(F.char_length(text_of())).over(Window.orderBy("h", "text").rowsBetween(Window.unboundedPreceding, 0))
     first = F.row_number().over(Window.orderBy("h", "text")) == 1
     return least.select("text", (first | (so_far <= sample_chars)).alias("in")).where("in").select("text")
