@@ -94,15 +94,19 @@ def upsert(target: DataFrame | None, batch: DataFrame, batch_time: Column) -> Da
     return merged.select("dedupe_key", "last.*", "first.*", "updated_at")
 
 
-def upsert_counts(target: DataFrame | None, raw: DataFrame) -> DataFrame:
+def upsert_counts(target: DataFrame | None, raw: DataFrame, clean: DataFrame | None = None) -> DataFrame:
     """One row: found, added, updated, invalid.
 
-    A key repeated inside the batch is added once and updated after that.
+    A key repeated inside the batch is added once and updated after that. ``clean`` is what ``normalize`` made of
+    ``raw``, if a caller keeps it: then the keys are not computed again, and of ``raw`` only rows are counted.
     """
-    flagged = raw.select(
-        is_valid().alias("ok"),
-        F.when(is_valid(), dedupe_key(strip("title"), "date", strip("venue"))).alias("dedupe_key"))
-    per_key = flagged.groupBy("dedupe_key").agg(F.count("*").alias("n"))
+    if clean is None:
+        flagged = raw.select(F.when(is_valid(), dedupe_key(strip("title"), "date", strip("venue"))).alias("dedupe_key"))
+        per_key = flagged.groupBy("dedupe_key").agg(F.count("*").alias("n"))
+    else:
+        per_key = clean.groupBy("dedupe_key").agg(F.count("*").alias("n"))
+        rest = raw.agg(F.count("*").alias("n")).unionByName(clean.agg((-F.count("*")).alias("n"))).agg(F.sum("n").alias("n"))
+        per_key = per_key.unionByName(rest.select(F.lit(None).cast("string").alias("dedupe_key"), "n"))
     if target is None:
         known = per_key.withColumn("known", F.lit(None).cast("boolean"))
     else:

@@ -12,6 +12,7 @@ from playbill.plans.tables import LISTINGS, NORMAL, SIGNALS
 from playbill.operators.feedback import record_signals
 from playbill.operators.ingest import normalize
 from playbill.schema import MUTABLE
+from playbill.session import ROWS_A_FILE
 from playbill.sinks import logs, snapshots
 from playbill.streaming import jobs
 
@@ -21,14 +22,21 @@ MERGED = f"""WITH {NORMAL}, ranked AS (SELECT *,
     first_value(seq) OVER (PARTITION BY dedupe_key ORDER BY precedence, seq) AS id FROM normal)"""
 
 
-def _several_files(spark, d, root):
-    """The events as a stream of four files by event_id, read one a micro-batch in that order."""
+def _landings(spark, d, root):
+    """The events land in four turns by event_id; after each, a stream over the folder. A turn is one micro-batch of a job
+    that runs then, read from as many files as its rows fill."""
     events = tb.read(spark, d, "events")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
-    part = F.floor((F.col("event_id") - low) * 4 / (high - low + 1))
+    bounds = [low - (low - high - 1) * i // 4 for i in range(5)]
     for i in range(4):
-        events.where(part == i).coalesce(1).write.mode("append").parquet(f"{root}/landed/part={i}")
-    return (spark.readStream.schema(tb.SCHEMAS["events"]).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+        number = F.col("event_id")
+        turn = events.where((number >= bounds[i]) & (number < bounds[i + 1]))
+        turn.write.option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{root}/landed/part={i}")
+        yield _landed_stream(spark, root)
+
+
+def _landed_stream(spark, root, **options):
+    return (spark.readStream.schema(tb.SCHEMAS["events"]).options(**options).option("recursiveFileLookup", True)
             .parquet(f"{root}/landed"))
 
 
@@ -60,10 +68,10 @@ def _(spark, d):
     FROM (SELECT *, (seq - (SELECT min(event_id) FROM events)) * 4 // (SELECT max(event_id) - min(event_id) + 1 FROM events) AS part FROM normal))
   SELECT {KEPT_COLUMNS} FROM ranked WHERE newest = 1""")
 def _(spark, d):
-    """The events arrive in several files, one a micro-batch; the merge must not depend on it."""
+    """The events arrive in several turns, one a micro-batch; the merge must not depend on it."""
     root = jobs.new_folder(spark, "upsert")
-    raw = tb.raw_listings(spark, d, _several_files(spark, d, root))
-    jobs.stream_upsert(raw.withColumn("precedence", F.lit(0)), root, _stamp)
+    for landed in _landings(spark, d, root):
+        jobs.stream_upsert(tb.raw_listings(spark, d, landed).withColumn("precedence", F.lit(0)), root, _stamp)
     return snapshots.current(spark, root).select("dedupe_key", *MUTABLE, "id")
 
 
@@ -71,10 +79,10 @@ def _(spark, d):
     (SELECT count(DISTINCT dedupe_key) FROM normal) AS added)
   SELECT 'feed' AS source, 'ok' AS status, found, added, valid - added AS updated, found - valid AS invalid FROM t""")
 def _(spark, d):
-    """A file a micro-batch; the totals of the runs are those of one batch."""
+    """A turn a micro-batch; the totals of the runs are those of one batch."""
     root = jobs.new_folder(spark, "totals")
-    raw = tb.raw_listings(spark, d, _several_files(spark, d, root))
-    jobs.stream_run_totals(raw, root, _stamp, "feed")
+    for landed in _landings(spark, d, root):
+        jobs.stream_run_totals(tb.raw_listings(spark, d, landed), root, _stamp, "feed")
     runs = spark.read.parquet(f"{root}/runs")
     return runs.groupBy("source", "status").agg(*[F.sum(c).alias(c) for c in ("found", "added", "updated", "invalid")])
 
@@ -105,8 +113,12 @@ def _(spark, d):
     UNION ALL SELECT lower(artist), ts FROM met WHERE artist <> '') GROUP BY tag)
   SELECT {SIGNAL_SQL} FROM signals""")
 def _(spark, d):
-    """Purchases mark the listing of an earlier event. Listings land in four files, marks in one; neither waits for the other."""
-    landed = _several_files(spark, d, jobs.new_folder(spark, "landed"))
+    """Purchases mark the listing of an earlier event. Listings come in four micro-batches, marks in one; neither waits for the other."""
+    root = jobs.new_folder(spark, "landed")
+    for _ in _landings(spark, d, root):
+        pass
+    files = len(spark.read.schema(tb.SCHEMAS["events"]).option("recursiveFileLookup", True).parquet(f"{root}/landed").inputFiles())
+    landed = _landed_stream(spark, root, maxFilesPerTrigger=-(-files // 4))
     found = tb.event_stream(spark, d).where("event_type = 'purchase'")
     marks = found.select((F.col("event_id") - F.col("event_id") % 3).alias("id"), "ts")
     met = jobs.interest_signals(marks, tb.listings(spark, d, landed), "60 days", "60 days")

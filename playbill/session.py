@@ -46,10 +46,17 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows of a file of narrow rows that each cost much to read on: a file is one task at least, so their number grows with the rows.
+ROWS_A_FILE = 50_000
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written to a work folder and read from there, so that what follows neither plans nor runs it again."""
+    """The rows of ``df``, written to a work folder and read from there, so that what follows neither plans nor runs it again.
+
+    The files are small, so however few tasks write them, many can read them.
+    """
     path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", ROWS_A_FILE).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

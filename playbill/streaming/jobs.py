@@ -78,7 +78,7 @@ def stream_run_totals(raw: DataFrame, root: str, batch_time: Callable[[int], Col
             if earlier is not None:
                 # The key holds the day, so only the batch's days can already hold its keys; the days prune the files read.
                 earlier = earlier.join(clean.select("event_date").distinct(), "event_date", "left_semi")
-            counts = upsert_counts(earlier, batch)
+            counts = upsert_counts(earlier, batch, clean)
             run = counts.select(
                 F.lit(batch_id).cast("long").alias("run_id"), F.lit(source).alias("source"), F.lit(source).alias("source_name"),
                 F.lit("ok").alias("status"), F.col("found").alias("events_found"), F.col("added").alias("events_added"),

@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from playbill.operators.ingest import normalize, upsert
+from playbill.operators.ingest import normalize, upsert, upsert_counts
+from playbill.plans import streams
 from playbill.plans import tables as tb
 from playbill.sinks import ics, snapshots
 from playbill.streaming import jobs
@@ -187,3 +188,28 @@ def test_calendar_file(spark, tmp_path):
     assert "SUMMARY:Punk\\; Rock\\, Night\\\\Out" in lines and "LOCATION:The Spot\\, Seattle" in lines
     assert "DESCRIPTION:Genres: rock\\nTickets: https://venue.example/t/1" in lines
     assert "DTSTAMP:20260601T080000Z" in lines
+
+
+def test_a_landing_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Each turn is one micro-batch over several small files, and turns keep the order of event_id."""
+    monkeypatch.setattr(streams, "ROWS_A_FILE", 40)
+    root, seen = str(tmp_path / "turns"), []
+    for i, landed in enumerate(streams._landings(spark, FOLDER, root)):
+        assert len(list((tmp_path / "turns" / "landed" / f"part={i}").glob("*.parquet"))) > 2
+
+        def keep(batch, batch_id):
+            seen.append((batch_id, *batch.agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()))
+
+        jobs.drain(landed, root, keep)
+    low, high, n = tb.read(spark, FOLDER, "events").agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()
+    assert [s[0] for s in seen] == [0, 1, 2, 3] and sum(s[3] for s in seen) == n
+    assert seen[0][1] == low and seen[3][2] == high and all(a[2] < b[1] for a, b in zip(seen, seen[1:], strict=False))
+
+
+def test_counts_from_kept_rows(spark):
+    """Counts of a batch are those of its normalised rows and of the number of raw ones."""
+    raw = tb.raw_listings(spark, FOLDER)
+    known = normalize(raw.where("seq % 3 = 0")).select("dedupe_key").distinct()
+    for rows in (raw, raw.where("seq < 0"), raw.where("title = ''")):
+        for target in (None, known):
+            assert upsert_counts(target, rows, normalize(rows)).collect() == upsert_counts(target, rows).collect()
