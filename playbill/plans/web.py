@@ -533,9 +533,10 @@ BROKEN = "event_type = 'error'"
       ELSE CASE user_id % 2 WHEN 0 THEN 'unreadable page: no page text' ELSE 'unreadable page: selectors.item is not configured' END END END AS error_msg
   FROM kinds""")
 def _(spark, d):
-    """Three landed documents per show, a feed, a payload and a page; those of error events are broken."""
+    """Three landed documents per show, a feed, a payload and a page; those of error events are broken. What is read out of
+    them is stored, since records and rejects are both made of it."""
     broken, user = F.col("event_type") == "error", F.col("user_id")
-    landed = shows(spark, d).select(F.col("event_id").alias("run_id"), "event_type", "user_id", "p_name", "n_name")
+    landed = stored(shows(spark, d).select(F.col("event_id").alias("run_id"), "event_type", "user_id", "p_name", "n_name"), "landed")
 
     entry = lambda title, date: _text("<item><title>", title, "</title><pubDate>", date, "</pubDate></item>")
     feed_body = F.when(broken, "<html>gone</html>").otherwise(_text(
@@ -543,14 +544,14 @@ def _(spark, d):
     feed_docs = landed.select(
         "run_id", feed_body.alias("body"), _text("rss", user).alias("source_name"), F.col("n_name").alias("feed_name"),
         *[F.lit("").alias(c) for c in ("feed_venue", "feed_city", "feed_category")])
-    items = fd.rss_items(feed_docs)
-    rss = fd.map_rss(items, AS_OF, WEST, ["run_id"]).select("run_id")
+    items = stored(fd.rss_items(feed_docs), "items")
+    rss = stored(fd.map_rss(items, AS_OF, WEST, ["run_id"]).select("run_id"), "rss")
 
     payload = F.to_json(F.struct(F.struct(F.col("p_name").alias("text")).alias("name"), F.struct(F.lit("2024-01-09T20:00:00").alias("local")).alias("start")))
     api_docs = landed.select(
         "run_id", F.when(broken, F.left(payload, F.length(payload) - 3)).otherwise(payload).alias("body"), _text("api", user).alias("source_name"),
         F.lit("music").alias("category"), F.lit("").alias("default_city"))
-    api = pl.map_flat(pl.parse_payloads(api_docs, pl.FLAT), AS_OF, WEST, ["run_id"]).select("run_id")
+    api = stored(pl.map_flat(pl.parse_payloads(api_docs, pl.FLAT), AS_OF, WEST, ["run_id"]).select("run_id"), "api")
 
     markup = '<ul><li class="e"><p><b>A</b><i>Jan 6, 2024</i><li class="e"><p><b>B</b><i>Jan 7, 2024</i><li class="e"><b>C</b><i>some day</i></ul>'
     selectors = F.struct(
@@ -559,7 +560,7 @@ def _(spark, d):
     page_docs = landed.select(
         F.col("run_id").alias("page_id"), F.lit("https://x.example/").alias("url"), _text("page", user).alias("source_name"),
         F.when(~broken | (user % 2 == 1), markup).alias("html"), selectors.alias("selectors"))
-    raw = ht.html_items(page_docs)
+    raw = stored(ht.html_items(page_docs), "raw")
     no_sites = page_docs.select("source_name", "url", *[F.lit(None).cast("string").alias(c) for c in ("name", "venue", "city", "category")]).where(F.lit(False))
     pages = ht.map_items(raw, no_sites, AS_OF).select(F.col("page_id").alias("run_id"))
 
