@@ -13,6 +13,7 @@ from playbill.functions.dates import AsOf
 from playbill.functions.text import truthy
 from playbill.operators.ingest import is_valid, normalize, union_sources, upsert
 from playbill.schema import RAW_LISTING
+from playbill.session import stored
 from playbill.sources import feeds, html, jsonld, payloads
 
 #: Adapters whose records carry another source than "api".
@@ -22,7 +23,10 @@ UNREADABLE = "unreadable"
 
 @dataclass(frozen=True)
 class Landed:
-    """What a reader made of documents: raw records, and (doc_id, source_name, reason) of what it could not use."""
+    """What a reader made of documents: raw records, and (doc_id, source_name, reason) of what it could not use.
+
+    Readers store what they parsed: rejects are told by it, and callers use records and rejects more than once.
+    """
 
     records: DataFrame
     rejects: DataFrame
@@ -46,7 +50,7 @@ def _without_record(documents: DataFrame, records: DataFrame) -> DataFrame:
 def read_api(documents: DataFrame, schema: str, mapper: Callable[..., DataFrame], as_of: AsOf, zone: str) -> Landed:
     """Payloads of one API: (doc_id, source_name, body) and what its mapper needs, one event each."""
     rows = mapper(payloads.parse_payloads(documents.drop("source_name"), schema), as_of, zone, ["doc_id"])
-    records = raw_records(rows, F.lit(0))
+    records = stored(raw_records(rows, F.lit(0)), "records")
     lost = _without_record(documents, records)
     reason = F.when(F.try_parse_json("body").isNull(), "unreadable payload").otherwise("payload without a record")
     return Landed(records, lost.select("doc_id", "source_name", reason.alias("reason")))
@@ -80,8 +84,8 @@ def read_feeds(documents: DataFrame, registry: DataFrame, as_of: AsOf, zone: str
         F.coalesce(truthy("venue"), truthy("feed_venue"), "feed_name").alias("venue"), F.coalesce(truthy("city"), truthy("feed_city")).alias("city"),
         F.coalesce(truthy("category"), truthy("feed_category"), F.lit("music")).alias("category"),
         F.coalesce(truthy("feed_category"), "genre_tags").alias("genre_tags"))
-    records = raw_records(rss, F.col("pos")).unionByName(raw_records(ical, F.col("pos"))).unionByName(
-        raw_records(ld, F.col("place"), F.col("block")))
+    records = stored(raw_records(rss, F.col("pos")).unionByName(raw_records(ical, F.col("pos"))).unionByName(
+        raw_records(ld, F.col("place"), F.col("block"))), "records")
     text = F.coalesce("body", F.lit(""))
     readable = (F.when(kind == "jsonld", text.rlike("(?i)<script")).when(kind == "ical", text.contains("BEGIN:VCALENDAR"))
                 .otherwise(text.rlike(r"(?i)<(rss|feed|rdf)\b")))
@@ -93,11 +97,11 @@ def read_feeds(documents: DataFrame, registry: DataFrame, as_of: AsOf, zone: str
 def read_pages(pages: DataFrame, registry: DataFrame, as_of: AsOf, zone: str, max_items: int | None = html.MAX_ITEMS) -> Landed:
     """Scraped pages (doc_id, source_name, url, html), with the selectors of their registry entry."""
     known = with_registry(pages, registry)
-    items = html.html_items(known.select(F.col("doc_id").alias("page_id"), "url", "html", "source_name", "selectors"))
+    items = stored(html.html_items(known.select(F.col("doc_id").alias("page_id"), "url", "html", "source_name", "selectors")), "items")
     sites = registry.select(F.coalesce(truthy("id"), "name").alias("source_name"), "name", "venue", "city", "category", "url")
     rows = html.map_items(items, sites, as_of, zone, max_items=max_items).withColumnRenamed("page_id", "doc_id")
     rejects = html.rejected_items(items, as_of, zone, max_items=max_items).select(F.col("page_id").alias("doc_id"), "source_name", "reason")
-    return Landed(raw_records(rows, F.col("pos")), rejects)
+    return Landed(stored(raw_records(rows, F.col("pos")), "records"), rejects)
 
 
 def failed_documents(landed: dict[str, Landed]) -> DataFrame:

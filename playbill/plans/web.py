@@ -600,17 +600,17 @@ def _landed(spark, d, broken=None, only=None):
     user, number = F.col("user_id"), F.col("event_id")
     day, clock = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss")
     broken = F.col("k") == 7 if broken is None else broken
-    docs = shows(spark, d).where(F.lit(True) if only is None else only).select(
+    docs = stored(shows(spark, d).where(F.lit(True) if only is None else only).select(
         number.alias("doc_id"), _pick(user, KINDS).alias("kind"), user, "p_name", "n_name", "r_name", broken.alias("broken"),
-        F.concat(day, F.lit("T"), clock).alias("at"))
+        F.concat(day, F.lit("T"), clock).alias("at")), "landed")
     place = docs.select("user_id", "kind", "n_name", "r_name").distinct()
     name = F.concat("kind", F.col("user_id").cast("string"))
-    registry = place.where("kind <> 'api'").select(
+    registry = stored(place.where("kind <> 'api'").select(
         name.alias("id"), F.concat(F.lit("Site "), name).alias("name"), F.when(F.col("kind") == "jsonld", "jsonld").otherwise("rss").alias("type"),
         F.lit("https://site.example/").alias("url"), F.col("n_name").alias("venue"), F.col("r_name").alias("city"),
         F.when(user % 3 == 0, "comedy").alias("category"),
         F.struct(F.lit("li").alias("item"), F.lit("h3").alias("name"), F.lit("time").alias("date"), *[
-            F.lit(None).cast("string").alias(c) for c in ("ticketLink", "image", "price")]).alias("selectors"))
+            F.lit(None).cast("string").alias(c) for c in ("ticketLink", "image", "price")]).alias("selectors")), "registry")
     api = docs.where("kind = 'api'").select("doc_id", F.lit("eventbrite").alias("source_name"), F.to_json(F.struct(
         F.struct(F.col("p_name").alias("text")).alias("name"), F.struct(F.col("at").alias("local")).alias("start"),
         F.struct(F.col("n_name").alias("name")).alias("venue"))).alias("body"), F.lit("music").alias("category"), F.lit("").alias("default_city"))

@@ -6,12 +6,16 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from playbill import plans
 from playbill.operators import refresh as rf
 from playbill.operators.ingest import normalize, upsert
+from playbill.plans.registry import QUERIES
 from playbill.plans.tables import ntz
 from playbill.schema import REGISTRY
 from playbill.session import stored
+from playbill.sources import feeds as feeds_reader
 
+plans.load_all()
 NOW, T1, T2 = dt.date(2026, 7, 2), "2026-07-02 00:00:00", "2026-07-02 06:00:00"
 
 
@@ -107,3 +111,19 @@ def test_unknown_zones_are_reported_and_fail_nothing(spark):
     landed = feeds(spark, [(1, body)], kind="ical")
     assert [r.reason for r in landed.rejects.collect()] == ["time zone not known: Some Time"]
     assert rf.gather({"rss": landed}).count() == 1
+
+
+def test_documents_are_parsed_once(spark, run):
+    """What is asked of a refresh reads stored records; no document is parsed again for its rejects."""
+    asked = [rf.gather(run), rf.refresh_log(None, run, ntz(T1)), rf.dead_letters(run, None, ntz(T1)), QUERIES["isolate_failures"](spark, "/root/testdata/sf0.001")]
+    for df in asked:
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "mapinarrow" not in plan and "xmltostructs" not in plan and "from_xml" not in plan and "from_json" not in plan
+
+
+def test_calendar_files_are_read_one_kind_at_a_time(spark, tmp_path, monkeypatch):
+    asked, read = [], feeds_reader.read_records
+    monkeypatch.setattr(feeds_reader, "read_records", lambda s, p, kinds, **o: asked.append(kinds) or read(s, p, kinds, **o))
+    (tmp_path / "a.ics").write_bytes(b"BEGIN:VEVENT\r\nDTSTART:20240101T000000Z\r\nEND:VEVENT\r\n")
+    assert feeds_reader.ical_file_events(spark, str(tmp_path)).count() == 1
+    assert asked == [["vtimezone"], ["vevent"]]
